@@ -25,8 +25,8 @@ def lenient_date(text: str | Column) -> Column:
     """Parse ISO, slashed or compact dates (a trailing .0 is dropped); else NULL."""
     text = F.regexp_replace(F.trim(col(text).cast("string")), r"\.0$", "")
     return F.coalesce(
-        F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, F.lit("yyyyMMdd"))),
-        F.try_to_date(text, F.lit("yyyy-MM-dd")),
-        F.try_to_date(text, F.lit("yyyy/MM/dd")),
-        F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")),
+        F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")),
+        F.try_to_date(text, "yyyy-MM-dd"),
+        F.try_to_date(text, "yyyy/MM/dd"),
+        F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"),
     )
