@@ -1,6 +1,7 @@
 """Registered queries. Importing this package fills the registry."""
 
 from lattica.catalog import factors as _factors  # noqa: F401
+from lattica.catalog import research as _research  # noqa: F401
 from lattica.catalog import rules as _rules  # noqa: F401
 from lattica.catalog.base import ORACLES, QUERIES
 

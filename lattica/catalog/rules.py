@@ -34,7 +34,7 @@ def r(name: str, digits: int = 6):
 
 def cents(expression: str) -> str:
     """Half-up rounding to cents of the decimal value, as a double."""
-    return f"CAST(round(CAST({expression} AS DECIMAL(24, 9)), 2) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expression} AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE)"
 
 
 BAR = ["open", "high", "low", "close", "volume", "amount"]
@@ -344,7 +344,7 @@ def lot(q: str, code: str = "code") -> str:
     "fees_and_lots",
     f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, {FEE_DATE} AS d, {symbol_sql('l_suppkey')} AS symbol, split_part({symbol_sql('l_suppkey')}, '.', 1) AS code,
         l_extendedprice AS gross, l_quantity * 13 AS want, l_quantity * 9 AS holding FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, symbol, round(greatest(5.0, gross * 0.0003) + gross * {LEVY_SQL}, 6) AS fee,
+    SELECT l_orderkey, l_linenumber, l_partkey, symbol, round(greatest(5.0, gross * 0.0003) + gross * {LEVY_SQL}, 8) AS fee,
       CASE WHEN d < DATE '2023-08-28' THEN 0.001::DOUBLE ELSE 0.0005::DOUBLE END AS stamp_rate, {lot('want')} AS lots,
       CASE WHEN want >= holding THEN CAST(holding AS BIGINT) ELSE {lot('want')} END AS exit_lots FROM t""",
 )
@@ -355,7 +355,7 @@ def fees_and_lots(spark, sf):
         F.col("l_extendedprice").alias("gross"), (F.col("l_quantity") * 13).alias("want"), (F.col("l_quantity") * 9).alias("holding"),
     )
     return lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "symbol", F.round(commission("gross", "d", costs), 6).alias("fee"),
+        "l_orderkey", "l_linenumber", "l_partkey", "symbol", F.round(commission("gross", "d", costs), 8).alias("fee"),
         stamp_rate("d", costs).alias("stamp_rate"), round_order("want", "symbol").alias("lots"),
         round_order("want", "symbol", holding="holding").alias("exit_lots"),
     )
