@@ -18,10 +18,10 @@ def by_priority(df: DataFrame, keys=tuple(KEYS), priority: str = "priority") ->
     in a third of the input never lands in one task whole. Equal priorities are
     settled by the row content, so the outcome does not depend on task order.
     """
-    values = [c for c in df.columns if c not in keys]
-    rank = F.struct(F.col(priority), F.xxhash64(*values), *[F.col(c) for c in values])
-    best = df.groupBy(*keys).agg(F.max(rank).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in values]).select(*df.columns)
+    values = [c for c in df.columns if c not in keys and c != priority]
+    row = F.struct(F.col(priority), F.xxhash64(*values).alias("_order"), *[F.col(c) for c in values])
+    best = df.groupBy(*keys).agg(F.max(row).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [priority, *values]]).select(*df.columns)
 
 
 def union_sources(sources: list[tuple[int, DataFrame]]) -> DataFrame:
