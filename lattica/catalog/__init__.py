@@ -1,6 +1,7 @@
 """Registered queries. Importing this package fills the registry."""
 
 from lattica.catalog import factors as _factors  # noqa: F401
+from lattica.catalog import models as _models  # noqa: F401
 from lattica.catalog import panels as _panels  # noqa: F401
 from lattica.catalog import portfolios as _portfolios  # noqa: F401
 from lattica.catalog import research as _research  # noqa: F401

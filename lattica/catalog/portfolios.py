@@ -181,7 +181,7 @@ ORDERS = f"""WITH RECURSIVE px AS (SELECT {symbol_sql('l_suppkey')} AS symbol, r
       FROM buys b JOIN by0 n ON n.account_id = b.account_id AND n.place = b.place + 1)),
   orders_out AS (SELECT account_id, symbol, 'SELL' AS side, cur AS current_shares, goal AS target_shares, q AS shares, fee, after, wish - q AS unfilled, FALSE AS conditional FROM sells
     UNION ALL SELECT n.account_id, n.symbol, 'BUY', n.cur, n.goal, b.q, b.fee, b.after, n.wish - b.q, coalesce(sold, FALSE) FROM buys b JOIN by0 n ON n.account_id = b.account_id AND n.place = b.place LEFT JOIN raised r ON r.account_id = n.account_id)
-  SELECT account_id, CASE WHEN shares > 0 THEN 'REVIEW_REQUIRED' ELSE 'UNFILLED' END AS status, symbol, side, current_shares, target_shares, shares, round(fee, 9) AS estimated_fee,
+  SELECT account_id, CASE WHEN shares > 0 THEN 'REVIEW_REQUIRED' ELSE 'UNFILLED' END AS status, symbol, side, current_shares, target_shares, shares, round(fee, 4) AS estimated_fee,
     round(after, 4) AS estimated_cash_after, CAST(unfilled AS BIGINT) AS unfilled_shares, conditional AS conditional_on_sells FROM orders_out
   UNION ALL SELECT account_id, 'NO_TRADE', NULL, NULL, NULL, NULL, NULL, NULL, round(cash, 4), NULL, NULL FROM st WHERE ok AND account_id NOT IN (SELECT account_id FROM wk WHERE goal <> cur)
   UNION ALL SELECT account_id, 'PRICE_MISSING', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM st WHERE NOT ok"""
@@ -219,7 +219,7 @@ ORDER_VIEW = [
 
 def order_view(df):
     return df.withColumns(
-        {"estimated_fee": F.round("estimated_fee", 9), "estimated_cash_after": F.round("estimated_cash_after", 4)}
+        {"estimated_fee": F.round("estimated_fee", 4), "estimated_cash_after": F.round("estimated_cash_after", 4)}
     ).select(*ORDER_VIEW)
 
 
@@ -236,7 +236,7 @@ def next_session_orders(spark, sf):
     out = portfolio.next_session_orders(*account_tables(spark, sf), "2024-03-01", "2024-03-04", "W-FRI", Costs())
     dates = ["signal_date", "planned_trade_date"]
     return out.withColumns(
-        {"estimated_fee": F.round("estimated_fee", 9), "estimated_cash_after": F.round("estimated_cash_after", 4)}
+        {"estimated_fee": F.round("estimated_fee", 4), "estimated_cash_after": F.round("estimated_cash_after", 4)}
     ).select(*ORDER_VIEW, *dates)
 
 

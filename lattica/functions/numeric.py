@@ -78,3 +78,8 @@ def present(columns) -> Column:
 
 def clip(value: Column, low: Column, high: Column) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once inside a lambda, where common subexpressions are not shared."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.numeric import finite
+from lattica.functions.numeric import finite, let
 from lattica.functions.symbols import board_allowed
 from lattica.functions.trading import (
     Costs,
@@ -270,41 +270,44 @@ ORDER_COLUMNS = [
 ]
 
 
-def _sells(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
-    price = F.col("reference_close") * (1 - costs.slippage)
-    wish = F.col("current_shares") - F.col("target_shares")
-    sells = work.where("target_shares < current_shares").withColumns(
+def _sold_first(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
+    """Add the outcome of every sale and the cash it leaves, one account window for all.
+
+    A sale that pays for itself always goes through. One that does not (tiny gross
+    against the minimum fee) needs cash from the account or from sales before it; only
+    those few are folded in order.
+    """
+    account = W.partitionBy("account_id")
+    order = account.orderBy(F.col("factor_rank").asc_nulls_last(), "symbol")
+    selling = F.col("side") == "SELL"
+    work = work.withColumns(
         {
-            "requested": wish,
-            "shares": round_order(wish, "symbol", costs.lot_size, holding="current_shares"),
-            "estimated_price": price,
+            "requested": F.abs(F.col("target_shares") - F.col("current_shares")),
+            "estimated_price": F.col("reference_close")
+            * F.when(selling, F.lit(1 - costs.slippage)).otherwise(F.lit(1 + costs.slippage)),
         }
     )
-    gross = F.col("shares") * F.col("estimated_price")
-    sells = sells.withColumns(
+    legal = F.when(
+        selling, round_order("requested", "symbol", costs.lot_size, holding="current_shares")
+    ).otherwise(round_order("requested", "symbol", costs.lot_size))
+    work = work.withColumn("_legal", legal).withColumn("_gross", F.col("_legal") * F.col("estimated_price"))
+    work = work.withColumns(
         {
-            "_fee": F.when(F.col("shares") > 0, commission(gross, date, costs)).otherwise(F.lit(0.0)),
-            "_tax": gross * stamp_rate(date, costs),
-            "_gross": gross,
+            "_fee": F.when(F.col("_legal") > 0, commission("_gross", date, costs)).otherwise(F.lit(0.0)),
+            "_tax": F.col("_gross") * stamp_rate(date, costs),
         }
-    ).withColumn("_net", F.col("_gross") - F.col("_fee") - F.col("_tax"))
-    order = W.partitionBy("account_id").orderBy(F.col("factor_rank").asc_nulls_last(), "symbol")
-    # A sale that pays for itself always goes through. One that does not needs cash
-    # from the account or from sales before it; only those few are folded in order.
+    )
+    work = work.withColumn("_net", F.when(selling, F.col("_gross") - F.col("_fee") - F.col("_tax")))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
     sure = F.col("_net") >= 0
-    sells = sells.withColumns(
+    work = work.withColumns(
         {
             "_place": F.row_number().over(order),
-            "_ahead": F.coalesce(
-                F.sum(F.when(sure, F.col("_net"))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)
-            ),
+            "_money": F.col("cash") + F.coalesce(F.sum(F.when(sure, F.col("_net"))).over(before), F.lit(0.0)),
         }
     )
-    doubtful = sells.where("_net < 0").groupBy("account_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("_place", (F.col("cash") + F.col("_ahead")).alias("_money"), "_net"))
-        ).alias("_queue")
-    )
+    doubtful = F.when(F.col("_net") < 0, F.struct("_place", "_money", "_net"))
+    work = work.withColumn("_queue", F.array_sort(F.collect_list(doubtful).over(account)))
     start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<int>").alias("passed"))
 
     def admit(state: Column, sale: Column) -> Column:
@@ -317,87 +320,68 @@ def _sells(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
             ),
         ).otherwise(state)
 
-    admitted = doubtful.select(
-        "account_id", F.explode(F.aggregate("_queue", start, admit, lambda s: s["passed"])).alias("_place")
-    ).withColumn("_admitted", F.lit(True))
-    sells = sells.join(admitted, ["account_id", "_place"], "left")
-    passed = sure | F.coalesce("_admitted", F.lit(False))
-    return sells.withColumns(
+    admitted = F.array_contains(F.aggregate("_queue", start, admit, lambda s: s["passed"]), F.col("_place"))
+    passed = selling & (sure | admitted)
+    work = work.withColumns(
         {
-            "shares": F.when(passed, F.col("shares")).otherwise(F.lit(0)),
+            "shares": F.when(passed, F.col("_legal")).otherwise(F.lit(0)),
             "estimated_fee": F.when(passed, F.col("_fee")).otherwise(F.lit(0.0)),
             "estimated_tax": F.when(passed, F.col("_tax")).otherwise(F.lit(0.0)),
             "_net": F.when(passed, F.col("_net")).otherwise(F.lit(0.0)),
         }
-    ).withColumns(
+    )
+    through = order.rowsBetween(W.unboundedPreceding, 0)
+    return work.withColumns(
         {
-            "estimated_cash_after": F.col("cash")
-            + F.sum("_net").over(order.rowsBetween(W.unboundedPreceding, 0)),
-            "side": F.lit("SELL"),
-            "conditional_on_sells": F.lit(False),
-            "unfilled_shares": F.col("requested") - F.col("shares"),
+            "estimated_cash_after": F.col("cash") + F.sum("_net").over(through),
+            "_after_sales": F.col("cash") + F.sum("_net").over(account),
+            "_sold": F.max(F.col("shares")).over(account) > 0,
         }
-    )
+    ).drop("_queue", "_money", "_gross", "_fee", "_tax", "_net")
 
 
-def _buys(work: DataFrame, sells: DataFrame, date: Column, costs: Costs) -> DataFrame:
+def _buys(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
     """Buys in rank order, each limited by the cash the ones before it left.
 
     Only targets can be bought, so an account's list is bounded by its portfolio size.
     """
-    raised = sells.groupBy("account_id").agg(
-        F.sum("_net").alias("_raised"), F.max((F.col("shares") > 0).cast("int")).alias("_sold")
-    )
-    wish = F.col("target_shares") - F.col("current_shares")
-    fields = ["symbol", "current_shares", "target_shares", "reference_close", "target_weight", "factor_rank"]
-    buys = (
-        work.where("target_shares > current_shares")
-        .withColumns(
-            {
-                "requested": wish,
-                "_legal": round_order(wish, "symbol", costs.lot_size),
-                "estimated_price": F.col("reference_close") * (1 + costs.slippage),
-                "_order": F.coalesce("factor_rank", F.lit(2**31 - 1)),
-            }
-        )
-        .groupBy("account_id", "cash")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("_order", "symbol", *fields[1:], "requested", "_legal", "estimated_price"))
-            ).alias("_queue")
-        )
-        .join(raised, "account_id", "left")
-        .withColumn("_cash", F.col("cash") + F.coalesce("_raised", F.lit(0.0)))
+    carried = [
+        "symbol", "current_shares", "target_shares", "reference_close", "target_weight", "factor_rank", "requested",
+        "_legal", "estimated_price",
+    ]
+    buys = work.where("side = 'BUY'").groupBy("account_id", "_after_sales", "_sold").agg(
+        F.array_sort(F.collect_list(F.struct("_place", *carried))).alias("_queue")
     )
-    row = "array<struct<place:int,shares:bigint,fee:double,cash_after:double>>"
-    start = F.struct(F.col("_cash").alias("cash"), F.lit(0).alias("n"), F.array().cast(row).alias("log"))
+    row = "array<struct<shares:bigint,fee:double,cash_after:double>>"
+    start = F.struct(F.col("_after_sales").alias("cash"), F.array().cast(row).alias("log"))
 
     def fill(state: Column, order: Column) -> Column:
-        shares = affordable_quantity(
+        quantity = affordable_quantity(
             order["_legal"], order["estimated_price"], state["cash"], order["symbol"], date, costs
         )
-        gross = shares * order["estimated_price"]
-        fee = F.when(shares > 0, commission(gross, date, costs)).otherwise(F.lit(0.0))
-        left = state["cash"] - gross - fee
-        entry = F.struct(state["n"].alias("place"), shares.alias("shares"), fee.alias("fee"), left.alias("cash_after"))
-        return F.struct(
-            left.alias("cash"), (state["n"] + 1).alias("n"), F.concat(state["log"], F.array(entry)).alias("log")
-        )
+
+        def book(shares: Column) -> Column:
+            gross = shares * order["estimated_price"]
+            fee = F.when(shares > 0, commission(gross, date, costs)).otherwise(F.lit(0.0))
+            return F.struct(shares.alias("shares"), fee.alias("fee"), (state["cash"] - gross - fee).alias("cash_after"))
+
+        def post(entry: Column) -> Column:
+            return F.struct(entry["cash_after"].alias("cash"), F.concat(state["log"], F.array(entry)).alias("log"))
+
+        return let(let(quantity, book), post)
 
     filled = buys.withColumn("_log", F.aggregate("_queue", start, fill, lambda s: s["log"]))
-    rows = filled.select(
-        "account_id", F.col("_sold"), F.explode(F.arrays_zip("_queue", "_log")).alias("_z")
-    ).select(
+    rows = filled.select("account_id", "_sold", F.explode(F.arrays_zip("_queue", "_log")).alias("_z"))
+    return rows.select(
         "account_id",
-        *[F.col(f"_z._queue.{c}").alias(c) for c in [*fields, "requested", "estimated_price"]],
+        *[F.col(f"_z._queue.{c}").alias(c) for c in carried if c != "_legal"],
         F.col("_z._log.shares").alias("shares"),
         F.col("_z._log.fee").alias("estimated_fee"),
         F.lit(0.0).alias("estimated_tax"),
         F.col("_z._log.cash_after").alias("estimated_cash_after"),
         F.lit("BUY").alias("side"),
-        F.coalesce(F.col("_sold") == 1, F.lit(False)).alias("conditional_on_sells"),
+        F.col("_sold").alias("conditional_on_sells"),
     )
-    return rows.withColumn("unfilled_shares", F.col("requested") - F.col("shares"))
 
 
 def estimate_orders(
@@ -408,48 +392,53 @@ def estimate_orders(
     ``targets`` is ``(account_id, symbol, target_weight, factor_rank)``, ``holdings``
     ``(account_id, symbol, shares)``. Accounts missing a price for a target or a
     holding get a single PRICE_MISSING row; accounts with nothing to do get NO_TRADE.
+    Everything but the buy fold runs in windows of one exchange on the account.
     """
     date = trade_date if isinstance(trade_date, Column) else F.lit(trade_date).cast("date")
     owned = holdings.where("shares > 0").select("account_id", "symbol", F.col("shares").cast("long").alias("current_shares"))
     wanted = targets.select("account_id", "symbol", "target_weight", F.col("factor_rank").cast("int").alias("factor_rank"))
-    lines = (
-        owned.join(wanted, ["account_id", "symbol"], "full")
-        .join(prices.select("symbol", finite("close").alias("reference_close")), "symbol", "left")
+    lines = owned.join(wanted, ["account_id", "symbol"], "full").join(
+        prices.select("symbol", finite("close").alias("reference_close")), "symbol", "left"
+    )
+    account = W.partitionBy("account_id")
+    priced = F.col("symbol").isNull() | F.coalesce(F.col("reference_close") > 0, F.lit(False))
+    work = (
+        accounts.select("account_id", F.col("cash").cast("double").alias("cash"))
+        .join(lines, "account_id", "left")
         .withColumns(
             {
                 "current_shares": F.coalesce("current_shares", F.lit(0)),
                 "target_weight": F.coalesce("target_weight", F.lit(0.0)),
-                "_priced": F.coalesce(F.col("reference_close") > 0, F.lit(False)),
             }
         )
     )
-    value = lines.groupBy("account_id").agg(
-        F.sum(F.col("current_shares") * F.col("reference_close")).alias("_value"),
-        F.min("_priced").alias("_complete"),
+    value = F.coalesce(F.sum(F.col("current_shares") * F.col("reference_close")).over(account), F.lit(0.0))
+    work = work.withColumns({"_complete": F.min(priced).over(account), "_equity": F.col("cash") + value})
+    desired = F.col("_equity") * F.col("target_weight") / F.col("reference_close")
+    work = work.withColumn("target_shares", round_order(desired, "symbol", costs.lot_size))
+    move = F.when(F.col("target_shares") < F.col("current_shares"), "SELL").when(
+        F.col("target_shares") > F.col("current_shares"), "BUY"
     )
-    state = accounts.select("account_id", F.col("cash").cast("double").alias("cash")).join(value, "account_id", "left")
-    usable = state.where(F.coalesce("_complete", F.lit(True))).withColumn(
-        "_equity", F.col("cash") + F.coalesce("_value", F.lit(0.0))
-    )
-    work = lines.join(usable.select("account_id", "cash", "_equity"), "account_id").withColumn(
-        "target_shares",
-        round_order(F.col("_equity") * F.col("target_weight") / F.col("reference_close"), "symbol", costs.lot_size),
-    )
-    sells = _sells(work, date, costs)
-    buys = _buys(work, sells, date, costs)
-    status = F.when(F.col("shares") > 0, "REVIEW_REQUIRED").otherwise("UNFILLED")
-    columns = [c for c in ORDER_COLUMNS if c != "status"]
-    orders = (
-        sells.select(*columns).unionByName(buys.select(*columns)).withColumn("status", status).select(*ORDER_COLUMNS)
-    )
-    moved = work.where("target_shares <> current_shares").select("account_id").distinct()
-    idle = usable.join(moved, "account_id", "left_anti").select(
-        "account_id", F.lit("NO_TRADE").alias("status"), F.col("cash").alias("estimated_cash_after")
+    work = work.withColumn("side", F.when(F.col("_complete") & F.col("symbol").isNotNull(), move))
+    work = _sold_first(work, date, costs).withColumn("_moves", F.count("side").over(account))
+    work = work.withColumn("conditional_on_sells", F.lit(False))
+
+    columns = [c for c in ORDER_COLUMNS if c not in ("status", "unfilled_shares")]
+    both = work.where("side = 'SELL'").select(*columns, "requested").unionByName(
+        _buys(work, date, costs).select(*columns, "requested")
     )
-    unpriced = state.where(~F.coalesce("_complete", F.lit(True))).select(
-        "account_id", F.lit("PRICE_MISSING").alias("status")
+    orders = both.withColumns(
+        {
+            "status": F.when(F.col("shares") > 0, "REVIEW_REQUIRED").otherwise("UNFILLED"),
+            "unfilled_shares": F.col("requested") - F.col("shares"),
+        }
+    ).select(*ORDER_COLUMNS)
+    still = work.where("_moves = 0 AND _place = 1").select(
+        "account_id",
+        F.when(F.col("_complete"), "NO_TRADE").otherwise("PRICE_MISSING").alias("status"),
+        F.when(F.col("_complete"), F.col("cash")).alias("estimated_cash_after"),
     )
-    return orders.unionByName(idle, allowMissingColumns=True).unionByName(unpriced, allowMissingColumns=True)
+    return orders.unionByName(still, allowMissingColumns=True)
 
 
 def next_session_orders(
