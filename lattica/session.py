@@ -1,8 +1,9 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings, shared scratch space, and the one place where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,24 @@ def local_session(cores: int = 8, app: str = "lattica", memory: str = "8g") -> S
     return spark
 
 
-def settle(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The shared folder is the one the cluster names in ``spark.checkpoint.dir``;
-    a temporary folder is used only where that setting is absent (tests).
+    A temporary folder stands in only where that setting is absent (tests).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder for a table a job writes and reads back."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager)
