@@ -60,7 +60,7 @@ def attach_membership(market: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.col("trade_date").alias("snapshot_date"), "symbol", weight.alias("_weight"), F.lit(True).alias("_in")
     )
     return (
-        market.join(effective, "trade_date", "left")
+        market.join(F.broadcast(effective), "trade_date", "left")  # one row per session
         .join(members, ["snapshot_date", "symbol"], "left")
         .withColumn("in_index", flag("_in"))
         .withColumn("index_weight", F.coalesce("_weight", F.lit(0.0)))
@@ -97,7 +97,7 @@ def attach_shared_memberships(
             F.col("trade_date").alias(f"{label}_membership_date"), "symbol", F.lit(True).alias("_in")
         ).distinct()
         out = (
-            out.join(dates, "trade_date", "left")
+            out.join(F.broadcast(dates), "trade_date", "left")  # one row per session
             .join(members, [f"{label}_membership_date", "symbol"], "left")
             .withColumn(f"in_{label}", flag("_in"))
             .drop("_in")
@@ -124,7 +124,7 @@ def attach_membership_backfilled(market: DataFrame, snapshots: DataFrame) -> Dat
     )
     members = snapshots.select(F.col("trade_date").alias("snapshot_date"), "symbol", F.lit(True).alias("_in")).distinct()
     return (
-        market.join(effective, "trade_date", "left")
+        market.join(F.broadcast(effective), "trade_date", "left")  # one row per session
         .join(members, ["snapshot_date", "symbol"], "left")
         .withColumn("in_index", flag("_in"))
         .drop("_in", "snapshot_date")

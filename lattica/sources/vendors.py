@@ -162,30 +162,27 @@ def normalize_events(raw: DataFrame) -> DataFrame:
 
 
 def extract_violations(
-    df: DataFrame, columns, code: str, date: str, requests: DataFrame, row_limit: int, daily_key: bool = True
+    df: DataFrame, columns, code: str, date: str, windows: DataFrame, codes: DataFrame, row_limit: int, daily_key: bool = True
 ) -> DataFrame:
     """Counts of what an extract must not contain, one row per requested partition.
 
-    ``requests`` is ``(partition, start_date, end_date, codes)`` with ``codes`` the
-    requested list; ``df`` carries ``partition``.
+    ``windows`` is ``(partition, start_date, end_date)``, one row per partition;
+    ``codes`` is the requested list, ``(code)``. ``df`` carries ``partition``.
     """
     extra = sorted(set(df.columns) ^ (set(columns) | {"partition"}))
     if extra:
         raise ValueError(f"unexpected or missing columns: {extra}")
-    joined = df.join(F.broadcast(requests), "partition")
-    bad_code = ~F.array_contains("codes", F.col(code))
-    bad_date = ~F.coalesce(F.col(date).between(F.col("start_date"), F.col("end_date")), F.lit(False))
+    keyed = df.groupBy("partition", code, date).agg(F.count("*").alias("_n"))
+    asked = codes.select(F.col("code").alias(code), F.lit(True).alias("_asked")).distinct()
+    joined = keyed.join(windows, "partition").join(asked, code, "left")
+    outside = ~F.coalesce(F.col(date).between(F.col("start_date"), F.col("end_date")), F.lit(False))
+    zero = F.lit(0)
     counts = joined.groupBy("partition").agg(
-        F.count("*").alias("rows"),
-        F.count_if(bad_code).alias("unrequested_codes"),
-        F.count_if(bad_date).alias("dates_outside"),
+        F.sum("_n").alias("rows"),
+        F.sum(F.when(F.col("_asked").isNull(), F.col("_n")).otherwise(zero)).alias("unrequested_codes"),
+        F.sum(F.when(outside, F.col("_n")).otherwise(zero)).alias("dates_outside"),
+        F.sum((F.col("_n") - 1) if daily_key else zero).alias("duplicate_rows"),
     )
-    if daily_key:
-        keyed = df.groupBy("partition", code, date).agg(F.count("*").alias("_n"))
-        repeats = keyed.groupBy("partition").agg(F.sum(F.col("_n") - 1).alias("duplicate_rows"))
-        counts = counts.join(repeats, "partition", "left")
-    else:
-        counts = counts.withColumn("duplicate_rows", F.lit(0).cast("long"))
     clean = (
         (F.col("unrequested_codes") == 0)
         & (F.col("dates_outside") == 0)

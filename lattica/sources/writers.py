@@ -24,9 +24,9 @@ def write_table(df: DataFrame, path: str) -> str:
 def write_by_year(df: DataFrame, path: str) -> str:
     """Yearly staging; only the years present in ``df`` are replaced."""
     staged = df.withColumn("year", F.year("trade_date"))
-    # year alone would give a task per year; the symbol spreads each year over tasks
+    # tasks are sized by bytes: a big year is split over many, small ones share one
     (
-        staged.repartition(F.col("year"), F.pmod(F.xxhash64("symbol"), F.lit(64)))
+        staged.hint("rebalance", F.col("year"))
         .sortWithinPartitions("year", *KEYS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -69,7 +69,7 @@ def upsert_years(spark: SparkSession, path: str, changes: DataFrame) -> None:
             raise
         merged = by_priority(changes, KEYS)
     staging = f"{path}.staging"
-    merged.write.mode("overwrite").partitionBy("year").parquet(staging)
+    merged.hint("rebalance", F.col("year")).write.mode("overwrite").partitionBy("year").parquet(staging)
     (
         spark.read.parquet(staging)
         .write.mode("overwrite")
