@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +21,18 @@ def melt_factors(df: DataFrame, names, keep) -> DataFrame:
     return df.unpivot(list(keep), list(names), "factor", "value")
 
 
+def _shifted_rank(df: DataFrame, keys, value: str, name: str, layout: Layout = WHOLE) -> DataFrame:
+    """Average rank plus the section's null count, which a correlation does not see.
+
+    Ranking nulls first gives both windows one sort order, so a side is sorted once.
+    """
+    low = F.rank().over(W.partitionBy(*keys).orderBy(value))
+    ties = F.count(value).over(W.partitionBy(*keys, value))
+    ranked = df.withColumns({"_low": low, "_ties": ties})
+    shared = F.when(F.col(value).isNotNull(), F.col("_low") + (F.col("_ties") - 1) / F.lit(2.0))
+    return ranked.withColumn(name, shared).drop("_low", "_ties")
+
+
 def information_coefficient(
     df: DataFrame,
     x: str,
@@ -41,8 +53,9 @@ def information_coefficient(
     work = df.select(*by, *tie, F.when(both, a).alias("_a"), F.when(both, b).alias("_b"))
     left, right = "_a", "_b"
     if method == "spearman":
-        work = add_average_rank(work, by, "_a", "_ra", layout=layout)
-        work = add_average_rank(work, by, "_b", "_rb", layout=layout)
+        rank = _shifted_rank if layout.splits == 1 else add_average_rank
+        work = rank(work, by, "_a", "_ra", layout=layout)
+        work = rank(work, by, "_b", "_rb", layout=layout)
         left, right = "_ra", "_rb"
     n = F.count("_a")
     value = F.when(n >= min_observations, pearson(left, right))
@@ -290,12 +303,23 @@ def hac_mean(
 def factor_correlation(df: DataFrame, names, layout: Layout = WHOLE) -> DataFrame:
     """Spearman matrix per date on pairwise-complete rows, averaged over dates.
 
-    Pairs come from exploding each row (no join); ranks are taken after pairing.
+    Pairs come from exploding each row (no join); ranks are taken after pairing. The
+    diagonal needs no ranking: it is 1 where some date has two distinct values.
     """
+    names = list(names)
     pairs = [
         F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in combinations_with_replacement(names, 2)
+        for a, b in combinations(names, 2)
+    ]
+    spread = df.groupBy("trade_date").agg(*[(F.min(n) < F.max(n)).alias(n) for n in names])
+    varied = spread.agg(*[F.max(n).alias(n) for n in names])
+    own = [
+        F.struct(F.lit(n).alias("factor_a"), F.lit(n).alias("factor_b"), F.when(F.col(n), F.lit(1.0)).alias("correlation"))
+        for n in names
     ]
+    diagonal = varied.select(F.inline(F.array(*own)))
+    if not pairs:
+        return diagonal
     long = df.select("trade_date", "symbol", F.inline(F.array(*pairs)))
     daily = information_coefficient(
         long.where("x IS NOT NULL AND y IS NOT NULL"),
@@ -306,10 +330,10 @@ def factor_correlation(df: DataFrame, names, layout: Layout = WHOLE) -> DataFram
         layout=layout,
     )
     half = daily.groupBy("factor_a", "factor_b").agg(F.avg("ic").alias("correlation"))
-    mirror = half.where("factor_a <> factor_b").select(
+    mirror = half.select(
         F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b"), "correlation"
     )
-    return half.unionByName(mirror)
+    return half.unionByName(mirror).unionByName(diagonal)
 
 
 def coverage_gate(

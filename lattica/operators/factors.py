@@ -231,10 +231,11 @@ def compute_factors(panel: DataFrame, names: Iterable[str]) -> DataFrame:
         believed = F.when(~flag("amount_outside_price_range"), F.col("amount"))
         work = work.withColumns({"_amount": F.col("amount"), "amount": believed})
     work = _stage(work, frames, wanted)
-    values = {f.name: finite(f.build(frames)) for f in chosen}
-    work = work.withColumns(values)
-    if "in_universe" in panel.columns:
-        work = work.withColumns({n: F.when(flag("in_universe"), F.col(n)) for n in names})
+    # built first, cleaned in the next projection: a window expression is then
+    # computed once however often its value is tested
+    work = work.withColumns({f.name: f.build(frames) for f in chosen})
+    inside = flag("in_universe") if "in_universe" in panel.columns else F.lit(True)
+    work = work.withColumns({n: F.when(inside, finite(n)) for n in names})
     if "_amount" in work.columns:
         work = work.withColumn("amount", F.col("_amount"))
     return work.drop(*STAGES, "_overnight_gap", "_amount")
