@@ -225,7 +225,7 @@ def order_view(df):
 
 @query("estimate_orders", ORDERS)
 def estimate_orders(spark, sf):
-    return order_view(portfolio.estimate_orders(*account_tables(spark, sf), "2024-03-04", Costs()))
+    return order_view(portfolio.estimate_orders(*account_tables(spark, sf), "2024-03-04", Costs(), section_layout(spark, sf)))
 
 
 @query(
@@ -233,7 +233,7 @@ def estimate_orders(spark, sf):
     ORDERS.replace("SELECT account_id, CASE WHEN shares > 0", "SELECT *, DATE '2024-03-01' AS signal_date, DATE '2024-03-04' AS planned_trade_date FROM (SELECT account_id, CASE WHEN shares > 0") + ")",
 )
 def next_session_orders(spark, sf):
-    out = portfolio.next_session_orders(*account_tables(spark, sf), "2024-03-01", "2024-03-04", "W-FRI", Costs())
+    out = portfolio.next_session_orders(*account_tables(spark, sf), "2024-03-01", "2024-03-04", "W-FRI", Costs(), section_layout(spark, sf))
     dates = ["signal_date", "planned_trade_date"]
     return out.withColumns(
         {"estimated_fee": F.round("estimated_fee", 4), "estimated_cash_after": F.round("estimated_cash_after", 4)}

@@ -68,23 +68,17 @@ def next_session(dates: DataFrame, sessions: DataFrame, signal: str = "trade_dat
     )
 
 
-def effective_dates(dates: DataFrame, snapshots: DataFrame, by=()) -> DataFrame:
-    """Latest snapshot on or before each date, per ``by`` group; NULL before the first."""
-    by = list(by)
-    groups = snapshots.select(*by).distinct() if by else None
-    wanted = dates.select("trade_date").distinct()
-    if by:
-        # one row per (index, date): both factors are calendar- or list-sized
-        wanted = groups.join(wanted, F.lit(True))
-    marks = snapshots.select(*by, F.col("trade_date").alias("at"), F.col("trade_date").alias("snap"), F.lit(0).alias("side"))
-    asks = wanted.select(*by, F.col("trade_date").alias("at"), F.lit(None).cast("date").alias("snap"), F.lit(1).alias("side"))
-    so_far = W.partitionBy(*by).orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+def effective_dates(dates: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Latest snapshot on or before each distinct date; NULL before the first."""
+    marks = snapshots.select(F.col("trade_date").alias("at"), F.col("trade_date").alias("snap"), F.lit(0).alias("side"))
+    asks = dates.select(F.col("trade_date").alias("at"), F.lit(None).cast("date").alias("snap"), F.lit(1).alias("side"))
+    so_far = W.orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
     return (
         marks.distinct()
-        .unionByName(asks)
+        .unionByName(asks.distinct())
         .withColumn("snapshot_date", F.last("snap", ignorenulls=True).over(so_far))
         .where("side = 1")
-        .select(*by, F.col("at").alias("trade_date"), "snapshot_date")
+        .select(F.col("at").alias("trade_date"), "snapshot_date")
     )
 
 

@@ -25,7 +25,7 @@ from lattica.functions.trading import (
 )
 from lattica.operators.calendars import is_rebalance_due, rebalance_dates
 from lattica.operators.checks import require_columns
-from lattica.operators.sections import WHOLE, Layout, add_positions
+from lattica.operators.sections import WHOLE, Layout, add_positions, add_running, add_stats
 
 
 @dataclass(frozen=True)
@@ -270,18 +270,20 @@ ORDER_COLUMNS = [
 ]
 
 
-def _sold_first(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
-    """Add the outcome of every sale and the cash it leaves, one account window for all.
+def _sold_first(work: DataFrame, date: Column, costs: Costs, layout: Layout) -> DataFrame:
+    """Add the outcome of every sale and the cash it leaves.
 
     A sale that pays for itself always goes through. One that does not (tiny gross
     against the minimum fee) needs cash from the account or from sales before it; only
     those few are folded in order.
     """
-    account = W.partitionBy("account_id")
-    order = account.orderBy(F.col("factor_rank").asc_nulls_last(), "symbol")
+    account = ["account_id"]
+    order = ["_first", "_second"]
     selling = F.col("side") == "SELL"
     work = work.withColumns(
         {
+            "_first": F.coalesce("factor_rank", F.lit(2**31 - 1)),
+            "_second": F.coalesce("symbol", F.lit("")),
             "requested": F.abs(F.col("target_shares") - F.col("current_shares")),
             "estimated_price": F.col("reference_close")
             * F.when(selling, F.lit(1 - costs.slippage)).otherwise(F.lit(1 + costs.slippage)),
@@ -298,17 +300,12 @@ def _sold_first(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
         }
     )
     work = work.withColumn("_net", F.when(selling, F.col("_gross") - F.col("_fee") - F.col("_tax")))
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    sure = F.col("_net") >= 0
-    work = work.withColumns(
-        {
-            "_place": F.row_number().over(order),
-            "_money": F.col("cash") + F.coalesce(F.sum(F.when(sure, F.col("_net"))).over(before), F.lit(0.0)),
-        }
-    )
+    sure = F.coalesce(F.greatest("_net", F.lit(0.0)), F.lit(0.0))
+    work = add_running(work, account, order, {"_place": F.lit(1), "_earned": sure}, layout)
+    work = work.withColumn("_money", F.col("cash") + F.col("_earned") - sure)
     doubtful = F.when(F.col("_net") < 0, F.struct("_place", "_money", "_net"))
-    work = work.withColumn("_queue", F.array_sort(F.collect_list(doubtful).over(account)))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<int>").alias("passed"))
+    work = add_stats(work, account, {"_queue": F.collect_list(doubtful)}, layout)
+    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<bigint>").alias("passed"))
 
     def admit(state: Column, sale: Column) -> Column:
         pays = sale["_money"] + state["spent"] + sale["_net"] >= 0
@@ -316,28 +313,35 @@ def _sold_first(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
             pays,
             F.struct(
                 (state["spent"] + sale["_net"]).alias("spent"),
-                F.concat(state["passed"], F.array(sale["_place"])).alias("passed"),
+                F.concat(state["passed"], F.array(sale["_place"].cast("bigint"))).alias("passed"),
             ),
         ).otherwise(state)
 
-    admitted = F.array_contains(F.aggregate("_queue", start, admit, lambda s: s["passed"]), F.col("_place"))
-    passed = selling & (sure | admitted)
+    passes = F.aggregate(F.array_sort("_queue"), start, admit, lambda s: s["passed"])
+    passed = selling & ((F.col("_net") >= 0) | F.array_contains(passes, F.col("_place").cast("bigint")))
+    work = work.withColumn("_passed", F.coalesce(passed, F.lit(False)))
     work = work.withColumns(
         {
-            "shares": F.when(passed, F.col("_legal")).otherwise(F.lit(0)),
-            "estimated_fee": F.when(passed, F.col("_fee")).otherwise(F.lit(0.0)),
-            "estimated_tax": F.when(passed, F.col("_tax")).otherwise(F.lit(0.0)),
-            "_net": F.when(passed, F.col("_net")).otherwise(F.lit(0.0)),
+            "shares": F.when(F.col("_passed"), F.col("_legal")).otherwise(F.lit(0)),
+            "estimated_fee": F.when(F.col("_passed"), F.col("_fee")).otherwise(F.lit(0.0)),
+            "estimated_tax": F.when(F.col("_passed"), F.col("_tax")).otherwise(F.lit(0.0)),
+            "_net": F.when(F.col("_passed"), F.col("_net")).otherwise(F.lit(0.0)),
         }
     )
-    through = order.rowsBetween(W.unboundedPreceding, 0)
+    work = add_running(work, account, order, {"_raised": F.col("_net")}, layout)
+    work = add_stats(
+        work,
+        account,
+        {"_total": F.sum("_net"), "_most": F.max("shares"), "_moves": F.count("side")},
+        layout,
+    )
     return work.withColumns(
         {
-            "estimated_cash_after": F.col("cash") + F.sum("_net").over(through),
-            "_after_sales": F.col("cash") + F.sum("_net").over(account),
-            "_sold": F.max(F.col("shares")).over(account) > 0,
+            "estimated_cash_after": F.col("cash") + F.col("_raised"),
+            "_after_sales": F.col("cash") + F.col("_total"),
+            "_sold": F.col("_most") > 0,
         }
-    ).drop("_queue", "_money", "_gross", "_fee", "_tax", "_net")
+    ).drop("_queue", "_money", "_earned", "_raised", "_gross", "_fee", "_tax", "_net", "_passed", "_total", "_most")
 
 
 def _buys(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
@@ -385,14 +389,17 @@ def _buys(work: DataFrame, date: Column, costs: Costs) -> DataFrame:
 
 
 def estimate_orders(
-    targets: DataFrame, accounts: DataFrame, holdings: DataFrame, prices: DataFrame, trade_date, costs: Costs
+    targets: DataFrame, accounts: DataFrame, holdings: DataFrame, prices: DataFrame, trade_date, costs: Costs,
+    layout: Layout = WHOLE,
 ) -> DataFrame:
     """Orders that move each account to its targets: sells first, then affordable buys.
 
     ``targets`` is ``(account_id, symbol, target_weight, factor_rank)``, ``holdings``
     ``(account_id, symbol, shares)``. Accounts missing a price for a target or a
     holding get a single PRICE_MISSING row; accounts with nothing to do get NO_TRADE.
-    Everything but the buy fold runs in windows of one exchange on the account.
+    Everything but the buy fold runs in windows of one exchange on the account;
+    ``layout`` (bound: the number of listed symbols) cuts an account into ranges when
+    its holdings could outgrow a task.
     """
     date = trade_date if isinstance(trade_date, Column) else F.lit(trade_date).cast("date")
     owned = holdings.where("shares > 0").select("account_id", "symbol", F.col("shares").cast("long").alias("current_shares"))
@@ -400,7 +407,6 @@ def estimate_orders(
     lines = owned.join(wanted, ["account_id", "symbol"], "full").join(
         prices.select("symbol", finite("close").alias("reference_close")), "symbol", "left"
     )
-    account = W.partitionBy("account_id")
     priced = F.col("symbol").isNull() | F.coalesce(F.col("reference_close") > 0, F.lit(False))
     work = (
         accounts.select("account_id", F.col("cash").cast("double").alias("cash"))
@@ -412,16 +418,16 @@ def estimate_orders(
             }
         )
     )
-    value = F.coalesce(F.sum(F.col("current_shares") * F.col("reference_close")).over(account), F.lit(0.0))
-    work = work.withColumns({"_complete": F.min(priced).over(account), "_equity": F.col("cash") + value})
+    worth = F.sum(F.col("current_shares") * F.col("reference_close"))
+    work = add_stats(work, ["account_id"], {"_complete": F.min(priced), "_worth": worth}, layout)
+    work = work.withColumn("_equity", F.col("cash") + F.coalesce("_worth", F.lit(0.0)))
     desired = F.col("_equity") * F.col("target_weight") / F.col("reference_close")
     work = work.withColumn("target_shares", round_order(desired, "symbol", costs.lot_size))
     move = F.when(F.col("target_shares") < F.col("current_shares"), "SELL").when(
         F.col("target_shares") > F.col("current_shares"), "BUY"
     )
     work = work.withColumn("side", F.when(F.col("_complete") & F.col("symbol").isNotNull(), move))
-    work = _sold_first(work, date, costs).withColumn("_moves", F.count("side").over(account))
-    work = work.withColumn("conditional_on_sells", F.lit(False))
+    work = _sold_first(work, date, costs, layout).withColumn("conditional_on_sells", F.lit(False))
 
     columns = [c for c in ORDER_COLUMNS if c not in ("status", "unfilled_shares")]
     both = work.where("side = 'SELL'").select(*columns, "requested").unionByName(
@@ -450,6 +456,7 @@ def next_session_orders(
     next_date: str | None,
     frequency: str,
     costs: Costs,
+    layout: Layout = WHOLE,
 ) -> DataFrame:
     """Order table of the next session, or the status row that explains its absence."""
     ids = accounts.select("account_id")
@@ -465,7 +472,7 @@ def next_session_orders(
         raise ValueError("the planned session must be after the signal date")
     upcoming = F.lit(next_date).cast("date")
     due = is_rebalance_due(signal, upcoming, frequency)
-    orders = estimate_orders(targets, accounts, holdings, prices, upcoming, costs)
+    orders = estimate_orders(targets, accounts, holdings, prices, upcoming, costs, layout)
     dated = orders.where(due).withColumns({"signal_date": signal, "planned_trade_date": upcoming})
     waiting = only("NO_TRADE", upcoming).where(~due)
     return dated.unionByName(waiting, allowMissingColumns=True)

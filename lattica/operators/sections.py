@@ -46,15 +46,13 @@ def add_stats(df: DataFrame, keys, stats: dict[str, Column], layout: Layout = WH
     return df.join(totals, list(keys), "left")
 
 
-def _ranged(df: DataFrame, keys, value: str, tie: str, descending: bool, layout: Layout) -> DataFrame:
-    ordered = -F.col(value) if descending else F.col(value)
-    pair = F.struct(ordered.alias("v"), F.col(tie).alias("t"))
-    drawn = df.where(F.col(value).isNotNull() & (F.pmod(F.xxhash64(tie), F.lit(layout.sample_every)) == 0))
-    picks = F.array_sort(F.collect_list(pair))
+def _slots(df: DataFrame, keys, order: Column, seed: str, known: Column, layout: Layout) -> DataFrame:
+    """Add ``_slot``: the range of ``order`` a row falls in, cut at sampled quantiles."""
+    drawn = df.where(known & (F.pmod(F.xxhash64(seed), F.lit(layout.sample_every)) == 0))
     steps = F.sequence(F.lit(1), F.lit(layout.splits - 1))
     cuts = (
         drawn.groupBy(*keys)
-        .agg(picks.alias("_picks"))
+        .agg(F.array_sort(F.collect_list(order)).alias("_picks"))
         .select(
             *keys,
             F.transform(
@@ -62,11 +60,46 @@ def _ranged(df: DataFrame, keys, value: str, tie: str, descending: bool, layout:
             ).alias("_cuts"),
         )
     )
-    below = F.size(F.filter("_cuts", lambda cut: cut < pair))
+    below = F.size(F.filter("_cuts", lambda cut: cut < order))
     slot = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
     return df.join(cuts, list(keys), "left").withColumn("_slot", slot).drop("_cuts")
 
 
+def _ranged(df: DataFrame, keys, value: str, tie: str, descending: bool, layout: Layout) -> DataFrame:
+    ordered = -F.col(value) if descending else F.col(value)
+    pair = F.struct(ordered.alias("v"), F.col(tie).alias("t"))
+    return _slots(df, keys, pair, tie, F.col(value).isNotNull(), layout)
+
+
+def add_running(
+    df: DataFrame, keys, order: list[str], values: dict[str, Column], layout: Layout = WHOLE
+) -> DataFrame:
+    """Running sums along ``order`` (non-null columns) inside each key, own row included.
+
+    Beyond the bound of one task a key is cut into ranges of the order; each range is
+    summed on its own and starts from the total of the ranges before it.
+    """
+    if layout.splits == 1:
+        path = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({n: F.coalesce(F.sum(v).over(path), F.lit(0)) for n, v in values.items()})
+    pair = F.struct(*order)
+    cut = _slots(settle(df), keys, pair, order[-1], F.lit(True), layout).withColumns(
+        {f"_v_{n}": v for n, v in values.items()}
+    )
+    totals = cut.groupBy(*keys, "_slot").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(
+        *keys, "_slot", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values]
+    )
+    path = W.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inner = {n: F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(path), F.lit(0)) for n in values}
+    return (
+        cut.join(starts, [*keys, "_slot"])
+        .withColumns(inner)
+        .drop("_slot", *[f"_v_{n}" for n in values], *[f"_s_{n}" for n in values])
+    )
+
+
 def add_positions(
     df: DataFrame,
     keys,
@@ -108,9 +141,12 @@ def add_average_rank(
     """Rank with ties sharing their mean, NULL where the value is NULL."""
     known = F.col(value).isNotNull()
     if layout.splits == 1:
-        low = F.rank().over(W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()))
-        ties = F.count(value).over(W.partitionBy(*keys, value))
-        return df.withColumn(name, F.when(known, low + (ties - 1) / F.lit(2.0)))
+        # ties are the row's peers in the same order, so rank and ties share one sort
+        order = W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        peers = order.rangeBetween(W.currentRow, W.currentRow)
+        ranked = df.withColumns({"_low": F.rank().over(order), "_ties": F.count(value).over(peers)})
+        shared = F.when(known, F.col("_low") + (F.col("_ties") - 1) / F.lit(2.0))
+        return ranked.withColumn(name, shared).drop("_low", "_ties")
     placed = settle(add_positions(df, keys, value, tie=tie, position="_p", layout=layout))
     shared = (
         placed.where(known)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.trading import Costs, affordable_quantity
 from lattica.operators import ledger, performance, portfolio
+from lattica.operators.sections import WHOLE, Layout
 
 D = dt.date(2024, 3, 4)
 
@@ -78,7 +79,8 @@ def simulate(cash, held, targets, prices, c):
     return out
 
 
-def test_orders_equal_sequential_simulation(spark):
+@pytest.mark.parametrize("layout", [WHOLE, Layout(splits=3, sample_every=1)])
+def test_orders_equal_sequential_simulation(spark, layout):
     rng = random.Random(11)
     symbols = [f"{p}{i:03d}.SH" for p in ("600", "688") for i in range(8)]
     # penny names make sales that cannot pay their own fee
@@ -104,6 +106,7 @@ def test_orders_equal_sequential_simulation(spark):
         spark.createDataFrame(list(prices.items()), "symbol string, close double"),
         "2024-03-04",
         c,
+        layout,
     ).collect()
     found = {a: {} for a in want}
     for r in got:
