@@ -38,25 +38,27 @@ def cents(expression: str) -> str:
 
 
 BAR = ["open", "high", "low", "close", "volume", "amount"]
-BAR_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in BAR)
+# a price is cents over a quantity, so nine digits never end on a tie
+DIGITS = {c: 2 if c in ("volume", "amount") else 9 for c in BAR}
+BAR_SQL = ", ".join(f"round({c}, {DIGITS[c]}) AS {c}" for c in BAR)
 
 
 @query("panel_daily", with_daily(f"SELECT trade_date, symbol, {BAR_SQL}, is_st, is_suspended, round(adj_factor, 6) AS adj_factor, industry, round(market_cap, 6) AS market_cap FROM daily"))
 def panel_daily(spark, sf):
     return daily_panel(spark, sf).select(
-        "trade_date", "symbol", *[r(c) for c in BAR], "is_st", "is_suspended", r("adj_factor"), "industry", r("market_cap")
+        "trade_date", "symbol", *[r(c, DIGITS[c]) for c in BAR], "is_st", "is_suspended", r("adj_factor"), "industry", r("market_cap")
     )
 
 
 @query("panel_weekly", with_weekly(f"SELECT trade_date, symbol, {BAR_SQL}, is_st, is_suspended, round(adj_factor, 6) AS adj_factor FROM weekly"))
 def panel_weekly(spark, sf):
-    return weekly_panel(spark, sf).select("trade_date", "symbol", *[r(c) for c in BAR], "is_st", "is_suspended", r("adj_factor"))
+    return weekly_panel(spark, sf).select("trade_date", "symbol", *[r(c, DIGITS[c]) for c in BAR], "is_st", "is_suspended", r("adj_factor"))
 
 
 @query(
     "normalize_panel",
     with_daily(
-        """SELECT trade_date, symbol, round(open, 6) AS open, CASE WHEN volume % 7 <> 0 THEN volume END AS volume,
+        """SELECT trade_date, symbol, round(open, 9) AS open, CASE WHEN volume % 7 <> 0 THEN volume END AS volume,
       coalesce(CASE WHEN volume % 5 <> 0 THEN is_st END, FALSE) AS is_st, FALSE AS is_limit_up, FALSE AS is_st_known,
       1.0::DOUBLE AS adj_factor, 'UNKNOWN' AS industry FROM daily"""
     ),
@@ -71,7 +73,7 @@ def normalize_panel(spark, sf):
         F.when(F.col("volume") % 5 != 0, F.col("is_st")).alias("is_st"),
     )
     out = quality.normalize_panel(raw)
-    return out.select("trade_date", "symbol", r("open"), "volume", "is_st", "is_limit_up", "is_st_known", "adj_factor", "industry")
+    return out.select("trade_date", "symbol", r("open", 9), "volume", "is_st", "is_limit_up", "is_st_known", "adj_factor", "industry")
 
 
 @query(
@@ -206,11 +208,11 @@ def universe_mask(spark, sf):
 
 @query(
     "adjusted_open",
-    with_daily("SELECT trade_date, symbol, round(close * adj_factor, 6) AS adj_close, round(open * adj_factor, 6) AS adj_open FROM daily"),
+    with_daily("SELECT trade_date, symbol, round(close * adj_factor, 9) AS adj_close, round(open * adj_factor, 9) AS adj_open FROM daily"),
 )
 def adjusted_open(spark, sf):
     out = adjust.adjusted_open(daily_panel(spark, sf).drop("adj_close", "adj_open"))
-    return out.select("trade_date", "symbol", r("adj_close"), r("adj_open"))
+    return out.select("trade_date", "symbol", r("adj_close", 9), r("adj_open", 9))
 
 
 @query(
@@ -258,7 +260,7 @@ def vendor_b_normalize(spark, sf):
     "vendor_c_normalize",
     with_daily(
         """, s AS (SELECT *, volume % 10 = 3 AS halted, volume % 20 = 3 AS absent FROM daily)
-      SELECT trade_date, symbol, CASE WHEN NOT absent THEN round(open, 6) END AS open, CASE WHEN NOT absent THEN volume * 100 END AS volume,
+      SELECT trade_date, symbol, CASE WHEN NOT absent THEN round(open, 9) END AS open, CASE WHEN NOT absent THEN volume * 100 END AS volume,
         CASE WHEN NOT absent THEN round(amount * 1000, 6) END AS amount, CASE WHEN volume % 4 <> 0 THEN round(adj_factor, 6) END AS adj_factor,
         round(market_cap * 10000, 6) AS market_cap, coalesce(NOT absent AND open >= high * (1 - 1e-6), FALSE) AS is_limit_up,
         TRUE AS limit_status_known, halted AS is_suspended, TRUE AS is_suspended_known, FALSE AS is_st, FALSE AS is_st_known FROM s"""
@@ -277,7 +279,7 @@ def vendor_c_normalize(spark, sf):
         suspended=bars.where(v % 10 == 3).select(*keys),
     )
     return out.select(
-        "trade_date", "symbol", r("open"), "volume", r("amount"), r("adj_factor"), r("market_cap"), "is_limit_up",
+        "trade_date", "symbol", r("open", 9), "volume", r("amount"), r("adj_factor"), r("market_cap"), "is_limit_up",
         "limit_status_known", "is_suspended", "is_suspended_known", "is_st", "is_st_known",
     )
 
@@ -311,7 +313,7 @@ ISSUE_SQL = """CASE WHEN susp IS NULL THEN 'STATUS_UNKNOWN' WHEN NOT usable THEN
         volume % 17 <> 0 AS st_known, CASE WHEN volume % 19 <> 0 THEN open ELSE 0 END AS o,
         CASE WHEN volume % 5 = 0 THEN low ELSE high END AS up, CASE WHEN volume % 7 = 0 THEN high ELSE low END AS down FROM daily)
       SELECT trade_date, symbol, {ISSUE_SQL} AS reason,
-        round(greatest(least(o * 1.0005, up), down), 6) AS buy_price, round(greatest(least(o * 0.9995, up), down), 6) AS sell_price FROM m"""
+        round(ln(greatest(least(o * 1.0005, up), down)), 9) AS log_buy_price, round(ln(greatest(least(o * 0.9995, up), down)), 9) AS log_sell_price FROM m"""
     ),
 )
 def executability(spark, sf):
@@ -323,9 +325,9 @@ def executability(spark, sf):
         F.when(v % 5 == 0, F.col("low")).otherwise(F.col("high")).alias("up_limit"),
         F.when(v % 7 == 0, F.col("high")).otherwise(F.col("low")).alias("down_limit"),
     )
-    price = lambda side: F.round(execution_price(F.lit(side), "open", "up_limit", "down_limit", 0.0005), 6)
+    price = lambda side: F.round(F.ln(execution_price(F.lit(side), "open", "up_limit", "down_limit", 0.0005)), 9)
     return m.select(
-        "trade_date", "symbol", data_issue(m.columns).alias("reason"), price("BUY").alias("buy_price"), price("SELL").alias("sell_price")
+        "trade_date", "symbol", data_issue(m.columns).alias("reason"), price("BUY").alias("log_buy_price"), price("SELL").alias("log_sell_price")
     )
 
 
