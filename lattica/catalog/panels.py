@@ -28,6 +28,7 @@ from lattica.plans.panel import (
     vendor_bars,
     weekly_panel,
 )
+from lattica.session import settle
 from lattica.plans.studies import build_dataset, build_small_dataset, consolidate_panel
 
 
@@ -471,7 +472,7 @@ def price_chain(spark, sf):
 def audited(spark, sf):
     v = F.col("volume")
     bars = daily_panel(spark, sf)
-    return bars.withColumns(
+    broken = bars.withColumns(
         {
             "close": F.when(v % 13 == 0, F.col("high") + 1).when(v % 31 != 0, F.col("close")),
             "volume": F.when(v % 17 == 0, -v).otherwise(v),
@@ -480,6 +481,7 @@ def audited(spark, sf):
             "in_index": v % 2 == 0,
         }
     ).drop("adj_close", "adj_open").where("trade_date <> DATE '2000-02-02'")
+    return settle(broken)  # the audit reads it several times
 
 
 AUDITED = """, au AS (SELECT * REPLACE (CASE WHEN volume % 13 = 0 THEN high + 1 WHEN volume % 31 <> 0 THEN close END AS close,

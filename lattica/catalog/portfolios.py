@@ -23,6 +23,7 @@ from lattica.operators.preprocess import preprocess
 from lattica.operators.universe import UniverseRule, apply_universe
 from lattica.plans import studies
 from lattica.plans.panel import section_layout, symbol_of, table, weekly_panel
+from lattica.session import settle
 
 
 def r(name: str, digits: int = 6):
@@ -34,12 +35,12 @@ TOP = process_sql("sig", "reversal_5", "trade_date", False) + """, top AS (SELEC
   weights AS (SELECT trade_date, symbol, least(1.0 / count(*) OVER (PARTITION BY trade_date), 0.08) AS target_weight, factor_processed FROM top)"""
 
 
-def processed(spark, sf):
-    return preprocess(signals(spark, sf), "reversal_5", 5.0, False, False, layout=section_layout(spark, sf))
+def processed(spark, sf, bars=None):
+    return preprocess(signals(spark, sf, bars), "reversal_5", 5.0, False, False, layout=section_layout(spark, sf))
 
 
-def weights(spark, sf):
-    return portfolio.top_n_weights(processed(spark, sf), "factor_processed", 10, "W-FRI", 0.08)
+def weights(spark, sf, bars=None):
+    return portfolio.top_n_weights(processed(spark, sf, bars), "factor_processed", 10, "W-FRI", 0.08)
 
 
 @query(
@@ -317,7 +318,8 @@ RETURNS = TOP + """, ses AS (SELECT DISTINCT trade_date FROM weekly), wd AS (SEL
 def run_returns(spark, sf):
     """Returns of the top-ten weights; the random prices are damped to equity-like moves."""
     damped = {c: F.pow(F.col(c), F.lit(0.05)) for c in ("adj_open", "adj_close")}
-    return performance.portfolio_returns(weekly_panel(spark, sf).withColumns(damped), weights(spark, sf))
+    bars = settle(weekly_panel(spark, sf))  # read by the signals, the calendar and the returns
+    return performance.portfolio_returns(bars.withColumns(damped), settle(weights(spark, sf, bars)))
 
 
 @query(
@@ -490,7 +492,7 @@ LEDGER = """, ses AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date)
 
 def books(spark, sf):
     """Ledgers per industry: alternate buys and sells of each symbol, with planted faults."""
-    weekly = weekly_panel(spark, sf)
+    weekly = settle(weekly_panel(spark, sf))
     sessions = calendars.session_list(weekly)
     w = W.partitionBy("symbol").orderBy("trade_date")
     v = F.col("volume")
@@ -517,6 +519,7 @@ def books(spark, sf):
         (v + F.when((v % 71 == 0) & (F.col("_day") == F.col("session_idx")), 1).otherwise(0)).alias("shares"),
         "close", (F.col("close") * v).alias("market_value"),
     )
+    trades, positions = settle(trades), settle(positions)
     flows = trades.groupBy("run_id", "trade_date").agg(F.sum(ledger.cash_flow()).alias("_f"))
     worth = positions.groupBy("run_id", "trade_date").agg(F.sum("market_value").alias("market_value"))
     grid = rows.select("run_id").distinct().join(sessions, F.lit(True))  # runs x sessions
@@ -529,7 +532,7 @@ def books(spark, sf):
         .withColumn("equity", F.col("cash") + F.col("market_value"))
         .select("run_id", "trade_date", "cash", "market_value", "equity")
     )
-    return equity, trades, positions
+    return settle(equity), trades, positions
 
 
 FAR = "NOT coalesce(abs({a} - {b}) <= 1e-6 + 1e-9 * abs({b}), FALSE)"

@@ -14,9 +14,9 @@ from lattica.plans.panel import section_layout, weekly_panel
 NAMES = ["reversal_5", "momentum_20_5", "volatility_20", "amount_momentum_20"]
 
 
-def signals(spark, sf):
+def signals(spark, sf, bars=None):
     """Weekly panel with four factors and both five-step labels."""
-    panel = compute_factors(weekly_panel(spark, sf), NAMES)
+    panel = compute_factors(weekly_panel(spark, sf) if bars is None else bars, NAMES)
     return labels.add_execution_returns(labels.add_forward_returns(panel, (5,), "adj_close"), (5,))
 
 
