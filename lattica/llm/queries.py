@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import sharding
+from lattica.llm import packing, sharding, tokencount, wavelet
 from lattica.llm.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,18 @@ def query(name: str, sql: str | None = None):
 @query("op4_best_fit_shards")
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pattern_packing")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_counts")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_wavelet_token_files")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_index(table(spark, sf_dir, "documents"))
