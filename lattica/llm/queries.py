@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import packing, sharding, tokencount, wavelet
+from lattica.llm import decontaminate, packing, perplexity, sharding, tokencount, wavelet
 from lattica.llm.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_wavelet_token_files")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_index(table(spark, sf_dir, "documents"))
+
+
+@query("op5_perplexity_rules")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_array_decontamination")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
