@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, packing, perplexity, sharding, tokencount, wavelet
+from lattica.llm import decontaminate, htmltext, packing, perplexity, sharding, tokencount, wavelet
 from lattica.llm.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_decontamination")
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_block_rules_html")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
