@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, htmltext, packing, perplexity, sharding, tokencount, wavelet
+from lattica.llm import decontaminate, htmltext, packing, perplexity, pulearning, sharding, tokencount, wavelet
 from lattica.llm.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_block_rules_html")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op2_positive_unlabelled")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulearning.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
