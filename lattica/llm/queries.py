@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, htmltext, packing, perplexity, pulearning, sharding, tokencount, wavelet
+from lattica.llm import decontaminate, htmltext, jaccard, packing, perplexity, pulearning, sharding, tokencount, wavelet
 from lattica.llm.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_positive_unlabelled")
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearning.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_adaptive_prefix_join")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
