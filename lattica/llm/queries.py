@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, htmltext, jaccard, packing, perplexity, pulearning, sharding, tokencount, wavelet
+from lattica.llm import decontaminate, htmltext, jaccard, packing, perplexity, pulearning, sharding, suffixdedup, tokencount, wavelet
 from lattica.llm.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_adaptive_prefix_join")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query("op1_suffix_array_levels")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removal_report(table(spark, sf_dir, "documents"))
