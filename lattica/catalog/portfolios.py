@@ -315,6 +315,50 @@ RETURNS = TOP + """, ses AS (SELECT DISTINCT trade_date FROM weekly), wd AS (SEL
     exp(sum(ln(1 + gross_return)) OVER (ORDER BY trade_date)) AS gross_equity FROM ret_run)"""
 
 
+RUNS = process_sql("sig", "reversal_5", "trade_date", False) + """, best AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY factor_processed DESC, symbol) AS rk
+    FROM processed WHERE factor_processed IS NOT NULL),
+  due AS (SELECT 'M' AS run, 12 AS n, max(trade_date) AS trade_date FROM best GROUP BY date_trunc('month', trade_date)
+    UNION ALL SELECT 'W-FRI', 10, max(trade_date) FROM best GROUP BY date_trunc('week', trade_date + 2)),
+  weights AS (SELECT run, trade_date, symbol, least(1.0 / count(*) OVER (PARTITION BY run, trade_date), 0.08) AS target_weight FROM best JOIN due USING (trade_date) WHERE rk <= n),
+  ses AS (SELECT DISTINCT trade_date FROM weekly), wd AS (SELECT DISTINCT run, trade_date FROM weights),
+  ex AS (SELECT run, wd.trade_date AS signal_date, min(s.trade_date) AS exec_date FROM wd JOIN ses s ON s.trade_date > wd.trade_date GROUP BY 1, 2),
+  sch AS (SELECT run, s.trade_date, max(e.signal_date) AS signal_date, max(CASE WHEN e.exec_date < s.trade_date THEN e.signal_date END) AS prior, bool_or(e.exec_date = s.trade_date) AS is_exec
+    FROM ses s JOIN ex e ON e.exec_date <= s.trade_date GROUP BY 1, 2),
+  mv AS (SELECT trade_date, symbol, pow(adj_open, 0.05) AS adj_open, pow(adj_close, 0.05) AS adj_close, lag(pow(adj_close, 0.05)) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev FROM weekly),
+  con AS (SELECT s.run, s.trade_date, target_weight * coalesce(CASE WHEN is_exec THEN adj_close / adj_open - 1 ELSE adj_close / prev - 1 END, 0) AS c
+      FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.signal_date JOIN mv m ON m.trade_date = s.trade_date AND m.symbol = w.symbol
+    UNION ALL SELECT s.run, s.trade_date, target_weight * coalesce(adj_open / prev - 1, 0)
+      FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.prior JOIN mv m ON m.trade_date = s.trade_date AND m.symbol = w.symbol WHERE is_exec),
+  ch AS (SELECT run, trade_date, symbol, sum(d) AS d FROM (SELECT s.run, s.trade_date, w.symbol, w.target_weight AS d FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.signal_date WHERE is_exec
+    UNION ALL SELECT s.run, s.trade_date, w.symbol, -w.target_weight FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.prior WHERE is_exec) GROUP BY 1, 2, 3),
+  tn AS (SELECT run, trade_date, sum(greatest(d, 0)) AS bought, sum(greatest(-d, 0)) AS sold FROM ch GROUP BY 1, 2),
+  gr AS (SELECT run, trade_date, sum(c) AS g FROM con GROUP BY 1, 2),
+  ret_run AS (SELECT s.run, s.trade_date, coalesce(g, 0) AS gross_return, coalesce(bought * (0.00002 + 0.0008) + sold * (0.00002 + 0.001 + 0.0008), 0) AS cost, coalesce(bought + sold, 0) AS turnover
+    FROM sch s LEFT JOIN gr USING (run, trade_date) LEFT JOIN tn USING (run, trade_date)),
+  eqt AS (SELECT *, exp(sum(ln(1 + gross_return - cost)) OVER (PARTITION BY run ORDER BY trade_date)) AS equity FROM ret_run),
+  stp AS (SELECT *, equity / lag(equity) OVER w - 1 AS x, equity / max(equity) OVER w - 1 AS dd FROM eqt WINDOW w AS (PARTITION BY run ORDER BY trade_date)),
+  met AS (SELECT run, count(*) AS n, arg_max(equity, trade_date) / arg_min(equity, trade_date) - 1 AS total, avg(x) AS m, stddev_samp(x) AS sd, min(dd) AS dd, sum(turnover) AS traded FROM stp GROUP BY 1)"""
+
+
+def several_runs(spark, sf):
+    """A weekly and a monthly strategy side by side: each follows its own dates."""
+    damped = {c: F.pow(F.col(c), F.lit(0.05)) for c in ("adj_open", "adj_close")}
+    bars = settle(weekly_panel(spark, sf))
+    scores = settle(processed(spark, sf, bars).where("factor_processed IS NOT NULL"))
+    parts = [
+        portfolio.top_n_weights(scores.withColumn("run", F.lit(f)), "factor_processed", n, f, 0.08, by=("run",)) for f, n in (("W-FRI", 10), ("M", 12))
+    ]
+    return performance.portfolio_returns(bars.withColumns(damped), settle(parts[0].unionByName(parts[1])), by=("run",))
+
+
+@query(
+    "portfolio_returns_runs",
+    sig_sql(RUNS + " SELECT run, trade_date, round(gross_return, 6) AS gross_return, round(cost, 6) AS cost, round(turnover, 6) AS turnover FROM ret_run"),
+)
+def portfolio_returns_runs(spark, sf):
+    return several_runs(spark, sf).select("run", "trade_date", r("gross_return"), r("cost"), r("turnover"))
+
+
 def run_returns(spark, sf):
     """Returns of the top-ten weights; the random prices are damped to equity-like moves."""
     damped = {c: F.pow(F.col(c), F.lit(0.05)) for c in ("adj_open", "adj_close")}
@@ -358,6 +402,16 @@ def performance_metrics(spark, sf):
     return rounded(performance.performance_metrics(performance.nav(run_returns(spark, sf)), 52), METRICS)
 
 
+@query(
+    "performance_metrics_runs",
+    sig_sql(RUNS + " SELECT run, TRUE AS valid, round(traded, 6) AS turnover, " + METRIC_COLUMNS + " FROM met"),
+)
+def performance_metrics_runs(spark, sf):
+    paths = settle(performance.nav(several_runs(spark, sf), by=("run",)))
+    traded = paths.groupBy("run").agg(F.sum("turnover").alias("turnover"))
+    return rounded(performance.performance_metrics(paths, 52, ("run",)).join(traded, "run"), [*METRICS, "turnover"])
+
+
 @query(
     "cost_drag",
     sig_sql(

@@ -37,10 +37,10 @@ def trailing_sessions(sessions: DataFrame, count: int) -> DataFrame:
     )
 
 
-def rebalance_dates(dates: DataFrame, frequency: str = "W-FRI", next_session=None) -> DataFrame:
-    """Last observed date of each period; a period still running is left out."""
-    distinct = dates.select("trade_date").distinct()
-    last = distinct.groupBy(period_key("trade_date", frequency).alias("period")).agg(
+def rebalance_dates(dates: DataFrame, frequency: str = "W-FRI", next_session=None, by=()) -> DataFrame:
+    """Last observed date of each period (and strategy); a period still running is left out."""
+    distinct = dates.select(*by, "trade_date").distinct()
+    last = distinct.groupBy(*by, period_key("trade_date", frequency).alias("period")).agg(
         F.max("trade_date").alias("trade_date")
     )
     if next_session is not None and frequency.upper() != "D":

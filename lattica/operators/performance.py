@@ -15,18 +15,29 @@ from lattica.functions.trading import Costs, data_issue, stamp_rate, transfer_ra
 from lattica.operators.calendars import next_session, session_list
 
 
-def effective_schedule(signal_dates: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per session: the execution in force (``exec_date``) and the one before it."""
-    schedule = next_session(signal_dates.select("trade_date").distinct(), sessions).where("exec_date IS NOT NULL")
+def effective_schedule(signal_dates: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
+    """Per run and session: the execution in force (``exec_date``) and the one before it.
+
+    Each run follows its own signal dates only, whatever runs stand beside it.
+    """
+    by = list(by)
+    signals = signal_dates.select(*by, F.col("trade_date").alias("signal_date")).distinct()
+    executed = next_session(signals.select(F.col("signal_date").alias("trade_date")), sessions).where("exec_date IS NOT NULL")
     # two signals before the same session: the later one stands
-    schedule = schedule.groupBy("exec_date").agg(F.max("signal_date").alias("signal_date"))
-    marked = sessions.select("trade_date").join(schedule, F.col("trade_date") == F.col("exec_date"), "left")
-    order = W.orderBy("trade_date")  # one row per session
+    schedule = signals.join(F.broadcast(executed), "signal_date")  # one row per signal date
+    schedule = schedule.groupBy(*by, "exec_date").agg(F.max("signal_date").alias("signal_date"))
+    grid = sessions.select("trade_date")
+    if by:
+        grid = F.broadcast(grid).join(signals.select(*by).distinct(), F.lit(True))  # runs x sessions: the output's own size
+    schedule = schedule.withColumn("is_execution", F.lit(True)).withColumnRenamed("exec_date", "trade_date")
+    marked = grid.join(schedule, [*by, "trade_date"], "left")
+    order = W.partitionBy(*by).orderBy("trade_date")  # one row per session
     return marked.select(
+        *by,
         "trade_date",
         F.last("signal_date", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("signal_date"),
         F.last("signal_date", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("prior_signal"),
-        F.col("exec_date").isNotNull().alias("is_execution"),
+        F.coalesce("is_execution", F.lit(False)).alias("is_execution"),
     ).where("signal_date IS NOT NULL")
 
 
@@ -42,30 +53,31 @@ def portfolio_returns(market: DataFrame, weights: DataFrame, costs: Costs | None
     costs = costs or Costs()
     by = list(by)
     sessions = session_list(market)
-    schedule = effective_schedule(weights, sessions)
+    schedule = effective_schedule(weights, sessions, by)
     previous = F.lag("adj_close").over(W.partitionBy("symbol").orderBy("trade_date"))
-    moves = market.select("trade_date", "symbol", "adj_open", "adj_close", previous.alias("_prev")).join(
-        F.broadcast(schedule), "trade_date"  # one row per session
-    )
-    moves = moves.withColumns(
-        {
-            "_day": ratio("adj_close", positive("adj_open")) - 1,
-            "_night": ratio("adj_open", positive("_prev")) - 1,
-            "_full": ratio("adj_close", positive("_prev")) - 1,
-        }
+    moves = market.select(
+        "trade_date",
+        "symbol",
+        (ratio("adj_close", positive("adj_open")) - 1).alias("_day"),
+        (ratio("adj_open", positive(previous)) - 1).alias("_night"),
+        (ratio("adj_close", positive(previous)) - 1).alias("_full"),
     )
     held = weights.select(*by, F.col("trade_date").alias("signal_date"), "symbol", F.col("target_weight").alias("w"))
-    current = moves.select(
-        "trade_date", "symbol", "signal_date", F.when(F.col("is_execution"), F.col("_day")).otherwise(F.col("_full")).alias("_move")
+    current = schedule.join(held, [*by, "signal_date"]).select(
+        *by, "trade_date", "symbol", "w", F.when(F.col("is_execution"), "day").otherwise("full").alias("_part")
     )
-    leaving = moves.where("is_execution AND prior_signal IS NOT NULL").select(
-        "trade_date", "symbol", F.col("prior_signal").alias("signal_date"), F.col("_night").alias("_move")
+    leaving = (
+        schedule.where("is_execution AND prior_signal IS NOT NULL")
+        .select(*by, "trade_date", F.col("prior_signal").alias("signal_date"))
+        .join(held, [*by, "signal_date"])
+        .select(*by, "trade_date", "symbol", "w", F.lit("night").alias("_part"))
     )
+    move = F.when(F.col("_part") == "day", F.col("_day")).when(F.col("_part") == "night", F.col("_night")).otherwise(F.col("_full"))
     earned = (
         current.unionByName(leaving)
-        .join(held, ["signal_date", "symbol"])
+        .join(moves, ["trade_date", "symbol"])
         .groupBy(*by, "trade_date")
-        .agg(F.sum(F.col("w") * F.coalesce("_move", F.lit(0.0))).alias("gross_return"))
+        .agg(F.sum(F.col("w") * F.coalesce(move, F.lit(0.0))).alias("gross_return"))
     )
     traded = turnover(weights, schedule, by)
     buy = costs.commission_rate + costs.slippage
@@ -74,10 +86,7 @@ def portfolio_returns(market: DataFrame, weights: DataFrame, costs: Costs | None
         F.col("bought") * (transfer_rate("trade_date", costs) + buy)
         + F.col("sold") * (transfer_rate("trade_date", costs) + stamp_rate("trade_date", costs) + buy),
     )
-    runs = weights.select(*by).distinct() if by else None
-    grid = schedule.select("trade_date")
-    if runs is not None:
-        grid = grid.join(runs, F.lit(True))  # runs x sessions: the output's own size
+    grid = schedule.select(*by, "trade_date")
     return (
         grid.join(earned, [*by, "trade_date"], "left")
         .join(charged, [*by, "trade_date"], "left")
@@ -95,13 +104,14 @@ def portfolio_returns(market: DataFrame, weights: DataFrame, costs: Costs | None
 def turnover(weights: DataFrame, schedule: DataFrame, by=()) -> DataFrame:
     """Weight bought and sold at each execution session."""
     by = list(by)
-    steps = schedule.where("is_execution").select("trade_date", "signal_date", "prior_signal")
+    steps = schedule.where("is_execution").select(*by, "trade_date", "signal_date", "prior_signal")
     held = weights.select(*by, F.col("trade_date").alias("signal_date"), "symbol", F.col("target_weight").alias("w"))
-    new = steps.select("trade_date", "signal_date").join(held, "signal_date").select(*by, "trade_date", "symbol", F.col("w").alias("_d"))
+    key = [*by, "signal_date"]
+    new = steps.select(*key, "trade_date").join(held, key).select(*by, "trade_date", "symbol", F.col("w").alias("_d"))
     old = (
         steps.where("prior_signal IS NOT NULL")
-        .select("trade_date", F.col("prior_signal").alias("signal_date"))
-        .join(held, "signal_date")
+        .select(*by, "trade_date", F.col("prior_signal").alias("signal_date"))
+        .join(held, key)
         .select(*by, "trade_date", "symbol", (-F.col("w")).alias("_d"))
     )
     change = new.unionByName(old).groupBy(*by, "trade_date", "symbol").agg(F.sum("_d").alias("_d"))
@@ -264,10 +274,8 @@ def stale_valuations(targets: DataFrame, market: DataFrame, by=()) -> DataFrame:
     """Held sessions without a valid close, with the last valid mark they are valued at."""
     by = list(by)
     sessions = session_list(market)
-    schedule = effective_schedule(targets, sessions).select("trade_date", "signal_date")
-    held = targets.select(*by, F.col("trade_date").alias("signal_date"), "symbol").join(
-        F.broadcast(schedule), "signal_date"  # one row per session
-    )
+    schedule = effective_schedule(targets, sessions, by).select(*by, "trade_date", "signal_date")
+    held = targets.select(*by, F.col("trade_date").alias("signal_date"), "symbol").join(schedule, [*by, "signal_date"])
     marks = market.select("trade_date", "symbol", positive(finite("close")).alias("_mark"))
     so_far = W.partitionBy(*by, "symbol").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
     return (

@@ -50,8 +50,10 @@ class SelectionRule:
 
 
 def _at_rebalance(signals: DataFrame, frequency: str, next_session, by=()) -> DataFrame:
-    dates = rebalance_dates(signals, frequency, next_session).select("trade_date")
-    return signals.join(F.broadcast(dates), "trade_date", "left_semi")  # one row per period
+    """Rows on a strategy's own rebalance dates: each strategy's calendar is its own data's."""
+    keys = [*by, "trade_date"]
+    dates = rebalance_dates(signals, frequency, next_session, by).select(*keys)
+    return signals.join(F.broadcast(dates), keys, "left_semi")  # one row per strategy and period
 
 
 def _best(by=()):
@@ -71,7 +73,7 @@ def top_n_weights(
     require_columns(signals, ["trade_date", "symbol", signal])
     if top_n <= 0 or not 0 < max_weight <= 1:
         raise ValueError("top_n is positive and max_weight is in (0, 1]")
-    work = _at_rebalance(signals, frequency, next_session).where(F.col(signal).isNotNull())
+    work = _at_rebalance(signals, frequency, next_session, by).where(F.col(signal).isNotNull())
     order = _best(by).orderBy(F.desc(signal), "symbol")
     chosen = work.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n)
     held = F.count("*").over(_best(by))
@@ -99,7 +101,7 @@ def buffered_top_n(
     require_columns(signals, ["trade_date", "symbol", signal])
     if exit_rank < top_n or top_n <= 0:
         raise ValueError("exit_rank >= top_n > 0 is required")
-    work = _at_rebalance(signals, frequency, next_session).where(F.col(signal).isNotNull())
+    work = _at_rebalance(signals, frequency, next_session, by).where(F.col(signal).isNotNull())
     order = _best(by).orderBy(F.desc(signal), "symbol")
     ranked = (
         work.select(*by, "trade_date", "symbol", signal)
