@@ -579,19 +579,21 @@ query("partition_windows_yearly", _windows(False))(_window_query(False))
 @query(
     "extract_violations",
     f"""WITH x AS (SELECT year(l_shipdate) AS partition, l_suppkey AS code, {DAY} AS d FROM lineitem),
-      q AS (SELECT DISTINCT year(l_shipdate) AS partition FROM lineitem),
       keyed AS (SELECT partition, code, d, count(*) AS n FROM x GROUP BY ALL),
       dup AS (SELECT partition, sum(n - 1) AS duplicate_rows FROM keyed GROUP BY partition)
-    SELECT x.partition, count(*) AS rows, count(*) FILTER (WHERE code % 10 = 3) AS unrequested_codes,
-      count(*) FILTER (WHERE month(d) = 12) AS dates_outside, CAST(max(duplicate_rows) AS BIGINT) AS duplicate_rows,
-      count(*) > 9000 AS over_limit, FALSE AS accepted FROM x JOIN dup USING (partition) GROUP BY x.partition""",
+    SELECT x.partition, count(*) AS rows, x.partition = 1995 AS unrequested_partition, count(*) FILTER (WHERE code % 10 = 3) AS unrequested_codes,
+      count(*) FILTER (WHERE month(d) = 12 OR x.partition = 1995) AS dates_outside, CAST(max(duplicate_rows) AS BIGINT) AS duplicate_rows,
+      count(*) > 9000 AS over_limit, FALSE AS accepted FROM x JOIN dup USING (partition) GROUP BY x.partition
+    UNION ALL SELECT 2050, 0, FALSE, 0, 0, 0, FALSE, TRUE""",
 )
 def extract_check(spark, sf):
+    """No window asks for 1995; one asks for a year without rows."""
     lines = table(spark, sf, "lineitem").select(
         F.year("l_shipdate").alias("partition"), F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("d")
     )
     codes = table(spark, sf, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("code"))
-    windows = lines.select("partition").distinct().select(
+    years = lines.select("partition").distinct().where("partition <> 1995").unionByName(spark.range(1).select(F.lit(2050).alias("partition")))
+    windows = years.select(
         "partition", F.make_date("partition", F.lit(1), F.lit(1)).alias("start_date"),
         F.make_date("partition", F.lit(11), F.lit(30)).alias("end_date"),
     )

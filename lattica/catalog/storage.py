@@ -177,34 +177,43 @@ def canonical_panel(spark, sf):
     return spark.read.parquet(path).select("trade_date", "symbol", F.round("close", 9).alias("close"), "is_st")
 
 
-UPSERT = f"""WITH {VENDOR_A}, {VENDOR_B}, u AS (SELECT trade_date, symbol, close, volume, -1 AS priority FROM vendor_a
-      UNION ALL SELECT trade_date, symbol, close, volume, 7 FROM vendor_b WHERE year(trade_date) >= 2000)
-    SELECT trade_date, symbol, round(close, 9) AS close, volume FROM u QUALIFY row_number() OVER (PARTITION BY trade_date, symbol ORDER BY priority DESC) = 1"""
+UPSERT = f"""WITH {VENDOR_A}, {VENDOR_B}, u AS (SELECT trade_date, symbol, close, volume, 1 AS priority, 0 AS arrival FROM vendor_a
+      UNION ALL SELECT trade_date, symbol, close, volume, 7, 1 FROM vendor_b WHERE year(trade_date) >= 2000
+      UNION ALL SELECT trade_date, symbol, close * 2, volume, 7, 2 FROM vendor_b WHERE volume % 3 = 0
+      UNION ALL SELECT trade_date, symbol, close * 3, volume, 7, 3 FROM vendor_b WHERE volume % 6 = 0
+      UNION ALL SELECT trade_date, symbol, close * 4, volume, 1, 4 FROM vendor_b WHERE volume % 5 = 0)
+    SELECT trade_date, symbol, round(close, 9) AS close, volume FROM u QUALIFY row_number() OVER (PARTITION BY trade_date, symbol ORDER BY priority DESC, arrival DESC) = 1"""
 
 
-def two_loads(spark, sf):
-    old = vendor_bars(spark, sf, "A").select("trade_date", "symbol", "close", "volume")
-    new = vendor_bars(spark, sf, "B").where("trade_date >= '2000-01-01'").select("trade_date", "symbol", "close", "volume")
-    return old, new.withColumn("priority", F.lit(7))
+def arrivals(spark, sf):
+    """A first load, one of a better source, two corrections of it, and a late row of the lesser source."""
+    a, b = (vendor_bars(spark, sf, v).select("trade_date", "symbol", "close", "volume") for v in ("A", "B"))
+    scaled = lambda every, times: b.where(F.col("volume") % every == 0).withColumn("close", F.col("close") * times)
+    loads = [(1, a), (7, b.where("trade_date >= '2000-01-01'")), (7, scaled(3, 2)), (7, scaled(6, 3)), (1, scaled(5, 4))]
+    return [df.withColumn("priority", F.lit(priority)) for priority, df in loads]
 
 
 @query("upsert", UPSERT)
 def upsert(spark, sf):
-    return merging.upsert(*two_loads(spark, sf)).select("trade_date", "symbol", F.round("close", 9).alias("close"), "volume")
+    """Writes are numbered as they arrive; the second is then replayed and must change nothing."""
+    writes = [df.withColumn("arrival", F.lit(n).cast("long")) for n, df in enumerate(arrivals(spark, sf))]
+    table = writes[0]
+    for write in [*writes[1:], writes[1]]:
+        table = merging.upsert(table, write)
+    return table.select("trade_date", "symbol", F.round("close", 9).alias("close"), "volume")
 
 
 @query("upsert_years", UPSERT)
 def upsert_years(spark, sf):
-    old, new = two_loads(spark, sf)
     path = scratch_path(spark, "upsert")
-    writers.upsert_years(spark, path, old.withColumn("priority", F.lit(-1)))
-    writers.upsert_years(spark, path, new)
+    for write in arrivals(spark, sf):
+        writers.upsert_years(spark, path, write)
     return spark.read.parquet(path).select("trade_date", "symbol", F.round("close", 9).alias("close"), "volume")
 
 
 @query(
     "write_once",
-    f"""WITH {SNAPSHOTS} SELECT count(*) AS rows, 'BEFORE_LIVE_START' AS early, 'RECORDED' AS first, 'VERIFIED_EXISTING' AS again, 'REFUSED' AS changed FROM snapshots WHERE trade_date = (SELECT max(trade_date) FROM snapshots)""",
+    f"""WITH {SNAPSHOTS} SELECT count(*) AS rows, 'BEFORE_LIVE_START' AS early, 'RECORDED' AS first, 'VERIFIED_EXISTING' AS again, 'REFUSED' AS changed, 'REFUSED' AS widened FROM snapshots WHERE trade_date = (SELECT max(trade_date) FROM snapshots)""",
 )
 def write_once(spark, sf):
     snapshots = monthly_snapshots(spark, sf)
@@ -218,14 +227,19 @@ def write_once(spark, sf):
         changed = writers.write_once(latest.withColumn("weight", F.col("weight") + 1), root, "2001-12-01")
     except RuntimeError:
         changed = "REFUSED"
+    try:
+        widened = writers.write_once(latest.withColumn("note", F.lit(1)), root, "2001-12-01")
+    except RuntimeError:
+        widened = "REFUSED"
     return spark.read.parquet(f"{root}/2001-12-01").agg(F.count("*").alias("rows")).select(
-        "rows", F.lit(early).alias("early"), F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(changed).alias("changed")
+        "rows", F.lit(early).alias("early"), F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(changed).alias("changed"),
+        F.lit(widened).alias("widened"),
     )
 
 
 @query(
     "fingerprint",
-    with_daily("SELECT count(*) AS rows, TRUE AS order_free, TRUE AS duplicates_count, TRUE AS change_seen FROM daily"),
+    with_daily("SELECT count(*) AS rows, TRUE AS order_free, TRUE AS duplicates_count, TRUE AS change_seen, TRUE AS moved_null_seen FROM daily"),
 )
 def fingerprint(spark, sf):
     bars = settle(plain(spark, sf))
@@ -234,10 +248,14 @@ def fingerprint(spark, sf):
     shuffled = tag(bars.repartition(5, "volume"), "a")
     doubled = tag(bars.unionByName(bars.where("volume % 7 = 0")), "b")
     changed = tag(bars.withColumn("volume", F.when(F.col("volume") % 50 == 7, F.col("volume") + 1).otherwise(F.col("volume"))), "c")
-    joined = own.join(shuffled, F.lit(True)).join(doubled, F.lit(True)).join(changed, F.lit(True))  # single rows
+    gaps = lambda lost, kept: bars.withColumns({lost: F.lit(None).cast("double"), kept: F.col("close")})
+    left, right = tag(gaps("open", "high"), "d"), tag(gaps("high", "open"), "e")  # one value, NULL before or after it
+    joined = own
+    for other in (shuffled, doubled, changed, left, right):
+        joined = joined.join(other, F.lit(True))  # single rows
     return joined.select(
         "rows", (F.col("a.content") == F.col("content")).alias("order_free"), (F.col("b.content") != F.col("content")).alias("duplicates_count"),
-        (F.col("c.content") != F.col("content")).alias("change_seen"),
+        (F.col("c.content") != F.col("content")).alias("change_seen"), (F.col("d.content") != F.col("e.content")).alias("moved_null_seen"),
     )
 
 
@@ -264,16 +282,18 @@ def version_match(spark, sf):
 
 @query(
     "stream_ingest",
-    f"""WITH {VENDOR_A}, {VENDOR_B}, u AS (SELECT trade_date, symbol, close, volume, 1 AS priority FROM vendor_a UNION ALL SELECT trade_date, symbol, close, volume, 2 FROM vendor_b)
-    SELECT trade_date, symbol, round(close, 9) AS close, volume, priority FROM u QUALIFY row_number() OVER (PARTITION BY trade_date, symbol ORDER BY priority DESC) = 1""",
+    f"""WITH {VENDOR_A}, {VENDOR_B}, u AS (SELECT trade_date, symbol, close, volume, 1 AS priority, 0 AS arrival FROM vendor_a UNION ALL SELECT trade_date, symbol, close, volume, 2, 1 FROM vendor_b
+      UNION ALL SELECT trade_date, symbol, close * 2, volume, 2, 2 FROM vendor_b WHERE volume % 3 = 0 UNION ALL SELECT trade_date, symbol, close * 3, volume, 2, 3 FROM vendor_b WHERE volume % 6 = 0)
+    SELECT trade_date, symbol, round(close, 9) AS close, volume, priority FROM u QUALIFY row_number() OVER (PARTITION BY trade_date, symbol ORDER BY priority DESC, arrival DESC) = 1""",
 )
 def stream_ingest(spark, sf):
-    """Two vendors arrive as files; the stream is then replayed and must change nothing."""
+    """Two vendors and two corrections arrive as files; all of it is then replayed and must change nothing."""
     root = scratch_path(spark, "stream")
     names = [f.name for f in BAR]
-    for priority, vendor in ((1, "A"), (2, "B")):
-        bars = vendor_bars(spark, sf, vendor).withColumn("priority", F.lit(priority))
-        bars.select(*names).write.mode("append").parquet(f"{root}/inbox")
+    b = vendor_bars(spark, sf, "B")
+    scaled = lambda every, times: b.where(F.col("volume") % every == 0).withColumn("close", F.col("close") * times)
+    for priority, bars in ((1, vendor_bars(spark, sf, "A")), (2, b), (2, scaled(3, 2)), (2, scaled(6, 3))):
+        bars.withColumn("priority", F.lit(priority)).select(*names).write.mode("append").parquet(f"{root}/inbox")
         ingest_bars(spark, f"{root}/inbox", f"{root}/table", f"{root}/progress").awaitTermination()
     ingest_bars(spark, f"{root}/inbox", f"{root}/table", f"{root}/replay").awaitTermination()
     return spark.read.parquet(f"{root}/table").select(

@@ -26,6 +26,8 @@ CHECKS = [
     "holdings_reconcile_from_executions",
     "never_short_from_executions",
     "execution_on_next_observed_session",
+    "unique_equity_dates",
+    "unique_position_keys",
 ]
 
 
@@ -57,7 +59,7 @@ def cash_flow() -> Column:
 
 
 def audit_ledger(equity: DataFrame, trades: DataFrame, positions: DataFrame, initial_cash: float, by=("run_id",)) -> DataFrame:
-    """Fifteen named checks per run: ``(by..., check, violations, max_abs_error, passed)``.
+    """Seventeen named checks per run: ``(by..., check, violations, max_abs_error, passed)``.
 
     The books must start flat and see no outside cash. Holdings are compared interval
     by interval between executions, so the session x symbol grid is never built.
@@ -125,9 +127,16 @@ def audit_ledger(equity: DataFrame, trades: DataFrame, positions: DataFrame, ini
         F.max(F.abs(F.col("market_value") - worth)).alias("_e_position_values_equal_marks_times_shares"),
     )
     per_holding = _holdings(calendar, trades, positions, by)
+    once = [
+        rows.groupBy(*by, *key).agg((F.count("*") - 1).alias("_more")).groupBy(*by).agg(F.sum("_more").alias(name))
+        for rows, key, name in (
+            (equity, ["trade_date"], "unique_equity_dates"),
+            (positions, ["trade_date", "symbol"], "unique_position_keys"),
+        )
+    ]
 
     wide = calendar.groupBy(*by).agg(F.count("*").alias("_sessions"))
-    for part in (per_equity, per_trade, per_position, per_holding):
+    for part in (per_equity, per_trade, per_position, per_holding, *once):
         wide = wide.join(part, by, "left") if by else wide.join(part, F.lit(True), "left")
     zero = F.lit(0)
     wide = wide.withColumns(

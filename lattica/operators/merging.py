@@ -11,15 +11,15 @@ from lattica.operators.checks import assert_unique, require_columns
 from lattica.schema import ACTIVITY_TOLERANCE, KEYS, MERGE_FIELDS, PRICE_TOLERANCE, PRICES
 
 
-def by_priority(df: DataFrame, keys=tuple(KEYS), priority: str = "priority") -> DataFrame:
-    """Keep the highest-priority row of each key.
+def by_priority(df: DataFrame, keys=tuple(KEYS), priority: str = "priority", order=()) -> DataFrame:
+    """Keep the highest-priority row of each key; among equals the last in ``order``.
 
     An aggregate, not a window: rows combine before the shuffle, so a key repeated
-    in a third of the input never lands in one task whole. Equal priorities are
-    settled by the row content, so the outcome does not depend on task order.
+    in a third of the input never lands in one task whole. Rows equal in all of
+    that are settled by content, so the outcome does not depend on task order.
     """
     values = [c for c in df.columns if c not in keys and c != priority]
-    row = F.struct(F.col(priority), F.xxhash64(*values).alias("_order"), *[F.col(c) for c in values])
+    row = F.struct(F.col(priority), *[F.col(c).alias(f"_o_{c}") for c in order], F.xxhash64(*values).alias("_order"), *[F.col(c) for c in values])
     best = df.groupBy(*keys).agg(F.max(row).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [priority, *values]]).select(*df.columns)
 
@@ -36,9 +36,21 @@ def union_sources(sources: list[tuple[int, DataFrame]]) -> DataFrame:
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys=tuple(KEYS)) -> DataFrame:
-    """Last write wins on the key; ``changes`` carries its own row order in ``priority``."""
-    older = base if "priority" in base.columns else base.withColumn("priority", F.lit(-1))
-    return by_priority(older.unionByName(changes, allowMissingColumns=True), keys)
+    """Last write wins on the key: the higher ``priority``, then the later ``arrival``.
+
+    Stored rows without a priority stand below every change. ``arrival`` is the sequence a
+    write is stored with; where neither side carries one, or both carry the same, the
+    change is the later. Changes without one come after everything stored. Replaying an
+    old numbered write therefore changes nothing.
+    """
+    if "priority" not in base.columns:
+        base = base.withColumn("priority", F.lit(-1))
+    if "arrival" in base.columns and "arrival" not in changes.columns:
+        newest = base.agg((F.coalesce(F.max("arrival"), F.lit(-1)) + 1).cast("long").alias("arrival"))
+        changes = changes.join(F.broadcast(newest), F.lit(True))  # one row
+    both = base.withColumn("_later", F.lit(0)).unionByName(changes.withColumn("_later", F.lit(1)), allowMissingColumns=True)
+    order = [c for c in ("arrival", "_later") if c in both.columns]
+    return by_priority(both, keys, order=order).drop("_later")
 
 
 def merge_sources(a: DataFrame, b: DataFrame, fields=tuple(MERGE_FIELDS), names=("A", "B"), check: bool = True) -> DataFrame:

@@ -37,13 +37,23 @@ class Layout:
 WHOLE = Layout()
 
 
+def _match(df: DataFrame, other: DataFrame, keys) -> DataFrame:
+    """Left join in which NULL keys meet NULL keys, as they do in a window."""
+    named = {k: f"_k_{i}" for i, k in enumerate(keys)}
+    right = other.select(*[F.col(c).alias(named.get(c, c)) for c in other.columns])
+    same = F.lit(True)
+    for key, name in named.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return df.join(right, same, "left").drop(*named.values())
+
+
 def add_stats(df: DataFrame, keys, stats: dict[str, Column], layout: Layout = WHOLE) -> DataFrame:
     """Attach per-section aggregates to every row."""
     if layout.splits == 1:
         over = W.partitionBy(*keys)
         return df.withColumns({name: agg.over(over) for name, agg in stats.items()})
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(totals, list(keys), "left")
+    return _match(df, totals, keys)
 
 
 def _slots(df: DataFrame, keys, order: Column, seed: str, known: Column, layout: Layout) -> DataFrame:
@@ -62,7 +72,7 @@ def _slots(df: DataFrame, keys, order: Column, seed: str, known: Column, layout:
     )
     below = F.size(F.filter("_cuts", lambda cut: cut < order))
     slot = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
-    return df.join(cuts, list(keys), "left").withColumn("_slot", slot).drop("_cuts")
+    return _match(df, cuts, keys).withColumn("_slot", slot).drop("_cuts")
 
 
 def _ranged(df: DataFrame, keys, value: str, tie: str, descending: bool, layout: Layout) -> DataFrame:
@@ -94,7 +104,7 @@ def add_running(
     path = W.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inner = {n: F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(path), F.lit(0)) for n in values}
     return (
-        cut.join(starts, [*keys, "_slot"])
+        _match(cut, starts, [*keys, "_slot"])
         .withColumns(inner)
         .drop("_slot", *[f"_v_{n}" for n in values], *[f"_s_{n}" for n in values])
     )
@@ -127,7 +137,7 @@ def add_positions(
         F.sum("_size").over(W.partitionBy(*keys)).alias("_total"),
     )
     inner = F.row_number().over(W.partitionBy(*keys, "_slot").orderBy(*first))
-    out = ranged.join(offsets, [*keys, "_slot"], "left").withColumn(
+    out = _match(ranged, offsets, [*keys, "_slot"]).withColumn(
         position, F.when(known, (F.col("_offset") + inner).cast("int"))
     )
     if total is not None:
@@ -153,7 +163,7 @@ def add_average_rank(
         .groupBy(*keys, value)
         .agg((F.min("_p") + (F.count("*") - 1) / F.lit(2.0)).alias(name))
     )
-    return placed.drop("_p").join(shared, [*keys, value], "left")
+    return _match(placed.drop("_p"), shared, [*keys, value])
 
 
 def add_median(
@@ -165,4 +175,4 @@ def add_median(
     placed = settle(add_positions(df, keys, value, tie=tie, position="_p", total="_n", layout=layout))
     middle = F.col("_p").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
     medians = placed.where(middle).groupBy(*keys).agg(F.avg(value).alias(name))
-    return placed.drop("_p", "_n").join(medians, list(keys), "left")
+    return _match(placed.drop("_p", "_n"), medians, keys)

@@ -56,8 +56,9 @@ def attach_membership(market: DataFrame, snapshots: DataFrame) -> DataFrame:
     require_columns(snapshots, ["trade_date", "symbol"])
     weight = F.col("weight") if "weight" in snapshots.columns else F.lit(0.0)
     effective = effective_dates(market, snapshots)
-    members = snapshots.select(
-        F.col("trade_date").alias("snapshot_date"), "symbol", weight.alias("_weight"), F.lit(True).alias("_in")
+    # a snapshot that lists a symbol twice counts once, with its larger weight
+    members = snapshots.groupBy(F.col("trade_date").alias("snapshot_date"), "symbol").agg(
+        F.max(weight).alias("_weight"), F.lit(True).alias("_in")
     )
     return (
         market.join(F.broadcast(effective), "trade_date", "left")  # one row per session

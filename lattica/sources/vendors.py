@@ -164,27 +164,32 @@ def normalize_events(raw: DataFrame) -> DataFrame:
 def extract_violations(
     df: DataFrame, columns, code: str, date: str, windows: DataFrame, codes: DataFrame, row_limit: int, daily_key: bool = True
 ) -> DataFrame:
-    """Counts of what an extract must not contain, one row per requested partition.
+    """Counts of what an extract must not contain, one row per partition requested or delivered.
 
     ``windows`` is ``(partition, start_date, end_date)``, one row per partition;
-    ``codes`` is the requested list, ``(code)``. ``df`` carries ``partition``.
+    ``codes`` is the requested list, ``(code)``. ``df`` carries ``partition``. A partition
+    nobody requested is refused; a requested one without rows is listed with 0.
     """
     extra = sorted(set(df.columns) ^ (set(columns) | {"partition"}))
     if extra:
         raise ValueError(f"unexpected or missing columns: {extra}")
     keyed = df.groupBy("partition", code, date).agg(F.count("*").alias("_n"))
     asked = codes.select(F.col("code").alias(code), F.lit(True).alias("_asked")).distinct()
-    joined = keyed.join(windows, "partition").join(asked, code, "left")
+    wanted = windows.withColumn("_wanted", F.lit(True))
+    joined = keyed.join(wanted, "partition", "full").join(asked, code, "left")
     outside = ~F.coalesce(F.col(date).between(F.col("start_date"), F.col("end_date")), F.lit(False))
     zero = F.lit(0)
+    n = F.coalesce("_n", zero)
     counts = joined.groupBy("partition").agg(
-        F.sum("_n").alias("rows"),
-        F.sum(F.when(F.col("_asked").isNull(), F.col("_n")).otherwise(zero)).alias("unrequested_codes"),
-        F.sum(F.when(outside, F.col("_n")).otherwise(zero)).alias("dates_outside"),
-        F.sum((F.col("_n") - 1) if daily_key else zero).alias("duplicate_rows"),
+        F.sum(n).alias("rows"),
+        F.max("_wanted").isNull().alias("unrequested_partition"),
+        F.sum(F.when(F.col("_asked").isNull(), n).otherwise(zero)).alias("unrequested_codes"),
+        F.sum(F.when(outside, n).otherwise(zero)).alias("dates_outside"),
+        F.sum(F.coalesce(F.col("_n") - 1, zero) if daily_key else zero).alias("duplicate_rows"),
     )
     clean = (
-        (F.col("unrequested_codes") == 0)
+        ~F.col("unrequested_partition")
+        & (F.col("unrequested_codes") == 0)
         & (F.col("dates_outside") == 0)
         & (F.col("duplicate_rows") == 0)
         & (F.col("rows") <= row_limit)

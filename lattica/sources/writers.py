@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lattica.operators.merging import by_priority
+from lattica.operators.merging import upsert
 from lattica.schema import KEYS
 
 
@@ -53,9 +55,9 @@ def write_canonical(df: DataFrame, path: str, columns) -> str:
 def upsert_years(spark: SparkSession, path: str, changes: DataFrame) -> None:
     """Merge bars into a yearly table, last write wins, touching only changed years.
 
-    ``changes`` has ``priority``. The years read are the years rewritten; the merged
-    rows are staged beside the table first because a table cannot be overwritten
-    while it is being read.
+    ``changes`` has ``priority`` and may have ``arrival`` (see ``upsert``). The years read
+    are the years rewritten; the merged rows are staged beside the table first, under a
+    name of their own, because a table cannot be overwritten while it is being read.
     """
     changes = changes.withColumn("year", F.year("trade_date"))
     years = [r.year for r in changes.select("year").distinct().collect()]  # calendar years
@@ -63,12 +65,12 @@ def upsert_years(spark: SparkSession, path: str, changes: DataFrame) -> None:
         return
     try:
         old = spark.read.parquet(path).where(F.col("year").isin(years))
-        merged = by_priority(old.unionByName(changes, allowMissingColumns=True), KEYS)
+        merged = upsert(old, changes, KEYS)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        merged = by_priority(changes, KEYS)
-    staging = f"{path}.staging"
+        merged = upsert(changes.limit(0), changes, KEYS)
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
     merged.hint("rebalance", F.col("year")).write.mode("overwrite").partitionBy("year").parquet(staging)
     (
         spark.read.parquet(staging)
@@ -110,13 +112,14 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content digest: row count, hash sum and a schema digest.
 
     Hashes are summed as decimals and combined before the shuffle, so duplicates
-    count and no row order is needed.
+    count and no row order is needed. A hash skips NULLs, so the places of a row's
+    NULLs are hashed with its values.
     """
     columns = sorted(df.columns)
     layout = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in columns)
     return df.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("content"),
+        F.coalesce(F.sum(F.xxhash64(*[F.isnull(c) for c in columns], *columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("content"),
         F.sha2(F.lit(layout), 256).alias("layout"),
     )
 
@@ -146,6 +149,7 @@ def write_once(df: DataFrame, root: str, date: str, live_start: str | None = Non
             raise
         df.write.mode("errorifexists").parquet(path)
         return "RECORDED"
-    if not same_content(existing, df.select(*existing.columns)):
+    shape = lambda frame: {f.name: f.dataType for f in frame.schema.fields}
+    if shape(existing) != shape(df) or not same_content(existing, df):
         raise RuntimeError(f"snapshot for {date} already exists and differs")
     return "VERIFIED_EXISTING"

@@ -18,15 +18,17 @@ def bar_stream(spark: SparkSession, inbox: str, files_per_batch: int = 100) -> D
 def ingest_bars(spark: SparkSession, inbox: str, target: str, checkpoint: str) -> StreamingQuery:
     """Late or corrected bars replace older ones; replaying a batch changes nothing.
 
-    A batch is reduced to one row per key, then upserted. Both steps depend on the
-    rows alone, so a batch that is retried after a failure writes the same table.
+    A row's ``arrival`` is the time its file was written, kept with the row. Among rows of
+    one priority the later file wins, in a batch and across batches, so files that are
+    replayed or retried after a failure write the same table.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_years(batch.sparkSession, target, by_priority(batch, KEYS))
+        upsert_years(batch.sparkSession, target, by_priority(batch, KEYS, order=("arrival",)))
 
     return (
         bar_stream(spark, inbox)
+        .withColumn("arrival", F.unix_micros("_metadata.file_modification_time"))
         .where(F.col("trade_date").isNotNull() & F.col("symbol").isNotNull())
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)

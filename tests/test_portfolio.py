@@ -211,3 +211,21 @@ def test_metrics_refuse_bad_equity(spark):
     assert not valid(list(zip(d, [1.0, 0.0, 1.2])))
     assert not valid([(d[0], 1.0), (d[0], 1.1)])
     assert not valid([(d[0], 1.0)])
+
+
+def test_a_run_does_not_depend_on_its_neighbours(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60) if (dt.date(2024, 1, 1) + dt.timedelta(days=i)).weekday() < 5]
+    market = spark.createDataFrame(
+        [(d, s, 10.0 + i % 7 + k, 10.5 + i % 5 + k) for i, d in enumerate(days) for k, s in enumerate("AB")],
+        "trade_date date, symbol string, adj_open double, adj_close double",
+    )
+    monthly = [("m", days[3], "A", 0.5), ("m", days[25], "B", 0.5)]
+    weekly = [("w", d, s, 0.4) for d in days[4::5] for s in "AB"]
+    cols = "run string, trade_date date, symbol string, target_weight double"
+    both = performance.portfolio_returns(market, spark.createDataFrame(monthly + weekly, cols), by=("run",))
+    alone = performance.portfolio_returns(market, spark.createDataFrame(monthly, cols), by=("run",))
+    strip = lambda df: sorted(tuple(r) for r in df.where("run = 'm'").collect())
+    assert strip(both) == strip(alone) and len(strip(alone)) > 30
+    signals = spark.createDataFrame([("a", d, "A", 1.0) for d in days] + [("b", d, "A", 1.0) for d in days[:8]], "run string, trade_date date, symbol string, s double")
+    picked = portfolio.top_n_weights(signals, "s", 1, "M", 0.5, by=("run",))
+    assert {r.trade_date for r in picked.where("run = 'b'").collect()} == {days[7]}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import diagnostics, preprocess
-from lattica.operators.sections import ROWS_PER_TASK, WHOLE, Layout, add_average_rank, add_median, add_positions, add_stats
+from lattica.operators.sections import ROWS_PER_TASK, WHOLE, Layout, add_average_rank, add_median, add_positions, add_running, add_stats
 
 SPLIT = Layout(splits=5, sample_every=2)
 
@@ -91,3 +91,36 @@ def test_no_split_part_holds_the_hot_value(frame):
 def test_layout_follows_the_bound():
     assert Layout.for_bound(10).splits == 1
     assert Layout.for_bound(ROWS_PER_TASK * 3 + 1).splits == 4
+
+
+def nulls(spark):
+    """NULL keys, groups and values, ties, and both zeros."""
+    rows = [(None if i % 4 == 0 else i % 4, f"S{i:03d}", (None, 0.0, -0.0, 1.5, 1.5, 2.0)[i % 6], float(i)) for i in range(240)]
+    return spark.createDataFrame(rows, "k int, symbol string, v double, w double").repartition(3)
+
+
+def same(spark, run):
+    key = lambda r: tuple(str(0.0 if v == 0 else v) for v in r)
+    frames = [run(nulls(spark), layout) for layout in (WHOLE, SPLIT)]
+    whole, split = (sorted(key(r) for r in df.select(*sorted(df.columns)).collect()) for df in frames)
+    assert whole == split and len(whole) == 240
+
+
+def test_split_forms_keep_null_keys(spark):
+    stats = {"n": F.count("*"), "m": F.sum("w")}
+    same(spark, lambda df, lay: add_stats(df, ["k"], stats, lay))
+    same(spark, lambda df, lay: add_running(df, ["k"], ["w", "symbol"], {"s": F.col("w")}, lay))
+    same(spark, lambda df, lay: add_positions(df, ["k"], "v", position="p", total="n", layout=lay))
+    same(spark, lambda df, lay: add_average_rank(df, ["k"], "v", "a", layout=lay))
+    same(spark, lambda df, lay: add_median(df, ["k"], "w", "m", layout=lay))
+
+
+def test_neutralize_without_known_industry(spark):
+    rng = np.random.default_rng(3)
+    rows = [("2020-01-02", f"S{i:03d}", float(rng.normal()), None, float(rng.uniform(1, 9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "d string, symbol string, v double, industry string, market_cap double").withColumn("trade_date", F.to_date("d"))
+    found = [
+        {r.symbol: None if r[1] is None else round(r[1], 9) for r in preprocess.neutralize(df, "v", "n", layout=lay).select("symbol", "n").collect()}
+        for lay in (WHOLE, SPLIT)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 40
