@@ -266,7 +266,10 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    """(bucket, first, last) of the runs of a sorted array of buckets."""
+    if len(bucket) == 0:
+        return
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(head, [*head[1:], len(bucket)], strict=True):
         yield int(bucket[a]), int(a), int(b)
 
@@ -275,11 +278,25 @@ def _codes_of(rows: list[dict]) -> np.ndarray:
     return np.frombuffer(b"".join(r["codes"] for r in sorted(rows, key=lambda r: r["bucket"])), np.uint8)
 
 
+def _chunk_name(docs: DataFrame) -> str:
+    name = "_chunk"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _texts(dealt: DataFrame, own: str) -> DataFrame:
+    """The one shape in which every round reads the chunks, so that they share an exchange."""
+    return dealt.select("doc_id", "text", F.col(own).alias("chunk")).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def _rounds(docs: DataFrame, hot: int, chunk_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """The documents with their chunk in one more column, what the chunks are told, the number of buckets."""
     spark = docs.sparkSession
     _, total = text_bytes(docs)
     chunks, buckets = partitions(spark, total, chunk_bytes), partitions(spark, total, bucket_bytes)
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    own = _chunk_name(docs)
+    dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         keys, codes = Batch.of(table).anchors()
@@ -308,7 +325,7 @@ def _rounds(docs: DataFrame, hot: int, chunk_bytes: int, bucket_bytes: int) -> t
         nothing = pa.array([None] * len(keys), pa.binary())
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array([False] * len(keys)), pa.array(found, pa.binary()), *[nothing] * 4], schema=_ANSWERS)
 
-    texts = dealt.select("doc_id", "text", F.col("_chunk").alias("chunk")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = _texts(dealt, own)
     anchors = texts.groupBy("chunk").applyInArrow(send_anchors, _ddl(_ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(find_shared, _ddl(_ANSWERS))
 
@@ -407,7 +424,7 @@ def removal_report(docs: DataFrame, hot: int = HOT, chunk_bytes: int = CHUNK_BYT
             names=[c.split()[0] for c in REPORT.split(", ")],
         )
 
-    texts = dealt.select("doc_id", "text", F.col("_chunk").alias("chunk")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = _texts(dealt, _chunk_name(docs.select("doc_id", "text")))
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(report, REPORT)
 
 
@@ -418,10 +435,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT, chunk_bytes: int = CHUNK_BY
     was removed goes whole; null texts stay null.
     """
     dealt, told, buckets = _rounds(docs, hot, chunk_bytes, bucket_bytes)
-    schema = docs.schema
+    schema, own = docs.schema, _chunk_name(docs)
 
     def rewrite(table: pa.Table, told: pa.Table) -> pa.Table:
-        table = table.drop_columns(["_chunk"])
+        table = table.drop_columns([own])
         batch, gone = _cut(table, told, buckets)
         old = table.column("text").combine_chunks().is_null().to_numpy(zero_copy_only=False)
         texts = []
@@ -435,4 +452,4 @@ def without_repeats(docs: DataFrame, hot: int = HOT, chunk_bytes: int = CHUNK_BY
             table = table.set_column(place, "n_chars", pa.array([None if t is None else len(t) for t in texts], table.column(place).type))
         return table
 
-    return dealt.groupBy("_chunk").cogroup(told.groupBy("chunk")).applyInArrow(rewrite, schema)
+    return dealt.groupBy(own).cogroup(told.groupBy("chunk")).applyInArrow(rewrite, schema)
