@@ -170,14 +170,13 @@ def membership_backfilled(spark, sf):
 @query(
     "asof_factor",
     with_daily(
-        f""", {EVENTS}, late AS (SELECT * FROM adj_events WHERE month(trade_date) % 3 = 0)
+        f""", {EVENTS}
       SELECT d.trade_date, d.symbol, round(coalesce(e.adj_factor, 1.0), 6) AS adj_factor
-      FROM daily d ASOF LEFT JOIN late e ON d.symbol = e.symbol AND d.trade_date >= e.trade_date"""
+      FROM daily d ASOF LEFT JOIN adj_events e ON d.symbol = e.symbol AND d.trade_date >= e.trade_date"""
     ),
 )
 def asof_factor(spark, sf):
-    events = adjustment_events(spark, sf).where(F.month("trade_date") % 3 == 0)
-    out = adjust.asof_factors(daily_panel(spark, sf).select("trade_date", "symbol", "close"), events)
+    out = adjust.asof_factors(daily_panel(spark, sf).select("trade_date", "symbol", "close"), adjustment_events(spark, sf))
     return out.select("trade_date", "symbol", r("adj_factor"))
 
 
@@ -265,16 +264,15 @@ def gap_islands_collapsed(spark, sf):
 
 @query(
     "request_ranges",
-    f"""WITH {VENDOR_A}, span AS (SELECT symbol, min(trade_date) AS lo, max(trade_date) AS hi FROM vendor_a WHERE symbol LIKE '6%' GROUP BY symbol),
-      s AS (SELECT {symbol_sql('s_suppkey')} AS symbol FROM supplier), j AS (SELECT * FROM s LEFT JOIN span USING (symbol))
+    f"""WITH {VENDOR_A}, span AS (SELECT symbol, min(trade_date) AS lo, max(trade_date) AS hi FROM vendor_a GROUP BY symbol),
+      s AS (SELECT {symbol_sql('c_custkey')} AS symbol FROM customer), j AS (SELECT * FROM s LEFT JOIN span USING (symbol))
     SELECT symbol, DATE '1995-01-01' AS start_date, DATE '2001-12-31' AS end_date FROM j WHERE lo IS NULL
     UNION ALL SELECT symbol, DATE '1995-01-01', lo - 1 FROM j WHERE lo > DATE '1995-01-01'
     UNION ALL SELECT symbol, hi + 1, DATE '2001-12-31' FROM j WHERE hi < DATE '2001-12-31'""",
 )
 def request_ranges(spark, sf):
-    cached = vendor_bars(spark, sf, "A").where(F.col("symbol").startswith("6"))
-    symbols = table(spark, sf, "supplier").select(symbol_of("s_suppkey").alias("symbol"))
-    return merging.request_ranges(cached, symbols, "1995-01-01", "2001-12-31")
+    symbols = table(spark, sf, "customer").select(symbol_of("c_custkey").alias("symbol"))  # most were never fetched
+    return merging.request_ranges(vendor_bars(spark, sf, "A"), symbols, "1995-01-01", "2001-12-31")
 
 
 @query(
@@ -295,12 +293,12 @@ def replace_slices(spark, sf):
         """, s AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS idx FROM (SELECT DISTINCT trade_date FROM weekly)),
       m AS (SELECT symbol, trade_date, CASE WHEN idx - lag(idx) OVER w = 1 THEN lag(close) OVER w END AS previous_close,
         lag(close) OVER w * (1 - (volume % 5) / 100) AS preclose FROM weekly JOIN s USING (trade_date) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
-      ev AS (SELECT symbol, trade_date AS ex_date, unnest(CASE WHEN volume % 3 = 0 THEN ['CA', 'SD'] ELSE ['CA'] END) AS kind, volume, volume % 4 <> 0 AS supported FROM weekly WHERE volume % 2 = 0),
+      ev AS (SELECT symbol, trade_date AS ex_date, unnest(CASE WHEN volume % 3 = 0 THEN ['CA', 'SD'] ELSE ['CA'] END) AS kind, volume, volume % 4 <> 0 AS supported FROM weekly),
       p AS (SELECT symbol, ex_date, count(*) AS event_count, bool_and(supported) AS ok, coalesce(sum(CASE WHEN kind = 'CA' THEN volume / 100 END), 0) AS cash,
         coalesce(sum(CASE WHEN kind = 'SD' THEN (volume % 7) / 100 END), 0) AS bonus FROM ev GROUP BY 1, 2),
       j AS (SELECT p.*, previous_close, preclose, CASE WHEN ok AND previous_close > 0 AND preclose > 0 AND cash < previous_close THEN (previous_close - cash) / (1 + bonus) END AS expected
         FROM p LEFT JOIN m ON m.symbol = p.symbol AND m.trade_date = p.ex_date)
-      SELECT symbol, ex_date, event_count, round(cash, 6) AS cash_per_share, round(expected, 6) AS expected_preclose,
+      SELECT symbol, ex_date, event_count, round(cash, 6) AS cash_per_share, round(expected, 3) AS expected_preclose,
         CASE WHEN expected IS NULL THEN 'NOT_COMPARABLE' WHEN abs(expected - preclose) <= 0.0151 THEN 'MATCH_WITHIN_TICK_TOLERANCE' ELSE 'REVIEW_DIFFERENCE' END AS status FROM j"""
     ),
 )
@@ -310,11 +308,11 @@ def reconcile_events(spark, sf):
     v = F.col("volume")
     prices = weekly.withColumn("preclose", F.lag("close").over(w) * (1 - (v % 5) / 100))
     kinds = F.when(v % 3 == 0, F.array(F.lit("CA"), F.lit("SD"))).otherwise(F.array(F.lit("CA")))
-    events = weekly.where(v % 2 == 0).select(
+    events = weekly.select(
         "symbol", F.col("trade_date").alias("ex_date"), F.explode(kinds).alias("kind"), "volume", (v % 4 != 0).alias("supported")
     ).withColumn("amount_per_share", F.when(F.col("kind") == "CA", v / 100).otherwise((v % 7) / 100))
     out = merging.reconcile_events(events, prices, calendars.session_list(weekly))
-    return out.select("symbol", "ex_date", "event_count", r("cash_per_share"), r("expected_preclose"), "status")
+    return out.select("symbol", "ex_date", "event_count", r("cash_per_share"), r("expected_preclose", 3), "status")
 
 
 @query(
@@ -384,15 +382,16 @@ def normalized_to_latest(spark, sf):
 @query(
     "inferred_listing",
     with_daily(
-        """, f AS (SELECT trade_date, symbol, min(trade_date) OVER (PARTITION BY symbol) AS first, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS age FROM daily
-        WHERE NOT (symbol LIKE '6%' AND trade_date < DATE '1996-03-01'))
+        """, named AS (SELECT trade_date, CASE WHEN symbol LIKE '6%' AND trade_date < DATE '1996-03-01' THEN 'OLD' || symbol ELSE symbol END AS symbol FROM daily),
+      f AS (SELECT trade_date, symbol, min(trade_date) OVER (PARTITION BY symbol) AS first, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS age FROM named)
       SELECT trade_date, symbol, CASE WHEN late THEN age ELSE 999999 END AS listing_age_sessions, CASE WHEN late THEN first END AS list_date,
         CASE WHEN late THEN 'first_observed_in_full_history' ELSE 'precedes_history_or_unknown' END AS list_date_quality
       FROM (SELECT *, first > (SELECT min(trade_date) FROM f) + 30 AS late FROM f)"""
     ),
 )
 def inferred_listing(spark, sf):
-    bars = daily_panel(spark, sf).where(~(F.col("symbol").startswith("6") & (F.col("trade_date") < "1996-03-01")))
+    early = F.col("symbol").startswith("6") & (F.col("trade_date") < "1996-03-01")
+    bars = daily_panel(spark, sf).withColumn("symbol", F.when(early, F.concat(F.lit("OLD"), "symbol")).otherwise(F.col("symbol")))
     return adjust.inferred_listing(bars).select("trade_date", "symbol", "listing_age_sessions", "list_date", "list_date_quality")
 
 

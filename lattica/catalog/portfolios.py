@@ -159,11 +159,11 @@ def selection_targets(spark, sf):
 
 FEE = "(greatest(5.0, {g} * 0.0003) + {g} * 0.00001)"
 ORDERS = f"""WITH RECURSIVE px AS (SELECT {symbol_sql('l_suppkey')} AS symbol, round(max(l_extendedprice / l_quantity) / 100, 2) AS close FROM lineitem WHERE l_suppkey % 11 <> 0 GROUP BY l_suppkey),
-  li AS (SELECT o_custkey AS account_id, {symbol_sql('l_suppkey')} AS symbol, l_quantity, l_extendedprice, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 11 <> 0 OR o_custkey % 5 = 0),
+  li AS (SELECT o_custkey AS account_id, {symbol_sql('(l_suppkey + CASE WHEN l_suppkey % 11 = 0 AND o_custkey % 5 <> 0 THEN 1 ELSE 0 END)')} AS symbol, l_quantity, l_extendedprice, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   acc AS (SELECT c_custkey AS account_id, greatest(c_acctbal, 0) AS cash FROM customer),
   hold AS (SELECT account_id, symbol, CAST(sum(l_quantity) * 10 AS BIGINT) AS shares FROM li WHERE l_returnflag = 'R' GROUP BY 1, 2),
-  tgt AS (SELECT * FROM (SELECT account_id, symbol, 0.3 AS target_weight, row_number() OVER (PARTITION BY account_id ORDER BY sum(l_extendedprice) DESC, symbol) AS factor_rank
-    FROM li WHERE l_returnflag = 'A' GROUP BY account_id, symbol) WHERE factor_rank <= 3),
+  tgt AS (SELECT account_id, symbol, 0.9 / count(*) OVER (PARTITION BY account_id) AS target_weight, row_number() OVER (PARTITION BY account_id ORDER BY sum(l_extendedprice) DESC, symbol) AS factor_rank
+    FROM li WHERE l_returnflag = 'A' GROUP BY account_id, symbol),
   ln AS (SELECT coalesce(h.account_id, t.account_id) AS account_id, coalesce(h.symbol, t.symbol) AS symbol, coalesce(shares, 0) AS cur, coalesce(target_weight, 0) AS w, factor_rank
     FROM hold h FULL JOIN tgt t ON h.account_id = t.account_id AND h.symbol = t.symbol),
   lp AS (SELECT ln.*, close FROM ln LEFT JOIN px USING (symbol)),
@@ -195,16 +195,19 @@ def account_tables(spark, sf):
     prices = lines.where(priced).groupBy("l_suppkey").agg(
         F.round(F.max(F.col("l_extendedprice") / F.col("l_quantity")) / 100, 2).alias("close")
     ).select(sym, "close")
-    booked = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where(
-        priced | (F.col("o_custkey") % 5 == 0)
-    ).select(F.col("o_custkey").alias("account_id"), sym, "l_quantity", "l_extendedprice", "l_returnflag")
+    # names without a price are booked by every fifth account only; others book the next name instead
+    named = F.col("l_suppkey") + F.when(priced | (F.col("o_custkey") % 5 == 0), 0).otherwise(1)
+    booked = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("_named", named).select(
+        F.col("o_custkey").alias("account_id"), symbol_of("_named").alias("symbol"), "l_quantity", "l_extendedprice", "l_returnflag"
+    )
     holdings = booked.where("l_returnflag = 'R'").groupBy("account_id", "symbol").agg(
         (F.sum("l_quantity") * 10).cast("long").alias("shares")
     )
     traded = booked.where("l_returnflag = 'A'").groupBy("account_id", "symbol").agg(F.sum("l_extendedprice").alias("_a"))
     order = W.partitionBy("account_id").orderBy(F.desc("_a"), "symbol")
-    targets = traded.withColumn("factor_rank", F.row_number().over(order)).where("factor_rank <= 3").select(
-        "account_id", "symbol", F.lit(0.3).alias("target_weight"), "factor_rank"
+    share = F.lit(0.9) / F.count("*").over(W.partitionBy("account_id"))  # an account's names, as many as it traded
+    targets = traded.withColumn("factor_rank", F.row_number().over(order)).select(
+        "account_id", "symbol", share.alias("target_weight"), "factor_rank"
     )
     accounts = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("account_id"), F.greatest("c_acctbal", F.lit(0.0)).alias("cash")

@@ -464,7 +464,7 @@ def lenient_dates(spark, sf):
         CASE WHEN l_linenumber = 1 THEN 'CA' WHEN l_linenumber = 2 THEN 'SD' ELSE 'XX' END AS kind, {DAY} AS ex_date,
         CASE WHEN l_orderkey % 9 <> 0 THEN CAST(l_shipdate AS DATE) - CAST(l_orderkey % 7 AS INTEGER) + 1 END AS announced,
         CASE WHEN l_orderkey % 8 <> 0 THEN CAST(l_shipdate AS DATE) + CAST(l_orderkey % 5 AS INTEGER) - 1 END AS paid,
-        l_discount - 0.01 AS amount FROM lineitem WHERE l_linenumber <= 3),
+        l_discount - 0.01 AS amount FROM lineitem),
       f AS (SELECT *, code || CASE WHEN code LIKE '6%' THEN '.SH' ELSE '.SZ' END AS symbol FROM e),
       g AS (SELECT *, count(*) OVER (PARTITION BY symbol, ex_date, kind) AS n FROM f)
     SELECT symbol, kind, ex_date, announced AS announcement_date, paid AS payment_date, round(amount, 6) AS amount_per_share,
@@ -476,7 +476,7 @@ def lenient_dates(spark, sf):
 )
 def corporate_events(spark, sf):
     d = F.to_date("l_shipdate")
-    raw = table(spark, sf, "lineitem").where("l_linenumber <= 3").select(
+    raw = table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") * 7).alias("stkcd"),
         F.when(F.col("l_linenumber") == 1, " ca").when(F.col("l_linenumber") == 2, "SD").otherwise("xx").alias("disttyp"),
         F.date_format(d, "yyyyMMdd").alias("exdistdt"),
