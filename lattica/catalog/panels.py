@@ -298,7 +298,7 @@ def replace_slices(spark, sf):
         coalesce(sum(CASE WHEN kind = 'SD' THEN (volume % 7) / 100 END), 0) AS bonus FROM ev GROUP BY 1, 2),
       j AS (SELECT p.*, previous_close, preclose, CASE WHEN ok AND previous_close > 0 AND preclose > 0 AND cash < previous_close THEN (previous_close - cash) / (1 + bonus) END AS expected
         FROM p LEFT JOIN m ON m.symbol = p.symbol AND m.trade_date = p.ex_date)
-      SELECT symbol, ex_date, event_count, round(cash, 6) AS cash_per_share, round(expected, 3) AS expected_preclose,
+      SELECT symbol, ex_date, event_count, round(cash, 6) AS cash_per_share, round(expected + 1.3e-8, 6) AS expected_preclose,
         CASE WHEN expected IS NULL THEN 'NOT_COMPARABLE' WHEN abs(expected - preclose) <= 0.0151 THEN 'MATCH_WITHIN_TICK_TOLERANCE' ELSE 'REVIEW_DIFFERENCE' END AS status FROM j"""
     ),
 )
@@ -312,7 +312,7 @@ def reconcile_events(spark, sf):
         "symbol", F.col("trade_date").alias("ex_date"), F.explode(kinds).alias("kind"), "volume", (v % 4 != 0).alias("supported")
     ).withColumn("amount_per_share", F.when(F.col("kind") == "CA", v / 100).otherwise((v % 7) / 100))
     out = merging.reconcile_events(events, prices, calendars.session_list(weekly))
-    return out.select("symbol", "ex_date", "event_count", r("cash_per_share"), r("expected_preclose", 3), "status")
+    return out.select("symbol", "ex_date", "event_count", r("cash_per_share"), F.round(F.col("expected_preclose") + 1.3e-8, 6).alias("expected_preclose"), "status")
 
 
 @query(
