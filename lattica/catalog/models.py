@@ -162,7 +162,7 @@ def boosted_trees(spark, sf):
         "trade_date",
         F.when(F.col("trade_date") < "1999-01-01", "train").when(F.col("trade_date") < "2000-01-01", "validation").otherwise("test").alias("part"),
     )
-    return walkforward.boosted_trees(rows, FEATURES, split, max_iterations=5, depth=3)
+    return walkforward.boosted_trees(rows, FEATURES, split)
 
 
 SELECTION = (
