@@ -30,6 +30,7 @@ from lattica.llm.textkit import LOWERED_VALUES, NOT_SPACE, blocks, mixed, packed
 
 SKETCH_BITS, SKETCH_SLICES = 19, 64
 MOST_MATCHES = 8
+MANY_HOLDERS = 64
 FILTER_BITS = 23
 
 
@@ -139,14 +140,28 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
-def _can_reach(a: str, b: str, percent: int) -> Column:
-    """Can two sets still have the overlap, by their prefixes up to where the shorter one ends?"""
-    p, q, n, m = F.col(f"prefix_{a}"), F.col(f"prefix_{b}"), F.col(f"n_{a}"), F.col(f"n_{b}")
+def _unseen(n: Column, need: Column, percent: int) -> Column:
+    """Shingles of a set behind its prefix."""
+    return F.ceil(n * percent / F.lit(100.0) - 1e-9) - need
+
+
+def _enough(common: Column, percent: int) -> Column:
+    """Can sets with so many prefix shingles in common (at most) still have the overlap?
+
+    Behind the shorter prefix lie no more shingles than one of the two sets has behind its own.
+    """
+    rest = F.greatest(_unseen(F.col("n_a"), F.col("need_a"), percent), _unseen(F.col("n_b"), F.col("need_b"), percent))
+    return (common >= F.least("need_a", "need_b")) & (common + rest >= _overlap_needed(F.col("n_a"), F.col("n_b"), percent))
+
+
+def _can_reach(percent: int) -> Column:
+    """The same from whole prefixes, up to where the shorter one ends."""
+    p, q, n, m = F.col("prefix_a"), F.col("prefix_b"), F.col("n_a"), F.col("n_b")
     end = F.least(F.element_at(p, -1), F.element_at(q, -1))
     left_p = n - F.size(F.filter(p, lambda t: t <= end))
     left_q = m - F.size(F.filter(q, lambda t: t <= end))
     shared = F.size(F.array_intersect(p, q))
-    return (shared >= F.least(f"need_{a}", f"need_{b}")) & (shared + F.least(left_p, left_q) >= _overlap_needed(n, m, percent))
+    return (shared >= F.least("need_a", "need_b")) & (shared + F.least(left_p, left_q) >= _overlap_needed(n, m, percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -193,8 +208,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
-def _named(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "need", "prefix")))
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token")) for side in ("a", "b"))
+
+
+def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a shingle's documents with its least and its greatest document, if they promise a link.
+
+    What is left out here is met again by ``_crossing_pairs``.
+    """
+    stars = shared.where("rep <> one").select(F.least("rep", "one").alias("a"), F.greatest("rep", "one").alias("b"))
+    stars = stars.unionByName(shared.where("rep <> two and rep <> one").select(F.least("rep", "two").alias("a"), F.greatest("rep", "two").alias("b")))
+    pairs = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_common")).where("_common > 1")
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("need").alias(f"need_{side}")), side)
+    return pairs.where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _enough(F.col("_common"), percent)).select("a", "b")
+
+
+def _crossing_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share prefix shingles and can reach the similarity.
+
+    Shingles of few documents are joined by themselves and counted per pair. Those of many
+    carry the documents' prefixes into the join, which lets a pair out once and only if the
+    prefixes allow it. A pair with both kinds in common is judged by the second.
+    """
+    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+    many = contested.where(F.col("holders") > MANY_HOLDERS)
+    own = staged(many.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("hot")), "hot")  # part of a prefix each
+    few = contested.where(F.col("holders") <= MANY_HOLDERS).join(own.select("rep", F.size("hot").alias("n_hot")), "rep", "left").fillna(0, "n_hot")
+    a, b = _sides(few.select("token", "rep", "component", "n", "need", "n_hot"))
+    light = a.join(b, "token").where(apart).groupBy("rep_a", "rep_b", "n_a", "n_b", "need_a", "need_b")
+    light = light.agg((F.count(F.lit(1)) + F.first(F.least("n_hot_a", "n_hot_b"))).alias("_common")).where(_enough(F.col("_common"), percent))
+    a, b = _sides(many.select("token", "rep", "component", "n", "need").join(own, "rep").join(classes.select("rep", "prefix"), "rep"))
+    once = F.array_min(F.array_intersect("hot_a", "hot_b")) == a["token"]
+    heavy = a.join(b, (a["token"] == b["token"]) & apart & once & _can_reach(percent))
+    return light.select("rep_a", "rep_b").unionByName(heavy.select("rep_a", "rep_b")).distinct().toDF("a", "b")
 
 
 def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,44 +252,19 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
     grouped = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "need", "prefix")).alias("_first"))
     classes = staged(grouped.select("k1", "k2", "n", F.col("_first.doc_id").alias("rep"), "_first.need", "_first.prefix"), "classes")
     tokens = classes.select("rep", "n", "need", F.explode("prefix").alias("token"))
-    leaders = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("_holders"),
-        F.min(F.struct("rep", "n", "need")).alias("_one"),
-        F.min(F.struct(F.xxhash64("rep"), "rep", "n", "need")).alias("_two"),
-    )
-    leaders = leaders.where("_holders > 1").select("token", "_one", F.struct("_two.rep", "_two.n", "_two.need").alias("_two"))
-    shared = staged(tokens.join(leaders, "token"), "shared")
-
-    stars = None
-    for lead in ("_one", "_two"):
-        mine = shared.where((F.col("rep") != F.col(f"{lead}.rep")) & _sizes_fit(F.col("n"), F.col(f"{lead}.n"), percent)).select(
-            F.least("rep", f"{lead}.rep").alias("a"), F.greatest("rep", f"{lead}.rep").alias("b"), "token", F.least("need", f"{lead}.need").alias("need")
-        )
-        stars = mine if stars is None else stars.unionByName(mine)
-    pairs = stars.groupBy("a", "b").agg(F.count_distinct("token").alias("_in_common"), F.min("need").alias("_need")).where("_in_common >= least(_need, 2)")
-    near = pairs.join(_named(classes, "a").withColumnRenamed("rep_a", "a"), "a").join(_named(classes, "b").withColumnRenamed("rep_b", "b"), "b")
-    near = staged(near.where(_can_reach("a", "b", percent)).select("a", "b"), "near")
+    leaders = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("rep").alias("one"), F.max("rep").alias("two"))
+    shared = staged(tokens.join(leaders.where("holders > 1"), "token"), "shared")
+
+    near = staged(_star_pairs(shared, classes, percent), "near")
     links = staged(_verified(near, docs, width, percent), "links")
-    first = components(links)
+    first = components(links).withColumnRenamed("node", "rep")
 
-    placed = shared.select("token", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = shared.drop("one", "two").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = staged(placed, "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
-    contested = staged(placed.join(split, "token", "left_semi").join(classes.select("rep", "n", "need", "prefix"), "rep"), "contested")
-    a, b = (contested.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "need", "prefix"))) for side in ("a", "b"))
-    crossing = a.join(
-        b,
-        (a["token"] == b["token"])
-        & (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
-        & (F.array_min(F.array_intersect("prefix_a", "prefix_b")) == a["token"])
-        & _can_reach("a", "b", percent),
-    )
-    crossing = staged(crossing.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "crossing")
-    more = _verified(crossing, docs, width, percent)
-    both = components(links.unionByName(more))
-    return signed, classes, both
+    contested = staged(placed.join(split, "token", "left_semi"), "contested")
+    crossing = staged(_crossing_pairs(contested, classes, percent), "crossing")
+    return signed, classes, components(links.unionByName(_verified(crossing, docs, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
