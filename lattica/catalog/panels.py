@@ -47,23 +47,28 @@ MERGED = f"""{VENDOR_A}, {VENDOR_B}, merged AS (SELECT coalesce(a.trade_date, b.
     {', '.join(f'a.{c} AS {c}_a, b.{c} AS {c}_b, coalesce(a.{c}, b.{c}) AS {c}' for c in FIELDS)},
     CASE WHEN a.close IS NOT NULL THEN 'A' WHEN b.close IS NOT NULL THEN 'B' ELSE 'missing' END AS close_source,
     CASE WHEN a.symbol IS NOT NULL AND b.symbol IS NOT NULL THEN 'both' WHEN a.symbol IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS source_presence,
-    coalesce(b.is_st, FALSE) AS is_st, coalesce(b.is_suspended, FALSE) AS is_suspended, b.symbol IS NOT NULL AS known
+    coalesce(b.is_st, FALSE) AS is_st, coalesce(b.is_suspended, FALSE) AS is_suspended, b.symbol IS NOT NULL AS known,
+    b.volume / 100 AS turnover_rate, a.amount * 2 AS market_value_raw, coalesce(a.volume, b.amount) AS both_have
     FROM vendor_a a FULL JOIN vendor_b b ON a.trade_date = b.trade_date AND a.symbol = b.symbol)"""
 
 
 def merged(spark, sf, check=False):
-    b = vendor_bars(spark, sf, "B").withColumns({"is_st_known": F.lit(True), "is_suspended_known": F.lit(True)})
-    return merging.merge_sources(vendor_bars(spark, sf, "A"), b, check=check)
+    known = {"is_st_known": F.lit(True), "is_suspended_known": F.lit(True)}
+    b = vendor_bars(spark, sf, "B").withColumns({**known, "turnover_rate": F.col("volume") / 100, "both_have": F.col("amount")})
+    a = vendor_bars(spark, sf, "A").withColumns({"market_value_raw": F.col("amount") * 2, "both_have": F.col("volume")})
+    return merging.merge_sources(a, b, check=check)
 
 
 @query(
     "merge_sources",
     f"""WITH {MERGED} SELECT trade_date, symbol, {', '.join(f'round({c}, {DIGITS[c]}) AS {c}' for c in FIELDS)}, close_source, source_presence,
+      round(turnover_rate, 6) AS turnover_rate, round(market_value_raw, 2) AS market_value_raw, round(both_have, 2) AS both_have,
       is_st, CASE WHEN known THEN 'B' ELSE 'unknown' END AS status_source, FALSE AS limit_status_known FROM merged""",
 )
 def merge_sources(spark, sf):
     return merged(spark, sf, check=True).select(
-        "trade_date", "symbol", *[r(c, DIGITS[c]) for c in FIELDS], "close_source", "source_presence", "is_st", "status_source", "limit_status_known"
+        "trade_date", "symbol", *[r(c, DIGITS[c]) for c in FIELDS], "close_source", "source_presence", "is_st", "status_source", "limit_status_known",
+        r("turnover_rate"), r("market_value_raw", 2), r("both_have", 2),
     )
 
 

@@ -239,21 +239,24 @@ def vendor_a_normalize(spark, sf):
 
 @query(
     "vendor_b_normalize",
-    f"""WITH b AS (SELECT {DAY} AS trade_date, l_suppkey, arg_min(l_extendedprice, {DAY_ORDER}) AS open, sum(l_quantity) AS volume
+    f"""WITH b AS (SELECT {DAY} AS trade_date, l_suppkey, arg_min(l_extendedprice, {DAY_ORDER}) AS open, sum(l_quantity) AS volume, sum(l_extendedprice) AS worth
       FROM lineitem GROUP BY 1, 2)
     SELECT trade_date, lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') || '.SH' AS symbol,
-      round(open, 6) AS open, volume FROM b""",
+      round(open, 6) AS open, volume, round(worth, 2) AS market_value_raw, CAST(NULL AS DOUBLE) AS return_ex_cash FROM b""",
 )
 def vendor_b_normalize(spark, sf):
     lines = table(spark, sf, "lineitem")
     order = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     raw = lines.groupBy(F.to_date("l_shipdate").cast("string").alias("trddt"), F.col("l_suppkey").alias("stkcd")).agg(
-        F.min_by("l_extendedprice", order).alias("opnprc"), F.sum("l_quantity").cast("string").alias("dnshrtrd")
+        F.min_by("l_extendedprice", order).alias("opnprc"), F.sum("l_quantity").cast("string").alias("dnshrtrd"),
+        F.sum("l_extendedprice").alias("dsmvtll"),
     )
     text = F.col("s_suppkey").cast("string")
     code = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 6 - F.length(text))), text)
     codes = table(spark, sf, "supplier").select(code.alias("code"), F.concat(code, F.lit(".SH")).alias("symbol"))
-    return vendors.normalize_vendor_b(raw, codes).select("trade_date", "symbol", r("open"), "volume")
+    return vendors.normalize_vendor_b(raw, codes).select(
+        "trade_date", "symbol", r("open"), "volume", r("market_value_raw", 2), "return_ex_cash"
+    )
 
 
 @query(

@@ -54,16 +54,26 @@ def upsert(base: DataFrame, changes: DataFrame, keys=tuple(KEYS)) -> DataFrame:
 
 
 def merge_sources(a: DataFrame, b: DataFrame, fields=tuple(MERGE_FIELDS), names=("A", "B"), check: bool = True) -> DataFrame:
-    """Full outer one-to-one merge: A's field where present, else B's, with provenance."""
+    """Full outer one-to-one merge: A's field where present, else B's, with provenance.
+
+    Every further column of either source is carried (valuation, turnover, limits, raw
+    status); one that both have is A's where present. States come from B alone.
+    """
     if check:
         assert_unique(a, KEYS, names[0])
         assert_unique(b, KEYS, names[1])
-    left = a.select(*KEYS, *[F.col(c).alias(f"{c}_a") for c in fields], F.lit(True).alias("_in_a"),
-                    *[F.col(c) for c in a.columns if c in ("up_limit", "down_limit")])
-    states = [c for c in ("is_st", "is_suspended", "is_st_known", "is_suspended_known") if c in b.columns]
-    right = b.select(*KEYS, *[F.col(c).alias(f"{c}_b") for c in fields], F.lit(True).alias("_in_b"), *states)
+    every_state = ("is_st", "is_suspended", "is_st_known", "is_suspended_known")
+    taken = {*KEYS, *fields, *every_state}
+    more_a, more_b = ([c for c in df.columns if c not in taken] for df in (a, b))
+    shared = [c for c in more_a if c in more_b]
+    left = a.select(*KEYS, *[F.col(c).alias(f"{c}_a") for c in fields], F.lit(True).alias("_in_a"), *more_a)
+    states = [c for c in every_state if c in b.columns]
+    right = b.select(
+        *KEYS, *[F.col(c).alias(f"{c}_b") for c in fields], F.lit(True).alias("_in_b"), *states,
+        *[F.col(c).alias(f"_b_{c}") if c in shared else F.col(c) for c in more_b],
+    )
     merged = left.join(right, KEYS, "full")
-    columns: dict[str, Column] = {}
+    columns: dict[str, Column] = {c: F.coalesce(c, f"_b_{c}") for c in shared}
     for c in fields:
         columns[c] = F.coalesce(f"{c}_a", f"{c}_b")
         columns[f"{c}_source"] = (
@@ -71,7 +81,7 @@ def merge_sources(a: DataFrame, b: DataFrame, fields=tuple(MERGE_FIELDS), names=
             .when(F.col(f"{c}_b").isNotNull(), names[1])
             .otherwise("missing")
         )
-    for c in ("is_st", "is_suspended", "is_st_known", "is_suspended_known"):
+    for c in every_state:
         columns[c] = flag(c) if c in states else F.lit(False)
     merged = merged.withColumns(columns)
     limits = "up_limit" in a.columns and "down_limit" in a.columns
@@ -89,7 +99,7 @@ def merge_sources(a: DataFrame, b: DataFrame, fields=tuple(MERGE_FIELDS), names=
             "price_adjustment": F.lit("raw"),
             "research_ready": F.lit(False),
         }
-    ).drop("_in_a", "_in_b")
+    ).drop("_in_a", "_in_b", *[f"_b_{c}" for c in shared])
 
 
 def compare_sources(merged: DataFrame, fields=tuple(MERGE_FIELDS)) -> DataFrame:

@@ -50,4 +50,9 @@ VENDOR_B_NAMES = {
     "dnvaltrd": "amount",
     "limitup": "up_limit",
     "limitdown": "down_limit",
+    "dsmvtll": "market_value_raw",
+    "dsmvosd": "float_market_value_raw",
+    "dretwd": "return_cash_reinvested",
+    "dretnd": "return_ex_cash",
+    "trdsta": "trading_status_raw",
 }
