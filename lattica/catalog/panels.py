@@ -259,12 +259,12 @@ def gap_islands(spark, sf):
     "gap_islands_collapsed",
     with_daily(
         f""", {LISTING}{RUNS}, c AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM runs)
-      SELECT symbol, start_date, end_date, missing_sessions FROM c WHERE n <= 140
-      UNION ALL SELECT symbol, min(start_date), max(end_date), CAST(sum(missing_sessions) AS BIGINT) FROM c WHERE n > 140 GROUP BY symbol"""
+      SELECT symbol, start_date, end_date, missing_sessions, CASE WHEN n > 140 THEN min(start_date) OVER (PARTITION BY symbol) ELSE start_date END AS request_start,
+        CASE WHEN n > 140 THEN max(end_date) OVER (PARTITION BY symbol) ELSE end_date END AS request_end FROM c"""
     ),
 )
 def gap_islands_collapsed(spark, sf):
-    return islands(spark, sf, 140)[0].select("symbol", "start_date", "end_date", "missing_sessions")
+    return islands(spark, sf, 140)[0].select("symbol", "start_date", "end_date", "missing_sessions", "request_start", "request_end")
 
 
 @query(

@@ -118,10 +118,10 @@ def with_listing_age(df: DataFrame, sessions: DataFrame, basics: DataFrame) -> D
     asks = starts.where("_in_calendar").select(F.col("list_date").alias("at")).distinct().select(
         "at", F.lit(None).cast("int").alias("session_idx"), F.lit(0).alias("side")
     )
-    ahead = W.orderBy("at", "side").rowsBetween(0, W.unboundedFollowing)
+    ahead = W.orderBy(F.desc("at"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
     index = (
         marks.unionByName(asks)
-        .withColumn("list_idx", F.first("session_idx", ignorenulls=True).over(ahead))
+        .withColumn("list_idx", F.last("session_idx", ignorenulls=True).over(ahead))
         .where("side = 0")
         .select(F.col("at").alias("list_date"), "list_idx")
     )

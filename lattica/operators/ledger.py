@@ -165,12 +165,13 @@ def _next_by_run(signals: DataFrame, calendar: DataFrame, by) -> DataFrame:
     marks = calendar.select(*by, F.col("trade_date").alias("at"), F.col("trade_date").alias("_s"), F.lit(0).alias("side"))
     asks = signals.select(*by, F.col("signal_date").alias("at"), F.lit(None).cast("date").alias("_s"), F.lit(1).alias("side"))
     order = W.partitionBy(*by).orderBy("at", "side")
+    back = W.partitionBy(*by).orderBy(F.desc("at"), F.desc("side"))
     same = F.last("_s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     return (
         marks.unionByName(asks)
         .withColumns(
             {
-                "_next": F.first("_s", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)),
+                "_next": F.last("_s", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)),
                 "_signal_open": same == F.col("at"),
             }
         )

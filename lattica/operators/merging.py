@@ -193,14 +193,14 @@ def listed_ranges(sessions: DataFrame, master: DataFrame, start, end) -> DataFra
     marks = index.select(F.col("trade_date").alias("at"), F.lit("s").alias("kind"), "session_idx")
     both = marks.unionByName(edges.withColumn("session_idx", F.lit(None).cast("int")))
     ordered = W.orderBy("at")
-    after = F.first("session_idx", ignorenulls=True).over(ordered.rangeBetween(0, W.unboundedFollowing))
+    after = F.last("session_idx", ignorenulls=True).over(W.orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, 0))
     before = F.last("session_idx", ignorenulls=True).over(ordered.rangeBetween(W.unboundedPreceding, 0))
     numbered = both.withColumn("at", F.unix_date("at")).withColumns({"_after": after, "_before": before})
     heads = numbered.where("kind = 'f'").select(F.date_from_unix_date("at").alias("_from"), F.col("_after").alias("first_idx"))
     tails = numbered.where("kind = 't'").select(F.date_from_unix_date("at").alias("_to"), F.col("_before").alias("last_idx"))
     return (
-        spans.join(heads, "_from", "left")
-        .join(tails, "_to", "left")
+        spans.join(F.broadcast(heads), "_from", "left")  # one row per distinct date
+        .join(F.broadcast(tails), "_to", "left")
         .where("first_idx <= last_idx")
         .select("symbol", "first_idx", "last_idx")
     )
@@ -211,7 +211,9 @@ def gap_islands(expected: DataFrame, observed: DataFrame, sessions: DataFrame, c
 
     ``expected`` gives ``(symbol, first_idx, last_idx)``. Runs are the holes between
     consecutive observed sessions (plus both edges), so the symbol x session grid
-    is never built. More than ``collapse_above`` runs become one covering run.
+    is never built. The runs are exact; ``request_start`` and ``request_end`` say what to
+    ask a vendor for: the run itself, or one covering span for a symbol with more than
+    ``collapse_above`` runs.
     """
     seen = (
         observed.select("symbol", "trade_date")
@@ -234,22 +236,18 @@ def gap_islands(expected: DataFrame, observed: DataFrame, sessions: DataFrame, c
             (F.col("_next") - F.col("session_idx") - 1).cast("long").alias("missing_sessions"),
         )
     )
-    if collapse_above is not None:
-        whole = runs.groupBy("symbol").agg(
-            F.count("*").alias("_runs"), F.min("start_idx").alias("_s"), F.max("end_idx").alias("_e"),
-            F.sum("missing_sessions").alias("_m"),
-        )
-        kept = runs.join(whole.where(F.col("_runs") <= collapse_above).select("symbol"), "symbol", "left_semi")
-        folded = whole.where(F.col("_runs") > collapse_above).select(
-            "symbol", F.col("_s").alias("start_idx"), F.col("_e").alias("end_idx"), F.col("_m").alias("missing_sessions")
-        )
-        runs = kept.unionByName(folded)
-    days = F.broadcast(sessions.select("trade_date", "session_idx"))
-    return (
-        runs.join(days.withColumnsRenamed({"trade_date": "start_date", "session_idx": "start_idx"}), "start_idx")
-        .join(days.withColumnsRenamed({"trade_date": "end_date", "session_idx": "end_idx"}), "end_idx")
-        .select("symbol", "start_date", "end_date", "missing_sessions", "start_idx", "end_idx")
+    whole = W.partitionBy("symbol")
+    folded = F.count("*").over(whole) > (collapse_above if collapse_above is not None else 1 << 62)
+    runs = runs.withColumns(
+        {
+            "_first": F.when(folded, F.min("start_idx").over(whole)).otherwise(F.col("start_idx")),
+            "_last": F.when(folded, F.max("end_idx").over(whole)).otherwise(F.col("end_idx")),
+        }
     )
+    days = sessions.select("trade_date", "session_idx")
+    for index, name in (("start_idx", "start_date"), ("end_idx", "end_date"), ("_first", "request_start"), ("_last", "request_end")):
+        runs = runs.join(F.broadcast(days.withColumnsRenamed({"trade_date": name, "session_idx": index})), index)  # calendar
+    return runs.select("symbol", "start_date", "end_date", "missing_sessions", "start_idx", "end_idx", "request_start", "request_end")
 
 
 def missing_by_year(islands: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -238,17 +238,12 @@ def recent_gaps(df: DataFrame, sessions: DataFrame, symbols: DataFrame, count: i
     """
     window = trailing_sessions(sessions, count).select("trade_date")
     rows = df.join(symbols, "symbol", "left_semi")
-    # a window of `count` dates fits in one broadcast array
-    listed = window.agg(F.array_sort(F.collect_list("trade_date")).alias("_window"))
-    seen = rows.groupBy("symbol", "trade_date").agg(F.lit(1).alias("_one"))
+    inside = F.broadcast(window.withColumn("_inside", F.lit(True)))  # one row per session of the window
     per_symbol = (
-        seen.join(listed, F.lit(True))
+        rows.join(inside, "trade_date", "left")
         .groupBy("symbol")
-        .agg(
-            F.min("trade_date").alias("first_date"),
-            F.count_if(F.array_contains("_window", F.col("trade_date"))).alias("observed"),
-            F.first("_window").alias("_window"),
-        )
+        .agg(F.min("trade_date").alias("first_date"), F.count_distinct(F.when(F.col("_inside"), F.col("trade_date"))).alias("observed"))
+        .join(window.agg(F.array_sort(F.collect_list("trade_date")).alias("_window")), F.lit(True))  # one row
     )
     required = F.size(F.filter("_window", lambda d: d >= F.col("first_date")))
     return per_symbol.select("symbol", (required - F.col("observed")).cast("long").alias("gaps"))
@@ -310,8 +305,7 @@ def window_completeness(
     wanted = required if "list_date" in required.columns else required.withColumn("list_date", F.lit(None).cast("date"))
     rows = (
         df.drop("list_date")
-        .join(dates, F.lit(True))
-        .where(F.array_contains("_dates", F.col("trade_date")))
+        .join(F.broadcast(window.select("trade_date")), "trade_date", "left_semi")  # one row per session of the window
         .withColumn("_broken", F.coalesce(broken, F.lit(True)))
         .withColumn("_known", states_known)
         .join(wanted, "symbol")

@@ -16,7 +16,6 @@ from lattica.operators.adjust import (
     normalized_to_latest,
     price_chain,
 )
-from lattica.operators.calendars import rebalance_dates
 from lattica.operators.diagnostics import (
     ic_decay,
     information_coefficient,
@@ -34,7 +33,7 @@ from lattica.operators.performance import (
     performance_metrics,
     portfolio_returns,
 )
-from lattica.operators.portfolio import descending_rank, top_n_weights
+from lattica.operators.portfolio import buffered_top_n, descending_rank, top_n_weights
 from lattica.operators.preprocess import preprocess, zscore
 from lattica.operators.quality import acceptance, audit_panel, bad_ohlc, validate_panel
 from lattica.operators.sections import WHOLE, Layout
@@ -46,6 +45,7 @@ from lattica.operators.universe import (
     attach_shared_memberships,
 )
 from lattica.schema import KNOWN
+from lattica.session import settle
 
 __all__ = [
     "latest_cross_section", "score_latest", "momentum_study", "momentum_grid", "holdings_grid", "universe_size",
@@ -194,7 +194,7 @@ def holdings_grid(
 ) -> DataFrame:
     """Change one dimension at a time: holdings, frequency, cost.
 
-    Signals are ranked once to the widest variant. Invalid variants stay as rows.
+    Every variant is the buffered strategy with its own dates. Invalid ones stay as rows.
     """
     costs = costs or Costs()
     spark = panel.sparkSession
@@ -204,20 +204,14 @@ def holdings_grid(
     cases.append(("scaled_cost", base_top_n, base_frequency, cost_factor))
     invalid = [(f"holdings_{n}", "invalid") for n in holdings if exit_rank < n]
     variants = spark.createDataFrame(cases, "case string, top_n int, frequency string, cost_factor double")
-    widest = max(c[1] for c in cases)
-    dates = None
-    for f in sorted({c[2] for c in cases}):
-        part = rebalance_dates(signals, f).select("trade_date", F.lit(f).alias("frequency"))
-        dates = part if dates is None else dates.unionByName(part)
-    scheduled = dates.join(F.broadcast(variants), "frequency")  # dates x variants
-    best = signals.where(F.col(signal).isNotNull()).select("trade_date", "symbol", signal)
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("trade_date").orderBy(F.desc(signal), "symbol")
-    ranked = best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= widest)
-    chosen = ranked.join(F.broadcast(scheduled), "trade_date").where(F.col("_rank") <= F.col("top_n"))
-    size = F.count("*").over(W.partitionBy("case", "trade_date"))  # at most top_n rows
-    weights = chosen.select("case", "trade_date", "symbol", F.least(1 / size, F.lit(max_weight)).alias("target_weight"))
+    best = settle(signals.where(F.col(signal).isNotNull()).select("trade_date", "symbol", signal))
+    weights = None
+    for n, frequency in sorted({c[1:3] for c in cases}):
+        part = buffered_top_n(best, signal, n, max(exit_rank, n), frequency, max_weight)
+        mine = variants.where((F.col("top_n") == n) & (F.col("frequency") == frequency)).select("case")
+        part = part.join(F.broadcast(mine), F.lit(True))  # the cases that hold these weights
+        weights = part if weights is None else weights.unionByName(part)
+    weights = settle(weights).select("case", "trade_date", "symbol", "target_weight")
     returns = portfolio_returns(panel, weights, costs, by=("case",))
     scaled = returns.join(F.broadcast(variants.select("case", "cost_factor")), "case").withColumn(
         "net_return", F.col("gross_return") - F.col("cost") * F.col("cost_factor")
