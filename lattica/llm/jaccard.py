@@ -235,9 +235,11 @@ def _crossing_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> D
     apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
     many = contested.where(F.col("holders") > MANY_HOLDERS)
     own = staged(many.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("hot")), "hot")  # part of a prefix each
-    few = contested.where(F.col("holders") <= MANY_HOLDERS).join(own.select("rep", F.size("hot").alias("n_hot")), "rep", "left").fillna(0, "n_hot")
-    a, b = _sides(few.select("token", "rep", "component", "n", "need", "n_hot"))
-    light = a.join(b, "token").where(apart).groupBy("rep_a", "rep_b", "n_a", "n_b", "need_a", "need_b")
+    held = contested.groupBy("rep").agg(F.count(F.lit(1)).alias("n_held"), F.count_if(F.col("holders") > MANY_HOLDERS).alias("n_hot"))
+    few = contested.where(F.col("holders") <= MANY_HOLDERS).join(held, "rep")
+    a, b = _sides(few.select("token", "rep", "component", "n", "need", "n_hot", "n_held"))
+    possible = _enough(F.least("n_held_a", "n_held_b"), percent)  # no pair has more in common than one of its sides holds
+    light = a.join(b, "token").where(apart & possible).groupBy("rep_a", "rep_b", "n_a", "n_b", "need_a", "need_b")
     light = light.agg((F.count(F.lit(1)) + F.first(F.least("n_hot_a", "n_hot_b"))).alias("_common")).where(_enough(F.col("_common"), percent))
     a, b = _sides(many.select("token", "rep", "component", "n", "need").join(own, "rep").join(classes.select("rep", "prefix"), "rep"))
     once = F.array_min(F.array_intersect("hot_a", "hot_b")) == a["token"]
