@@ -32,6 +32,7 @@ SKETCH_BITS, SKETCH_SLICES = 19, 64
 MOST_MATCHES = 8
 MANY_HOLDERS = 64
 FILTER_BITS = 23
+MARKS = ("mark_0", "mark_1", "mark_2", "mark_3")
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,8 +109,16 @@ def chosen_prefix(found: np.ndarray, classes: np.ndarray, extra: np.ndarray, per
     return code[order][: p + k - 1].astype(np.int64), k
 
 
+def prefix_marks(prefix: np.ndarray) -> np.ndarray:
+    """256 bits in which each prefix shingle sets one; what one set marks and another does not, it alone has."""
+    marks = np.zeros(len(MARKS), np.uint64)
+    code = prefix.astype(np.uint64)
+    np.bitwise_or.at(marks, (code >> np.uint64(6) & np.uint64(3)).astype(np.int64), np.uint64(1) << (code & np.uint64(63)))
+    return marks.view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2 (a 128-bit fingerprint of the set), need, prefix; written to the shared folder."""
+    """doc_id, n, k1, k2 (a 128-bit fingerprint of the set), need, prefix and its 256 marks; written to the shared folder."""
     sketch = shingle_sketch(docs, width)
     load = np.median(sketch)
     extra = np.maximum(sketch.astype(float) - load - 4 * np.sqrt(load + 1), 0).astype(np.float32)
@@ -119,16 +128,20 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, extra = sent.value
         for batch in batches:
-            rows = {"n": [], "k1": [], "k2": [], "need": [], "prefix": []}
+            rows = {"n": [], "k1": [], "k2": [], "need": [], "prefix": [], "marks": []}
             for _, found in shingle_sets(batch.column("text"), width):
                 at = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 prefix, need = chosen_prefix(found, levels[at], extra[at], percent) if len(found) else (np.zeros(0, np.int64), 0)
-                for name, value in zip(rows, (len(found), int(found.sum().astype(np.int64)), int(mixed(found).sum().astype(np.int64)), need, prefix), strict=True):
+                values = (len(found), int(found.sum().astype(np.int64)), int(mixed(found).sum().astype(np.int64)), need, prefix, prefix_marks(prefix))
+                for name, value in zip(rows, values, strict=True):
                     rows[name].append(value)
             arrays = [pa.array(rows["n"], pa.int64()), pa.array(rows["k1"], pa.int64()), pa.array(rows["k2"], pa.int64()), pa.array(rows["need"], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays, pa.array(rows["prefix"], pa.list_(pa.int64()))], ["doc_id", *rows])
+            marks = np.array(rows["marks"], np.int64).reshape(-1, len(MARKS))
+            arrays += [pa.array(rows["prefix"], pa.list_(pa.int64())), *(pa.array(marks[:, k]) for k in range(len(MARKS)))]
+            names = ["doc_id", "n", "k1", "k2", "need", "prefix", *MARKS]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names)
 
-    schema = "doc_id long, n long, k1 long, k2 long, need int, prefix array<long>"
+    schema = "doc_id long, n long, k1 long, k2 long, need int, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS)
     return staged(docs.select("doc_id", "text").mapInArrow(sign, schema), "signatures")
 
 
@@ -154,6 +167,15 @@ def _enough(common: Column, percent: int) -> Column:
     return (common >= F.least("need_a", "need_b")) & (common + rest >= _overlap_needed(F.col("n_a"), F.col("n_b"), percent))
 
 
+def _marked_common(side: str, other: str, percent: int) -> Column:
+    """At most so many of a side's prefix shingles can be in the other's prefix."""
+    n, need = F.col(f"n_{side}"), F.col(f"need_{side}")
+    own = F.lit(0)
+    for m in MARKS:
+        own = own + F.bit_count(F.col(f"{m}_{side}").bitwiseAND(F.bitwise_not(F.col(f"{m}_{other}"))))
+    return n - _unseen(n, need, percent) - own
+
+
 def _can_reach(percent: int) -> Column:
     """The same from whole prefixes, up to where the shorter one ends."""
     p, q, n, m = F.col("prefix_a"), F.col("prefix_b"), F.col("n_a"), F.col("n_b")
@@ -228,17 +250,18 @@ def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def _crossing_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share prefix shingles and can reach the similarity.
 
-    Shingles of few documents are joined by themselves and counted per pair. Those of many
-    carry the documents' prefixes into the join, which lets a pair out once and only if the
+    Shingles of few documents are joined by themselves and counted per pair, after marks of
+    the prefixes have ruled out most pairs. Those of many carry the prefixes into the join, which lets a pair out once and only if the
     prefixes allow it. A pair with both kinds in common is judged by the second.
     """
     apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
     many = contested.where(F.col("holders") > MANY_HOLDERS)
     own = staged(many.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("hot")), "hot")  # part of a prefix each
     held = contested.groupBy("rep").agg(F.count(F.lit(1)).alias("n_held"), F.count_if(F.col("holders") > MANY_HOLDERS).alias("n_hot"))
-    few = contested.where(F.col("holders") <= MANY_HOLDERS).join(held, "rep")
-    a, b = _sides(few.select("token", "rep", "component", "n", "need", "n_hot", "n_held"))
-    possible = _enough(F.least("n_held_a", "n_held_b"), percent)  # no pair has more in common than one of its sides holds
+    few = contested.where(F.col("holders") <= MANY_HOLDERS).join(held.join(classes.select("rep", *MARKS), "rep"), "rep")
+    a, b = _sides(few.select("token", "rep", "component", "n", "need", "n_hot", "n_held", *MARKS))
+    # no pair has more in common than one of its sides holds, or than their marks allow
+    possible = _enough(F.least("n_held_a", "n_held_b", _marked_common("a", "b", percent), _marked_common("b", "a", percent)), percent)
     light = a.join(b, "token").where(apart & possible).groupBy("rep_a", "rep_b", "n_a", "n_b", "need_a", "need_b")
     light = light.agg((F.count(F.lit(1)) + F.first(F.least("n_hot_a", "n_hot_b"))).alias("_common")).where(_enough(F.col("_common"), percent))
     a, b = _sides(many.select("token", "rep", "component", "n", "need").join(own, "rep").join(classes.select("rep", "prefix"), "rep"))
@@ -251,8 +274,9 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
     """(signatures, classes, components of class representatives that have links)."""
     signed = signatures(docs, width, percent)
     usable = signed.where("n > 0 and doc_id is not null")
-    grouped = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "need", "prefix")).alias("_first"))
-    classes = staged(grouped.select("k1", "k2", "n", F.col("_first.doc_id").alias("rep"), "_first.need", "_first.prefix"), "classes")
+    grouped = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "need", "prefix", *MARKS)).alias("_first"))
+    parts = (f"_first.{c}" for c in ("need", "prefix", *MARKS))
+    classes = staged(grouped.select("k1", "k2", "n", F.col("_first.doc_id").alias("rep"), *parts), "classes")
     tokens = classes.select("rep", "n", "need", F.explode("prefix").alias("token"))
     leaders = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("rep").alias("one"), F.max("rep").alias("two"))
     shared = staged(tokens.join(leaders.where("holders > 1"), "token"), "shared")
