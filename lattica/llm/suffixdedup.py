@@ -33,7 +33,8 @@ from lattica.llm.tables import partitions, text_bytes
 from lattica.llm.textkit import mixed, packed, ragged, span_hashes
 
 LENGTH, GRAM = 50, 16
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: For two tasks on an executor of 3 GB. A chunk sends one row to each bucket, so raise both with the executors' memory.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 SEGMENT = 4 << 20
 HOT = 10_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -60,7 +61,8 @@ def anchor_runs(raw: np.ndarray, starts: np.ndarray) -> Runs:
     """Cut the suffixes of all texts (those with 50 bytes left) into runs of one anchor.
 
     The anchor is the leftmost least 16-gram hash inside the first 50 bytes, so it depends on
-    nothing else. Long texts are handled in overlapping segments.
+    nothing else. Least hashes crowd at the low end, so keys are mixed once more before
+    they are dealt. Long texts are handled in overlapping segments.
     """
     found: list[tuple[np.ndarray, ...]] = []
     low, high, text = [], [], []
@@ -97,7 +99,7 @@ def anchor_runs(raw: np.ndarray, starts: np.ndarray) -> Runs:
         first = np.flatnonzero(fresh)
         stop = np.concatenate([first[1:], [len(anchor)]])
         until = b[np.searchsorted(a, first, "right") - 1]
-        found.append((first + base, np.minimum(stop, until) - first, text[group:last][np.searchsorted(a, first, "right") - 1], hashes[anchor[first]]))
+        found.append((first + base, np.minimum(stop, until) - first, text[group:last][np.searchsorted(a, first, "right") - 1], mixed(hashes[anchor[first]])))
         group = last
     if not found:
         nothing = np.zeros(0, np.int64)
