@@ -204,56 +204,84 @@ def suffixes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _text_view(rows: np.ndarray) -> np.ndarray:
+    """Rows as strings of one length: ordered, and equal, byte by byte."""
     return np.ascontiguousarray(rows).view(f"S{LENGTH}").ravel()
 
 
-def sorted_suffixes(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sorted_suffixes(rows: np.ndarray, docs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A suffix array of distinct rows in lexicographic order, each with its least document."""
     if len(rows) == 0:
         return rows, docs
-    order = np.argsort(_text_view(rows), kind="stable")
     rows, docs = rows[order], docs[order]
     fresh = np.ones(len(rows), bool)
-    fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+    view = _text_view(rows)
+    fresh[1:] = view[1:] != view[:-1]
     head = np.flatnonzero(fresh)
     return rows[head], np.minimum.reduceat(docs, head)
 
 
+def _places(level: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted rows stand in a sorted level, and whether they are there."""
+    level, view = _text_view(level), _text_view(rows)
+    at = np.searchsorted(level, view)
+    return at, (at < len(level)) & (level[np.minimum(at, len(level) - 1)] == view)
+
+
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two suffix arrays as one: the smaller's places in the larger are looked up in order."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    (rows, docs), (more, more_docs) = a, b
+    if len(more) == 0:
+        return rows, docs
+    at, same = _places(rows, more)
+    docs = docs.copy()
+    docs[at[same]] = np.minimum(docs[at[same]], more_docs[same])
+    new = np.flatnonzero(~same)
+    put = at[new] + np.arange(len(new))
+    old = np.ones(len(rows) + len(new), bool)
+    old[put] = False
+    out, out_docs = np.empty((len(old), LENGTH), np.uint8), np.empty(len(old), np.int64)
+    out[old], out[put] = rows, more[new]
+    out_docs[old], out_docs[put] = docs, more_docs[new]
+    return out, out_docs
+
+
 class LevelFamily:
     """Suffix arrays of geometrically growing levels; level k holds 2**k batches."""
 
     def __init__(self):
         self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, rows: np.ndarray, docs: np.ndarray) -> None:
-        """Insert a batch's suffix array; two levels of one size become one of the next."""
-        level, held = 0, sorted_suffixes(rows, docs)
+    def add(self, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Insert a batch's suffix array; two levels of one size become one of the next.
+
+        Returns the order of the batch's rows, for its scan.
+        """
+        order = np.argsort(_text_view(rows), kind="stable")
+        level, held = 0, sorted_suffixes(rows, docs, order)
         while level in self.levels:
-            other = self.levels.pop(level)
-            held = sorted_suffixes(np.concatenate([other[0], held[0]]), np.concatenate([other[1], held[1]]))
+            held = merged(self.levels.pop(level), held)
             level += 1
         self.levels[level] = held
+        return order
 
     def compact(self) -> None:
         """Merge all levels, smallest first, before many scans."""
         held = None
         for level in sorted(self.levels):
-            other = self.levels[level]
-            held = other if held is None else sorted_suffixes(np.concatenate([other[0], held[0]]), np.concatenate([other[1], held[1]]))
+            held = self.levels[level] if held is None else merged(self.levels[level], held)
         self.levels = {} if held is None else {max(self.levels): held}
 
-    def scan(self, rows: np.ndarray) -> np.ndarray:
+    def scan(self, rows: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
         """The least document of the family with each suffix (the largest integer: none)."""
         found = np.full(len(rows), _LAST)
         if len(rows) == 0:
             return found
-        view = _text_view(rows)
-        order = np.argsort(view, kind="stable")
+        order = np.argsort(_text_view(rows), kind="stable") if order is None else order
         for level, docs in self.levels.values():
-            if len(level):
-                at = np.searchsorted(_text_view(level), view[order]).clip(0, len(level) - 1)
-                same = (level[at] == rows[order]).all(1)
-                found[order[same]] = np.minimum(found[order[same]], docs[at[same]])
+            at, same = _places(level, rows[order])
+            found[order[same]] = np.minimum(found[order[same]], docs[at[same]])
         return found
 
 
@@ -347,15 +375,16 @@ def _rounds(docs: DataFrame, hot: int, chunk_bytes: int, bucket_bytes: int) -> t
     def answer(table: pa.Table) -> pa.Table:
         family = LevelFamily()
         batches = table.to_pylist()
+        orders = []
         for row in batches:
             length = np.frombuffer(row["length"], np.uint8).astype(np.int64)
-            family.add(suffixes(np.frombuffer(row["data"], np.uint8), length), np.repeat(np.frombuffer(row["least"], np.int64), length - LENGTH + 1))
+            orders.append(family.add(suffixes(np.frombuffer(row["data"], np.uint8), length), np.repeat(np.frombuffer(row["least"], np.int64), length - LENGTH + 1)))
         family.compact()
         rows = []
-        for row in batches:
+        for row, order in zip(batches, orders, strict=True):
             length = np.frombuffer(row["length"], np.uint8).astype(np.int64)
             count = length - LENGTH + 1
-            least = family.scan(suffixes(np.frombuffer(row["data"], np.uint8), length))
+            least = family.scan(suffixes(np.frombuffer(row["data"], np.uint8), length), order)
             entry, place = np.repeat(np.arange(len(count)), count), ragged(count)
             useful = least < np.repeat(np.frombuffer(row["most"], np.int64), count)
             fresh = useful.copy()
