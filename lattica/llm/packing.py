@@ -18,7 +18,6 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lattica.llm.encoding import encoded, encoder, tokenizer_path
 from lattica.llm.tables import ranked, staged
