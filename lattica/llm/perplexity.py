@@ -28,7 +28,8 @@ MODEL_BOUND = 6_000_000  # entries sent at once: 12 bytes each
 #: The symbols that the contract counts (fixed values).
 SYMBOLS = byte_set(b"#*$%&|<>")
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
-BAND_WIDTH = 12.0
+#: Deviations from the median to either edge of the band, and the length from which a text's spread shrinks no more.
+BAND_WIDTH, STEADY_BYTES = 3.0, 4000
 UNKNOWN = "und"
 
 _COUNTS = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
@@ -334,12 +335,14 @@ def quality_rules(docs: DataFrame, width: float = BAND_WIDTH, bound: int = MODEL
     """Counted rules of every whole text and the verdict of its language's perplexity band.
 
     ``base_failed``: fewer than 20 words, or over 30 % of them in repeated 8-word windows. The
-    band of a language is the median log perplexity of its texts that pass the counted rules,
-    plus and minus ``width`` robust deviations; the spread of a text grows as it gets shorter
-    by the root of its length, so deviations are taken after scaling by it. A text outside is
-    not kept. Null text has no words; null languages share one model; rows with null or
-    repeated ids are judged like any other. Columns: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity.
+    band of a language is measured on all its texts that pass the counted rules, each distinct
+    score once, so that a group of copies does not narrow it. The spread of a text grows as it
+    gets shorter by the root of its length, so offsets from the median log perplexity are
+    scaled by it; the lower edge lies ``width`` deviations below the median and the upper one
+    ``width`` above, each with the deviation that the quartile of its own side gives. A text
+    outside is not kept. Null text has no words; null languages share one model; rows with
+    null or repeated ids are judged like any other. Columns: doc_id, n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity.
     """
     docs = docs.select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     models = fit_models(ngram_counts(docs))
@@ -347,11 +350,12 @@ def quality_rules(docs: DataFrame, width: float = BAND_WIDTH, bound: int = MODEL
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     level = F.when(F.col("n_bytes") > 0, -F.col("_log_p") / F.col("n_bytes"))
     rows = rows.withColumn("base_failed", failed).withColumn("log_perplexity", level)
-    usable = rows.where(~F.col("base_failed"))
+    usable = rows.where(~F.col("base_failed")).select("lang", "n_bytes", F.round("log_perplexity", 9).alias("log_perplexity")).distinct()
     middle = usable.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("_middle"))
-    scale = F.least(F.sqrt(F.col("n_bytes") / F.lit(1000.0)), F.lit(1.0))
+    scale = F.sqrt(F.least("n_bytes", F.lit(STEADY_BYTES)) / F.lit(1000.0))
     off = (F.col("log_perplexity") - F.col("_middle")) * scale
-    spread = usable.join(F.broadcast(middle), "lang").groupBy("lang").agg((1.4826 * F.percentile_approx(F.abs(off), 0.5, 10000)).alias("_spread"))
-    band = middle.join(spread, "lang")
-    inside = F.coalesce(F.abs(off) <= F.greatest(width * F.col("_spread"), F.lit(1e-6)), F.lit(True))
+    quartiles = usable.join(F.broadcast(middle), "lang").groupBy("lang").agg(F.percentile_approx(off, [0.25, 0.75], 10000).alias("_quartiles"))
+    band = middle.join(quartiles, "lang")
+    low, high = (F.greatest(width * 1.4826 * F.abs(F.col("_quartiles")[k]), F.lit(1e-6)) for k in (0, 1))
+    inside = F.coalesce((off >= -low) & (off <= high), F.lit(True))
     return rows.join(F.broadcast(band), "lang", "left").select("doc_id", *RULES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")

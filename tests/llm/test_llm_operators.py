@@ -282,6 +282,29 @@ def test_band_rejects_gibberish_of_a_language(spark):
     assert not kept.pop(300) and all(kept.values())
 
 
+def test_band_rejects_both_tails_in_the_languages_own_letters(spark):
+    rng = np.random.default_rng(11)
+    known = [sentence(rng, 1) for _ in range(400)]
+    rows = [(k, " ".join(rng.choice(known, 150)), "en", "s", 1) for k in range(300)]
+    shuffled = ["".join(rng.permutation(list(rows[k][1]))) for k in range(5)]
+    poor = [" ".join(rng.choice(known[:12], 150)) for _ in range(5)]
+    rows += [(1000 + k, t, "en", "s", 1) for k, t in enumerate(shuffled)] + [(2000 + k, t, "en", "s", 1) for k, t in enumerate(poor)]
+    out = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    level = np.median([out[k].log_perplexity for k in range(300)])
+    assert not any(r.base_failed for r in out.values())
+    assert all(out[k].log_perplexity > level and not out[k].kept for k in range(1000, 1005))
+    assert all(out[k].log_perplexity < level and not out[k].kept for k in range(2000, 2005))
+    assert sum(out[k].kept for k in range(300)) >= 290
+
+
+def test_band_is_not_narrowed_by_copies(spark):
+    rng = np.random.default_rng(12)
+    one = sentence(rng, 150)
+    rows = [(k, sentence(rng, 150), "en", "s", 1) for k in range(100)] + [(1000 + k, one, "en", "s", 1) for k in range(400)]
+    kept = {r.doc_id: r.kept for r in perplexity.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(kept[k] for k in range(100)) >= 95
+
+
 # Packing, counting and writing tokens
 
 
