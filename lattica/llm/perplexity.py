@@ -279,6 +279,9 @@ def scored(docs: DataFrame, models: DataFrame, bound: int = MODEL_BOUND) -> Data
             filled = 0
         rounds[-1].append((lang, cell))
         filled += n
+    keyed = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "lang", "text")
+    if len(rounds) > 1:  # every round must see the same ids
+        keyed = staged(keyed, "numbered")
     spark, parts = docs.sparkSession, None
     for number, cells in enumerate(rounds):
         wanted = spark.createDataFrame(cells, "lang string, cell int") if cells else None
@@ -287,7 +290,7 @@ def scored(docs: DataFrame, models: DataFrame, bound: int = MODEL_BOUND) -> Data
         for r in rows:
             sent.setdefault(r["lang"], []).append((r["cell"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["vals"], np.float32)))
         model = spark.sparkContext.broadcast({lang: SentModel(sent.get(lang, []), low) for lang, low in models.lowest.items()})
-        part = _scored_round(docs, model, number == 0)
+        part = _scored_round(keyed, model, number == 0)
         parts = part if parts is None else parts.unionByName(part)
     if len(rounds) == 1:
         return parts
@@ -298,7 +301,7 @@ def scored(docs: DataFrame, models: DataFrame, bound: int = MODEL_BOUND) -> Data
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scored_round(docs: DataFrame, model, with_rules: bool) -> DataFrame:
+def _scored_round(keyed: DataFrame, model, with_rules: bool) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts = packed(batch.column("text"))
@@ -327,7 +330,6 @@ def _scored_round(docs: DataFrame, model, with_rules: bool) -> DataFrame:
             )
 
     schema = "_row long, doc_id long, lang string, _log_p double, n_bytes long, " + ", ".join(f"{c} long" for c in RULES)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "lang", "text")
     return keyed.mapInArrow(score, schema)
 
 

@@ -275,6 +275,18 @@ def test_model_is_a_distribution_and_rounds_add_up(docs):
     assert np.allclose([r[2] for r in once], [r[2] for r in often])
 
 
+def test_rounds_keep_repeated_rows_apart(spark):
+    rng = np.random.default_rng(8)
+    one, two = sentence(rng, 15), sentence(rng, 25)
+    rows = [(1, one, "en")] * 3 + [(None, one, "en")] * 2 + [(None, two, None)] * 2 + [(2, two, "de"), (None, None, "en"), (None, None, "en")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).withColumn("lang", perplexity.F.coalesce("lang", perplexity.F.lit("und")))
+    models = perplexity.fit_models(perplexity.ngram_counts(texts))
+    once, often = (found(perplexity.scored(texts, models, bound), ["doc_id", "lang", "n_bytes", *perplexity.RULES, "_log_p"]) for bound in (10**7, 50))
+    assert len(often) == len(rows) and [r[:-1] for r in once] == [r[:-1] for r in often]
+    assert np.allclose([r[-1] for r in once], [r[-1] for r in often])
+    assert sorted(r[3] for r in often) == [0, 0, 15, 15, 15, 15, 15, 25, 25, 25]
+
+
 def test_band_rejects_gibberish_of_a_language(spark):
     rng = np.random.default_rng(4)
     rows = [(k, sentence(rng, 60), "en", "s", 1) for k in range(300)] + [(300, "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 900)).replace("倀", " ") + " x" * 30, "en", "s", 1)]
