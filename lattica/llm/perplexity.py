@@ -318,7 +318,9 @@ def _scored_round(keyed: DataFrame, model, with_rules: bool) -> DataFrame:
                         found[c][first:last] = v
                 codes, text = _codes(part, at), np.repeat(np.arange(last - first), np.diff(at))
                 for lang in set(langs[first:last]):
-                    known = model.value[lang]
+                    known = model.value.get(lang)
+                    if known is None:  # none of the language's texts has a byte
+                        continue
                     mine = np.flatnonzero((langs[first:last] == lang)[text] & known.has[(codes >> np.uint64(8) & np.uint64(255)).astype(np.int64)])
                     order = mine[np.argsort(codes[mine])]
                     distinct, times = _tally(codes[order])

@@ -287,6 +287,16 @@ def test_rounds_keep_repeated_rows_apart(spark):
     assert sorted(r[3] for r in often) == [0, 0, 15, 15, 15, 15, 15, 25, 25, 25]
 
 
+@pytest.mark.parametrize("others", [0, 30])
+def test_language_of_only_empty_texts(spark, others):
+    rng = np.random.default_rng(9)
+    rows = [(1, None, "xx", "s", None), (2, "", "xx", "s", 0), (3, None, None, None, None)] + [(10 + k, sentence(rng, 40), "en", "s", 1) for k in range(others)]
+    out = perplexity.quality_rules(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() == len(rows)
+    empty = found(out.where("doc_id < 10"), ["doc_id", *perplexity.RULES, "base_failed", "kept", "log_perplexity"])
+    assert empty == [(k, 0, 0, 0, 0, 0, True, False, None) for k in (1, 2, 3)]
+
+
 def test_band_rejects_gibberish_of_a_language(spark):
     rng = np.random.default_rng(4)
     rows = [(k, sentence(rng, 60), "en", "s", 1) for k in range(300)] + [(300, "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 900)).replace("倀", " ") + " x" * 30, "en", "s", 1)]
