@@ -5,8 +5,10 @@ least document that has each. It is partitioned by content: every suffix belongs
 of its anchor, the 16-gram of least hash in its first 50 bytes, which equal suffixes share
 wherever they stand. In each bucket the batches (hash chunks of documents) arrive one after
 the other as small sorted arrays; equal-sized levels merge, so a suffix is rewritten a
-logarithmic number of times; every batch is then merge-scanned against the family, and bytes
-of a suffix that a smaller document has are removed.
+logarithmic number of times. After the last batch all levels are merged into one array and
+every batch is scanned against it, so levels serve the building, not the scans; bytes of a
+suffix that a smaller document has are removed. The family lives inside one task and is not
+kept for later batches.
 
 Three rounds keep what is shuffled small and exact:
 
