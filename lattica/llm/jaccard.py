@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.tables import staged
+from lattica.llm.tables import ranked, staged
 from lattica.llm.textkit import LOWERED_VALUES, NOT_SPACE, blocks, mixed, packed, shingle_hashes, span_hashes, spans
 
 SKETCH_BITS, SKETCH_SLICES = 19, 64
@@ -117,6 +117,10 @@ def prefix_marks(prefix: np.ndarray) -> np.ndarray:
     return marks.view(np.int64)
 
 
+#: The two halves of a set's 128-bit fingerprint.
+fingerprint = (lambda found: int(found.sum().astype(np.int64)), lambda found: int(mixed(found).sum().astype(np.int64)))
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, k1, k2 (a 128-bit fingerprint of the set), need, prefix and its 256 marks; written to the shared folder."""
     sketch = shingle_sketch(docs, width)
@@ -132,7 +136,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for _, found in shingle_sets(batch.column("text"), width):
                 at = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 prefix, need = chosen_prefix(found, levels[at], extra[at], percent) if len(found) else (np.zeros(0, np.int64), 0)
-                values = (len(found), int(found.sum().astype(np.int64)), int(mixed(found).sum().astype(np.int64)), need, prefix, prefix_marks(prefix))
+                values = (len(found), *(f(found) for f in fingerprint), need, prefix, prefix_marks(prefix))
                 for name, value in zip(rows, values, strict=True):
                     rows[name].append(value)
             arrays = [pa.array(rows["n"], pa.int64()), pa.array(rows["k1"], pa.int64()), pa.array(rows["k2"], pa.int64()), pa.array(rows["need"], pa.int32())]
@@ -186,13 +190,15 @@ def _can_reach(percent: int) -> Column:
     return (shared >= F.least("need_a", "need_b")) & (shared + F.least(left_p, left_q) >= _overlap_needed(n, m, percent))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity.
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the similarity.
 
-    Texts of candidates are found by a bit filter of fixed size and an exact join, so texts
+    A class is read from the text of its document that has its fingerprint. Texts of candidates are found by a bit filter of fixed size and an exact join, so texts
     of other documents are not shuffled.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = staged(classes.select("rep", "k1", "k2", "n", F.col("least").alias("id")).join(wanted, "rep", "left_semi"), "wanted")
+    ids = wanted.select("id").distinct()
     spot = ids.select((F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1).alias("s"))  # bitmaps count from 1
     bits = spot.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -206,14 +212,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         for batch in batches:
             spot = batch.column("_spot").to_numpy()
             mine = batch.filter(pa.array((sent.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
-            found = [s.tobytes() for _, s in shingle_sets(mine.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([mine.column("doc_id"), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = [s for _, s in shingle_sets(mine.column("text"), width)]
+            marks = [pa.array([f(s) for s in found], pa.int64()) for f in (len, *fingerprint)]
+            yield pa.RecordBatch.from_arrays([mine.column("doc_id"), *marks, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "n", "k1", "k2", "shingles"])
 
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("_spot"))
-    texts = keyed.mapInArrow(sets, "id long, shingles binary")
-    texts = staged(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    left = texts.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
+    texts = keyed.mapInArrow(sets, "id long, n long, k1 long, k2 long, shingles binary")
+    texts = texts.join(wanted, ["id", "n", "k1", "k2"]).select("rep", "shingles")
+    texts = staged(texts.dropDuplicates(["rep"]), "sets")  # equal sets
+    left = texts.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,19 +278,45 @@ def _crossing_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> D
     return light.select("rep_a", "rep_b").unionByName(heavy.select("rep_a", "rep_b")).distinct().toDF("a", "b")
 
 
+def _named(classes: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes with an id of their own (rep), and links between classes that have a document id in common.
+
+    A class is named by its least document. Where an id with several texts is the least of
+    several classes, one has its name and the others get numbers above all document ids; they
+    are linked to the first, so the least name of a component is still its least document.
+    """
+    own = ["k1", "k2", "n"]
+    mark = F.struct(*own)
+    ids = usable.groupBy("doc_id").agg(F.min(mark).alias("_low"), F.max(mark).alias("_high")).where("_low <> _high").select("doc_id")
+    several = staged(usable.select("doc_id", *own).join(ids, "doc_id", "left_semi").distinct(), "several")
+    if not several.limit(1).count():
+        named = classes.withColumn("rep", F.col("least"))
+        return named, classes.select(F.col("least").alias("a"), F.col("least").alias("b")).limit(0)
+    top = classes.agg(F.max("least")).first()[0]
+    firsts = classes.groupBy("least").agg(F.min(mark).alias("_first"))
+    later = classes.select("least", *own).join(firsts, "least").where(mark != F.col("_first")).select(F.lit(0).alias("_all"), *own)
+    buckets = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = ranked(later, ["_all"], own, "_number", buckets).select(*own, (F.lit(top) + 1 + F.col("_number")).alias("_other"))
+    named = staged(classes.join(numbers, own, "left").withColumn("rep", F.coalesce("_other", "least")).drop("_other"), "named")
+    held = several.join(named.select(*own, "rep"), own).select("doc_id", "rep")
+    same = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+    return named, staged(same, "same")
+
+
 def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, classes, components of class representatives that have links)."""
     signed = signatures(docs, width, percent)
     usable = signed.where("n > 0 and doc_id is not null")
     grouped = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "need", "prefix", *MARKS)).alias("_first"))
     parts = (f"_first.{c}" for c in ("need", "prefix", *MARKS))
-    classes = staged(grouped.select("k1", "k2", "n", F.col("_first.doc_id").alias("rep"), *parts), "classes")
+    classes = staged(grouped.select("k1", "k2", "n", F.col("_first.doc_id").alias("least"), *parts), "classes")
+    classes, same = _named(classes, usable)
     tokens = classes.select("rep", "n", "need", F.explode("prefix").alias("token"))
     leaders = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("rep").alias("one"), F.max("rep").alias("two"))
     shared = staged(tokens.join(leaders.where("holders > 1"), "token"), "shared")
 
     near = staged(_star_pairs(shared, classes, percent), "near")
-    links = staged(_verified(near, docs, width, percent), "links")
+    links = staged(_verified(near, classes, docs, width, percent), "links")
     first = components(links).withColumnRenamed("node", "rep")
 
     placed = shared.drop("one", "two").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -290,7 +324,7 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
     split = placed.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
     contested = staged(placed.join(split, "token", "left_semi"), "contested")
     crossing = staged(_crossing_pairs(contested, classes, percent), "crossing")
-    return signed, classes, components(links.unionByName(_verified(crossing, docs, width, percent)))
+    return signed, classes, components(links.unionByName(same).unionByName(_verified(crossing, classes, docs, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -461,6 +461,16 @@ def test_groups_match_brute_force(spark, docs, nothing, monkeypatch, many):
         assert {r.doc_id for r in kept.collect()} - {None} == groups
 
 
+def test_join_of_an_id_with_different_texts(spark):
+    rng = np.random.default_rng(21)
+    one, two, three = (sentence(rng, 100) for _ in range(3))
+    near = [f"{t} more" for t in (one, two, three)]
+    rows = [(5, one), (5, two), (5, three), (6, near[0]), (7, near[1]), (4, near[2]), (9, sentence(rng, 50)), (9, sentence(rng, 50)), (10, sentence(rng, 50))]
+    out = found(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90), ["doc_id", "component_id"])
+    assert out == [(4, 4), (5, 4), (5, 4), (5, 4), (6, 4), (7, 4), (9, 9), (9, 9), (10, 10)]
+
+
+
 def test_components_of_chains(spark):
     from lattica.llm.components import components
 
