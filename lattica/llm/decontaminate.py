@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.textkit import LOWERED_VALUES, blocks, byte_set, owners, packed, ragged, span_hashes, spans
+from lattica.llm.textkit import LOWER, blocks, byte_set, owners, packed, ragged, span_hashes, spans
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -38,7 +38,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
         base = starts[first]
         part = raw[base : starts[last]]
         begin, end, own = spans(part, starts[first : last + 1] - base, WORD)
-        hashes.append(span_hashes(part, begin, end, LOWERED_VALUES))
+        hashes.append(span_hashes(part, begin, end, LOWER))
         before.append(total + own[1:])
         total += len(begin)
     return np.concatenate(hashes), np.concatenate(before)

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lattica.llm.textkit import NOT_SPACE, blocks, packed, ragged, span_hashes, spans
+from lattica.llm.textkit import NOT_SPACE, blocks, packed, ragged, same_spans, span_hashes, spans
 
 SPAN_LIMIT = 1_200_000
 _SLOT_BITS = 21
@@ -41,7 +41,11 @@ def tokenizer_path(name: str) -> str:
 
 
 class SpanMemory:
-    """Values of spans by 64-bit hash: a direct-mapped table in front of a dictionary."""
+    """Values of spans: a direct-mapped table by hash in front of a dictionary by hash.
+
+    The bytes of every entry are kept and compared with those asked for, so two spans of one
+    hash never share an entry: the second is kept by its bytes.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = SPAN_LIMIT):
         self.encode, self.limit = encode, limit
@@ -49,13 +53,26 @@ class SpanMemory:
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
+        self.odd: dict[bytes, int] = {}
         self.slot_key = np.zeros(1 << _SLOT_BITS, np.uint64)
         self.slot_entry = np.full(1 << _SLOT_BITS, -1, np.int64)
         self.values = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
-
-    def lookup(self, hashes: np.ndarray, cut: Callable[[int], bytes]) -> np.ndarray:
-        """The entry of each hash; ``cut(i)`` gives the bytes of span i where it is new."""
+        self.bytes = np.zeros(0, np.uint8)
+        self.spans = np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[bytes]) -> int:
+        """Encode new spans; the entry of the first of them."""
+        values, lengths = self.encode(pieces)
+        base = len(self.begins) - 1
+        self.values = np.concatenate([self.values, values.astype(np.uint32)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(lengths)])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.spans = np.concatenate([self.spans, self.spans[-1] + np.cumsum([len(p) for p in pieces])])
+        return base
+
+    def lookup(self, hashes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The entry of each span of ``raw``, given its hash."""
         if len(self.index) > self.limit:
             self.clear()
         slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
@@ -67,15 +84,18 @@ class SpanMemory:
             new = missed[found < 0]
             if len(new):
                 keys, first = np.unique(hashes[new], return_index=True)
-                values, lengths = self.encode([cut(int(i)) for i in new[first]])
-                base = len(self.begins) - 1
-                self.values = np.concatenate([self.values, values.astype(np.uint32)])
-                self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(lengths)])
+                base = self._add([raw[begin[i] : end[i]].tobytes() for i in new[first].tolist()])
                 self.index.update(zip(keys.tolist(), range(base, base + len(keys)), strict=True))
                 found = np.where(found < 0, base + np.searchsorted(keys, hashes[missed]).clip(0, len(keys) - 1), found)
             entry[missed] = found
             self.slot_key[slot[missed]] = hashes[missed]
             self.slot_entry[slot[missed]] = found
+        same = same_spans(raw, begin, end, self.bytes, self.spans[entry], self.spans[entry + 1])
+        for i in np.flatnonzero(~same).tolist():
+            piece = raw[begin[i] : end[i]].tobytes()
+            if piece not in self.odd:
+                self.odd[piece] = self._add([piece])
+            entry[i] = self.odd[piece]
         return entry
 
 
@@ -120,7 +140,7 @@ class Encoder:
         """All ids of a block's texts end to end, and where each text's begin."""
         begin, end, before = byte_level_spans(raw, starts) if self.byte_level else spans(raw, starts, NOT_SPACE)
         data = raw.tobytes()
-        entry = self.memory.lookup(span_hashes(raw, begin, end), lambda i: data[begin[i] : end[i]])
+        entry = self.memory.lookup(span_hashes(raw, begin, end), raw, begin, end)
         sizes = np.diff(self.memory.begins)[entry] if len(entry) else np.zeros(0, np.int64)
         ids = self.memory.values[np.repeat(self.memory.begins[entry], sizes) + ragged(sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])

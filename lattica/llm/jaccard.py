@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.components import components
 from lattica.llm.tables import ranked, staged
-from lattica.llm.textkit import LOWERED_VALUES, NOT_SPACE, blocks, mixed, packed, shingle_hashes, span_hashes, spans
+from lattica.llm.textkit import LOWER, NOT_SPACE, blocks, mixed, packed, shingle_hashes, span_hashes, spans
 
 SKETCH_BITS, SKETCH_SLICES = 19, 64
 MOST_MATCHES = 8
@@ -46,7 +46,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
         base = starts[first]
         part, at = raw[base : starts[last]], starts[first : last + 1] - base
         begin, end, before = spans(part, at, NOT_SPACE)
-        words = span_hashes(part, begin, end, LOWERED_VALUES)
+        words = span_hashes(part, begin, end, LOWER)
         whole = shingle_hashes(words, width)
         for k in range(last - first):
             low, high = before[k], before[k + 1]

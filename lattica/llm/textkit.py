@@ -6,6 +6,7 @@ millions of words with a few array operations. Nothing here looks across documen
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,12 @@ import pyarrow as pa
 BLOCK = 1 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-BYTE_VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256).astype(np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-LOWERED_VALUES = BYTE_VALUES[_LOWER]
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Spans over this many bytes are digested one by one by the library instead of in rounds.
+LONG_SPAN = 4096
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_set(members: bytes) -> np.ndarray:
@@ -58,16 +58,6 @@ def blocks(starts: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, BLOCK + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the entropy of 64-bit values over all their bits."""
     h = h ^ (h >> np.uint64(31))
@@ -91,12 +81,71 @@ def spans(raw: np.ndarray, starts: np.ndarray, member: np.ndarray) -> tuple[np.n
     return begin, end, np.searchsorted(begin, starts)
 
 
-def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """64-bit hashes of byte spans of one block."""
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
-    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+def words_at(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as little-endian words (zeros past the end), without a copy per place."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, letters: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans of one block, after mapping bytes by ``letters``.
+
+    Eight bytes a round are mixed in, all spans together; each round is a keyed bijection of
+    the state and none is linear in the bytes, so no pattern of bytes cancels out. Spans of
+    up to eight bytes and one length never collide. Where a result must be exact, callers
+    still compare bytes (``same_spans``).
+    """
+    raw = raw if letters is None else letters[raw]
+    view, length = words_at(raw), end - begin
+    found = mixed(length.astype(np.uint64) + np.uint64(_BASE))
+    live, at, left = np.arange(len(begin)), begin, length
+    long_ = np.flatnonzero(length > LONG_SPAN)
+    if len(long_):
+        keep = length <= LONG_SPAN
+        live, at, left = live[keep], at[keep], left[keep]
+        for k in long_.tolist():
+            digest = hashlib.blake2b(raw[begin[k] : end[k]].tobytes(), digest_size=8).digest()
+            found[k] = np.uint64(int.from_bytes(digest, "little"))
+    while len(live):
+        word = view[at] & _HEAD[np.minimum(left, 8)]
+        found[live] = mixed(found[live] ^ word) + np.uint64(_BASE)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return found
+
+
+def same_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether span i of ``raw`` and span i of ``other`` hold the same bytes."""
+    same = (end - begin) == (last - first)
+    mine, theirs = words_at(raw), words_at(other)
+    live = np.flatnonzero(same)
+    a, b, left = begin[live], first[live], (end - begin)[live]
+    while len(live):
+        differ = ((mine[a] ^ theirs[b]) & _HEAD[np.minimum(left, 8)]) != 0
+        same[live[differ]] = False
+        more = (left > 8) & ~differ
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
+
+
+def distinct_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every span, equal where the bytes are equal, and a span of each number. Exact."""
+    hashes = span_hashes(raw, begin, end)
+    order = np.argsort(hashes)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = hashes[order][1:] != hashes[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    if same_spans(raw, begin, end, raw, begin[first][number], end[first][number]).all():
+        return number, first
+    data, seen, first_of = raw.tobytes(), {}, []
+    for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        number[k] = seen.setdefault(data[a:b], len(seen))
+        if number[k] == len(first_of):
+            first_of.append(k)
+    return number, np.array(first_of, np.int64)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -114,7 +114,7 @@ def _merger(path: str) -> tuple[RankMerger, SpanMemory]:
 def _block_counts(raw: np.ndarray, starts: np.ndarray, tool: RankMerger, memory: SpanMemory) -> np.ndarray:
     data = raw.tobytes()
     begin, end, before = byte_level_spans(raw, starts)
-    entry = memory.lookup(span_hashes(raw, begin, end), lambda i: data[begin[i] : end[i]])
+    entry = memory.lookup(span_hashes(raw, begin, end), raw, begin, end)
     total = np.concatenate([[0], np.cumsum(memory.values[memory.begins[entry]].astype(np.int64))])
     found = np.diff(total[before])
     for k in {int(np.searchsorted(starts, m.start(), "right")) - 1 for m in _UNSAFE.finditer(data)}:
