@@ -12,7 +12,7 @@ from lattica.operators.calendars import session_list
 from lattica.plans.panel import daily_bars, daily_panel, monthly_snapshots, symbol_of, table, vendor_bars, weekly_panel
 from lattica.schema import BAR
 from lattica.session import scratch_path, settle
-from lattica.sources import readers, writers
+from lattica.sources import readers, versions, writers
 from lattica.streaming.ingest import ingest_bars
 
 DAILY_VIEW = "SELECT trade_date, symbol, round(close, 9) AS close, volume FROM daily"
@@ -210,6 +210,56 @@ def upsert_years(spark, sf):
     return spark.read.parquet(path).select("trade_date", "symbol", F.round("close", 9).alias("close"), "volume")
 
 
+@query("upsert_versions", UPSERT)
+def upsert_versions(spark, sf):
+    """Loads are commits of a versioned table; each is tried again under its number, which changes nothing."""
+    path = scratch_path(spark, "versions")
+    for number, write in enumerate(arrivals(spark, sf)):
+        write = settle(write)
+        for _ in range(2):
+            versions.upsert_version(write, path, rows_per_file=20_000, writer=("loads", number))
+    return versions.read(spark, path).select("trade_date", "symbol", F.round("close", 9).alias("close"), "volume")
+
+
+@query(
+    "version_history",
+    f"""WITH {VENDOR_A}, {VENDOR_B}, a AS (SELECT trade_date, symbol, close FROM vendor_a), b AS (SELECT trade_date, symbol, close FROM vendor_b), k AS (SELECT trade_date, symbol FROM a UNION SELECT trade_date, symbol FROM b)
+    SELECT 1 AS version, 'append' AS operation, (SELECT count(*) FROM a) AS rows, (SELECT round(sum(close), 2) FROM a) AS total
+    UNION ALL SELECT 2, 'upsert', (SELECT count(*) FROM k), (SELECT round(sum(coalesce(b.close, a.close)), 2) FROM k LEFT JOIN a USING (trade_date, symbol) LEFT JOIN b USING (trade_date, symbol))
+    UNION ALL SELECT 3, 'overwrite', (SELECT count(*) FROM b), (SELECT round(sum(close), 2) FROM b)""",
+)
+def version_history(spark, sf):
+    """Every version stays readable: frames opened at each of three commits, read after the last."""
+    path = scratch_path(spark, "versions")
+    a, b = (vendor_bars(spark, sf, v).select("trade_date", "symbol", "close").withColumn("priority", F.lit(1)) for v in ("A", "B"))
+    steps = [lambda: versions.append(a, path, 20_000), lambda: versions.upsert_version(b, path, 20_000), lambda: versions.overwrite(b, path, 20_000)]
+    opened = None
+    for step in steps:
+        number = step()
+        rows = versions.read(spark, path).agg(F.count("*").alias("rows"), F.round(F.sum("close"), 2).alias("total")).withColumn("version", F.lit(number))
+        opened = rows if opened is None else opened.unionByName(rows)
+    return opened.join(versions.history(spark, path).select("version", "operation"), "version").select(F.col("version").cast("int").alias("version"), "operation", "rows", "total")
+
+
+@query(
+    "warmup_files",
+    with_daily(
+        f""", s AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS idx FROM (SELECT DISTINCT trade_date FROM daily)),
+      f AS (SELECT min(idx) - 20 AS lo FROM s WHERE trade_date >= DATE '1999-06-01')
+      SELECT trade_date, symbol, round(amount, 2) AS amount, round(close, 9) AS close, TRUE AS few_files FROM daily WHERE trade_date >= (SELECT trade_date FROM s, f WHERE idx = lo) AND trade_date <= DATE '1999-12-31'
+      AND symbol IN (SELECT {symbol_sql('s_suppkey')} FROM supplier WHERE s_acctbal > 8000)"""
+    ),
+)
+def warmup_files(spark, sf):
+    """The warm-up scan of some symbols through the file list; ``few_files``: under a third of the files are opened."""
+    path = scratch_path(spark, "panel")
+    versions.append(daily_panel(spark, sf), path, rows_per_file=500)
+    wanted = [r.symbol for r in table(spark, sf, "supplier").where("s_acctbal > 8000").select(symbol_of("s_suppkey").alias("symbol")).collect()]
+    out = readers.load_version_for_factors(spark, path, ["amihud_20", "reversal_5"], "1999-06-01", "1999-12-31", wanted)
+    live = versions.files(spark, path, versions.latest(spark, path)).count()
+    return out.select("trade_date", "symbol", F.round("amount", 2).alias("amount"), F.round("close", 9).alias("close"), F.lit(len(out.inputFiles()) * 3 < live).alias("few_files"))
+
+
 @query(
     "write_once",
     f"""WITH {SNAPSHOTS} SELECT count(*) AS rows, 'BEFORE_LIVE_START' AS early, 'RECORDED' AS first, 'VERIFIED_EXISTING' AS again, 'REFUSED' AS changed, 'REFUSED' AS widened FROM snapshots WHERE trade_date = (SELECT max(trade_date) FROM snapshots)""",
@@ -295,7 +345,7 @@ def stream_ingest(spark, sf):
         bars.withColumn("priority", F.lit(priority)).select(*names).write.mode("append").parquet(f"{root}/inbox")
         ingest_bars(spark, f"{root}/inbox", f"{root}/table", f"{root}/progress").awaitTermination()
     ingest_bars(spark, f"{root}/inbox", f"{root}/table", f"{root}/replay").awaitTermination()
-    return spark.read.parquet(f"{root}/table").select(
+    return versions.read(spark, f"{root}/table").select(
         "trade_date", "symbol", F.round("close", 9).alias("close"), "volume", "priority"
     )
 

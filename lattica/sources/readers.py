@@ -12,6 +12,7 @@ from lattica.functions.dates import lenient_date
 from lattica.operators.calendars import session_list
 from lattica.operators.checks import require_columns
 from lattica.operators.factors import required_inputs, warmup_rows
+from lattica.sources import versions
 
 # What the research panel reads when no list is given.
 RESEARCH_COLUMNS = [
@@ -80,6 +81,20 @@ def load_for_factors(
     return panel.select(*columns).where(F.col("trade_date").between(F.lit(bound.scan_start), end))
 
 
+def load_version_for_factors(
+    spark: SparkSession, path: str, names: Iterable[str], start, end, symbols: Iterable[str] | None = None, allow_short: bool = False
+) -> DataFrame:
+    """The warm-up scan of a versioned table: only files that can hold rows of it are opened."""
+    names = list(names)
+    bound = warmup_start(versions.read(spark, path, last=end).select("trade_date"), start, warmup_rows(names)).first()
+    if bound is None:
+        raise ValueError("no session on or after the requested start")
+    if not bound.available and not allow_short:
+        raise ValueError("history is shorter than the factors' lookback")
+    rows = versions.read(spark, path, first=bound.scan_start, last=end, symbols=symbols)
+    return rows.select(*required_inputs(names))
+
+
 def load_research(panel: DataFrame, manifest: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """The research panel, refused unless its manifest says ``ready``."""
     if not manifest.where((F.col("status") == "ready") & F.col("price_research_ready")).limit(1).collect():

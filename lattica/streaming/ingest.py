@@ -1,4 +1,4 @@
-"""Bar files arriving over time, merged by priority into a yearly table."""
+"""Bar files arriving over time, merged by priority into a versioned table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lattica.operators.merging import by_priority
 from lattica.schema import BAR, KEYS
-from lattica.sources.writers import upsert_years
+from lattica.sources.versions import upsert_version
 
 
 def bar_stream(spark: SparkSession, inbox: str, files_per_batch: int = 100) -> DataFrame:
@@ -20,11 +20,12 @@ def ingest_bars(spark: SparkSession, inbox: str, target: str, checkpoint: str) -
 
     A row's ``arrival`` is the time its file was written, kept with the row. Among rows of
     one priority the later file wins, in a batch and across batches, so files that are
-    replayed or retried after a failure write the same table.
+    replayed or retried after a failure write the same table. A batch is one commit that
+    carries its number: one that was logged before a failure is not merged again.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_years(batch.sparkSession, target, by_priority(batch, KEYS, order=("arrival",)))
+        upsert_version(by_priority(batch, KEYS, order=("arrival",)), target, writer=(checkpoint, batch_id))
 
     return (
         bar_stream(spark, inbox)
