@@ -232,6 +232,43 @@ def estimate_orders(spark, sf):
     return order_view(portfolio.estimate_orders(*account_tables(spark, sf), "2024-03-04", Costs(), section_layout(spark, sf)))
 
 
+@query(
+    "order_refusals",
+    f"""WITH li AS (SELECT o_custkey AS account_id, {symbol_sql('l_suppkey')} AS symbol, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  hold AS (SELECT DISTINCT account_id, symbol FROM li WHERE l_returnflag = 'R'),
+  tgt AS (SELECT account_id, symbol, row_number() OVER (PARTITION BY account_id ORDER BY symbol) AS rk FROM (SELECT DISTINCT account_id, symbol FROM li WHERE l_returnflag = 'A')),
+  c AS (SELECT c_custkey AS account_id, c_acctbal AS b, c_mktsegment AS seg FROM customer),
+  known AS (SELECT account_id FROM c WHERE seg <> 'BUILDING'),
+  twice AS (SELECT {symbol_sql('s_suppkey')} AS symbol FROM supplier WHERE s_acctbal > 9000),
+  used AS (SELECT account_id FROM hold UNION SELECT account_id FROM tgt),
+  bad AS (SELECT DISTINCT account_id FROM tgt JOIN c USING (account_id) WHERE b < 0 OR (b < 3000 AND rk = 2)),
+  two AS (SELECT DISTINCT account_id FROM (SELECT account_id, symbol FROM hold UNION SELECT account_id, symbol FROM tgt) JOIN twice USING (symbol))
+  SELECT account_id, CASE WHEN account_id NOT IN (SELECT account_id FROM known) THEN 'ACCOUNT_UNKNOWN' WHEN account_id IN (SELECT account_id FROM bad) THEN 'WEIGHTS_INVALID' ELSE 'PRICE_AMBIGUOUS' END AS status, 1::BIGINT AS rows
+  FROM used WHERE account_id NOT IN (SELECT account_id FROM known) OR account_id IN (SELECT account_id FROM bad) OR account_id IN (SELECT account_id FROM two)""",
+)
+def order_refusals(spark, sf):
+    """Accounts that get one row with a reason: unknown ones, unsound weights, two prices of a symbol."""
+    lines = table(spark, sf, "lineitem")
+    booked = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("account_id"), symbol_of("l_suppkey").alias("symbol"), "l_quantity", "l_returnflag"
+    )
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), "c_acctbal", "c_mktsegment")
+    holdings = booked.where("l_returnflag = 'R'").groupBy("account_id", "symbol").agg(F.sum("l_quantity").alias("shares"))
+    place = F.row_number().over(W.partitionBy("account_id").orderBy("symbol"))  # an account's names
+    targets = booked.where("l_returnflag = 'A'").select("account_id", "symbol").distinct().withColumn("factor_rank", place).join(customers, "account_id")
+    share = F.lit(0.9) / F.count("*").over(W.partitionBy("account_id"))
+    # poor accounts ask for more than they have, others for less than nothing of their second name
+    weight = F.when(F.col("c_acctbal") < 0, share * 1.3).when((F.col("c_acctbal") < 3000) & (F.col("factor_rank") == 2), -share).otherwise(share)
+    targets = targets.select("account_id", "symbol", weight.alias("target_weight"), "factor_rank")
+    prices = lines.groupBy("l_suppkey").agg((F.max(F.col("l_extendedprice") / F.col("l_quantity")) / 100).alias("close")).select(symbol_of("l_suppkey").alias("symbol"), "close")
+    rich = table(spark, sf, "supplier").where("s_acctbal > 9000").select(symbol_of("s_suppkey").alias("symbol"))
+    prices = prices.unionByName(prices.join(rich, "symbol", "left_semi").withColumn("close", F.col("close") + 1))
+    accounts = customers.where("c_mktsegment <> 'BUILDING'").select("account_id", F.greatest("c_acctbal", F.lit(0.0)).alias("cash"))
+    out = portfolio.estimate_orders(targets, accounts, holdings, prices, "2024-03-04", Costs(), section_layout(spark, sf))
+    refused = out.where(F.col("status").isin("ACCOUNT_UNKNOWN", "WEIGHTS_INVALID", "PRICE_AMBIGUOUS"))
+    return refused.groupBy("account_id", "status").agg(F.count("*").alias("rows"))
+
+
 @query(
     "next_session_orders",
     ORDERS.replace("SELECT account_id, CASE WHEN shares > 0", "SELECT *, DATE '2024-03-01' AS signal_date, DATE '2024-03-04' AS planned_trade_date FROM (SELECT account_id, CASE WHEN shares > 0") + ")",
@@ -303,13 +340,17 @@ RETURNS = TOP + """, ses AS (SELECT DISTINCT trade_date FROM weekly), wd AS (SEL
   ex AS (SELECT wd.trade_date AS signal_date, min(s.trade_date) AS exec_date FROM wd JOIN ses s ON s.trade_date > wd.trade_date GROUP BY 1),
   sch AS (SELECT s.trade_date, max(e.signal_date) AS signal_date, max(CASE WHEN e.exec_date < s.trade_date THEN e.signal_date END) AS prior, bool_or(e.exec_date = s.trade_date) AS is_exec
     FROM ses s JOIN ex e ON e.exec_date <= s.trade_date GROUP BY 1),
+  onc AS (SELECT exec_date, max(signal_date) AS signal_date FROM ex GROUP BY 1),
+  ok AS (SELECT e.exec_date, b.symbol, coalesce(t.target_weight, 0) AS tw, lead(e.exec_date) OVER (PARTITION BY b.symbol ORDER BY e.exec_date) AS until
+    FROM onc e JOIN weekly b ON b.trade_date = e.exec_date AND NOT b.is_suspended LEFT JOIN weights t ON t.trade_date = e.signal_date AND t.symbol = b.symbol),
+  eff AS (SELECT e.signal_date AS trade_date, o.symbol, o.tw AS target_weight FROM ok o JOIN onc e ON e.exec_date >= o.exec_date AND (o.until IS NULL OR e.exec_date < o.until) WHERE o.tw <> 0),
   calm AS (SELECT trade_date, symbol, pow(adj_open, 0.05) AS adj_open, pow(adj_close, 0.05) AS adj_close FROM weekly),
   mv AS (SELECT w.trade_date, w.symbol, adj_open, adj_close, lag(adj_close) OVER (PARTITION BY w.symbol ORDER BY w.trade_date) AS prev FROM calm w),
   mx AS (SELECT mv.*, signal_date, prior, is_exec FROM mv JOIN sch USING (trade_date)),
-  con AS (SELECT m.trade_date, target_weight * coalesce(CASE WHEN is_exec THEN adj_close / adj_open - 1 ELSE adj_close / prev - 1 END, 0) AS c FROM mx m JOIN weights w ON w.trade_date = m.signal_date AND w.symbol = m.symbol
-    UNION ALL SELECT m.trade_date, target_weight * coalesce(adj_open / prev - 1, 0) FROM mx m JOIN weights w ON w.trade_date = m.prior AND w.symbol = m.symbol WHERE is_exec),
-  ch AS (SELECT trade_date, symbol, sum(d) AS d FROM (SELECT s.trade_date, w.symbol, w.target_weight AS d FROM sch s JOIN weights w ON w.trade_date = s.signal_date WHERE is_exec
-    UNION ALL SELECT s.trade_date, w.symbol, -w.target_weight FROM sch s JOIN weights w ON w.trade_date = s.prior WHERE is_exec) GROUP BY 1, 2),
+  con AS (SELECT m.trade_date, target_weight * coalesce(CASE WHEN is_exec THEN adj_close / adj_open - 1 ELSE adj_close / prev - 1 END, 0) AS c FROM mx m JOIN eff w ON w.trade_date = m.signal_date AND w.symbol = m.symbol
+    UNION ALL SELECT m.trade_date, target_weight * coalesce(adj_open / prev - 1, 0) FROM mx m JOIN eff w ON w.trade_date = m.prior AND w.symbol = m.symbol WHERE is_exec),
+  ch AS (SELECT trade_date, symbol, sum(d) AS d FROM (SELECT s.trade_date, w.symbol, w.target_weight AS d FROM sch s JOIN eff w ON w.trade_date = s.signal_date WHERE is_exec
+    UNION ALL SELECT s.trade_date, w.symbol, -w.target_weight FROM sch s JOIN eff w ON w.trade_date = s.prior WHERE is_exec) GROUP BY 1, 2),
   tn AS (SELECT trade_date, sum(greatest(d, 0)) AS bought, sum(greatest(-d, 0)) AS sold FROM ch GROUP BY 1),
   gr AS (SELECT trade_date, sum(c) AS g FROM con GROUP BY 1),
   ret_run AS (SELECT s.trade_date, coalesce(g, 0) AS gross_return, coalesce(bought * (0.00002 + 0.0008) + sold * (0.00002 + 0.001 + 0.0008), 0) AS cost, coalesce(bought + sold, 0) AS turnover
@@ -327,13 +368,17 @@ RUNS = process_sql("sig", "reversal_5", "trade_date", False) + """, best AS (SEL
   ex AS (SELECT run, wd.trade_date AS signal_date, min(s.trade_date) AS exec_date FROM wd JOIN ses s ON s.trade_date > wd.trade_date GROUP BY 1, 2),
   sch AS (SELECT run, s.trade_date, max(e.signal_date) AS signal_date, max(CASE WHEN e.exec_date < s.trade_date THEN e.signal_date END) AS prior, bool_or(e.exec_date = s.trade_date) AS is_exec
     FROM ses s JOIN ex e ON e.exec_date <= s.trade_date GROUP BY 1, 2),
+  onc AS (SELECT run, exec_date, max(signal_date) AS signal_date FROM ex GROUP BY 1, 2),
+  ok AS (SELECT e.run, e.exec_date, b.symbol, coalesce(t.target_weight, 0) AS tw, lead(e.exec_date) OVER (PARTITION BY e.run, b.symbol ORDER BY e.exec_date) AS until
+    FROM onc e JOIN weekly b ON b.trade_date = e.exec_date AND NOT b.is_suspended LEFT JOIN weights t ON t.run = e.run AND t.trade_date = e.signal_date AND t.symbol = b.symbol),
+  eff AS (SELECT e.run, e.signal_date AS trade_date, o.symbol, o.tw AS target_weight FROM ok o JOIN onc e ON e.run = o.run AND e.exec_date >= o.exec_date AND (o.until IS NULL OR e.exec_date < o.until) WHERE o.tw <> 0),
   mv AS (SELECT trade_date, symbol, pow(adj_open, 0.05) AS adj_open, pow(adj_close, 0.05) AS adj_close, lag(pow(adj_close, 0.05)) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev FROM weekly),
   con AS (SELECT s.run, s.trade_date, target_weight * coalesce(CASE WHEN is_exec THEN adj_close / adj_open - 1 ELSE adj_close / prev - 1 END, 0) AS c
-      FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.signal_date JOIN mv m ON m.trade_date = s.trade_date AND m.symbol = w.symbol
+      FROM sch s JOIN eff w ON w.run = s.run AND w.trade_date = s.signal_date JOIN mv m ON m.trade_date = s.trade_date AND m.symbol = w.symbol
     UNION ALL SELECT s.run, s.trade_date, target_weight * coalesce(adj_open / prev - 1, 0)
-      FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.prior JOIN mv m ON m.trade_date = s.trade_date AND m.symbol = w.symbol WHERE is_exec),
-  ch AS (SELECT run, trade_date, symbol, sum(d) AS d FROM (SELECT s.run, s.trade_date, w.symbol, w.target_weight AS d FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.signal_date WHERE is_exec
-    UNION ALL SELECT s.run, s.trade_date, w.symbol, -w.target_weight FROM sch s JOIN weights w ON w.run = s.run AND w.trade_date = s.prior WHERE is_exec) GROUP BY 1, 2, 3),
+      FROM sch s JOIN eff w ON w.run = s.run AND w.trade_date = s.prior JOIN mv m ON m.trade_date = s.trade_date AND m.symbol = w.symbol WHERE is_exec),
+  ch AS (SELECT run, trade_date, symbol, sum(d) AS d FROM (SELECT s.run, s.trade_date, w.symbol, w.target_weight AS d FROM sch s JOIN eff w ON w.run = s.run AND w.trade_date = s.signal_date WHERE is_exec
+    UNION ALL SELECT s.run, s.trade_date, w.symbol, -w.target_weight FROM sch s JOIN eff w ON w.run = s.run AND w.trade_date = s.prior WHERE is_exec) GROUP BY 1, 2, 3),
   tn AS (SELECT run, trade_date, sum(greatest(d, 0)) AS bought, sum(greatest(-d, 0)) AS sold FROM ch GROUP BY 1, 2),
   gr AS (SELECT run, trade_date, sum(c) AS g FROM con GROUP BY 1, 2),
   ret_run AS (SELECT s.run, s.trade_date, coalesce(g, 0) AS gross_return, coalesce(bought * (0.00002 + 0.0008) + sold * (0.00002 + 0.001 + 0.0008), 0) AS cost, coalesce(bought + sold, 0) AS turnover

@@ -61,7 +61,8 @@ def cash_flow() -> Column:
 def audit_ledger(equity: DataFrame, trades: DataFrame, positions: DataFrame, initial_cash: float, by=("run_id",)) -> DataFrame:
     """Seventeen named checks per run: ``(by..., check, violations, max_abs_error, passed)``.
 
-    The books must start flat and see no outside cash. Holdings are compared interval
+    The books must start flat and see no outside cash. A run whose trades or positions have
+    no equity rows is listed and fails ``equity_finite_nonnegative``. Holdings are compared interval
     by interval between executions, so the session x symbol grid is never built.
     """
     if not initial_cash > 0:
@@ -136,11 +137,15 @@ def audit_ledger(equity: DataFrame, trades: DataFrame, positions: DataFrame, ini
     ]
 
     wide = calendar.groupBy(*by).agg(F.count("*").alias("_sessions"))
+    if by:
+        runs = trades.select(*by).unionByName(positions.select(*by)).distinct()
+        wide = wide.join(runs, by, "full")
     for part in (per_equity, per_trade, per_position, per_holding, *once):
         wide = wide.join(part, by, "left") if by else wide.join(part, F.lit(True), "left")
     zero = F.lit(0)
     wide = wide.withColumns(
         {
+            "equity_finite_nonnegative": F.coalesce("equity_finite_nonnegative", zero) + F.when(F.coalesce("_sessions", zero) == 0, 1).otherwise(0),
             "positive_integer_shares": F.coalesce("_whole_t", zero) + F.coalesce("_whole_p", zero),
             "dates_within_equity_calendar": F.coalesce("_open_t", zero) + F.coalesce("_open_p", zero),
         }

@@ -38,13 +38,16 @@ def union_sources(sources: list[tuple[int, DataFrame]]) -> DataFrame:
 def upsert(base: DataFrame, changes: DataFrame, keys=tuple(KEYS)) -> DataFrame:
     """Last write wins on the key: the higher ``priority``, then the later ``arrival``.
 
-    Stored rows without a priority stand below every change. ``arrival`` is the sequence a
+    Stored rows without a priority stand below every change; a change without one has 0.
+    ``arrival`` is the sequence a
     write is stored with; where neither side carries one, or both carry the same, the
     change is the later. Changes without one come after everything stored. Replaying an
     old numbered write therefore changes nothing.
     """
     if "priority" not in base.columns:
         base = base.withColumn("priority", F.lit(-1))
+    given = F.coalesce("priority", F.lit(0)) if "priority" in changes.columns else F.lit(0)
+    changes = changes.withColumn("priority", given)
     if "arrival" in base.columns and "arrival" not in changes.columns:
         newest = base.agg((F.coalesce(F.max("arrival"), F.lit(-1)) + 1).cast("long").alias("arrival"))
         changes = changes.join(F.broadcast(newest), F.lit(True))  # one row

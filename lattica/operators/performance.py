@@ -6,13 +6,14 @@ are bounded by the calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions.numeric import finite, flag, positive, ratio
 from lattica.functions.trading import Costs, data_issue, stamp_rate, transfer_rate
 from lattica.operators.calendars import next_session, session_list
+from lattica.session import settle
 
 
 def effective_schedule(signal_dates: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
@@ -45,7 +46,8 @@ def portfolio_returns(market: DataFrame, weights: DataFrame, costs: Costs | None
     """Return per run and session of weights that trade at the next session's open.
 
     On an execution session the old weights earn the overnight move and the new ones
-    the move from the open; on others the weights in force earn close to close.
+    the move from the open; on others the weights in force earn close to close. A name that
+    cannot trade at an execution keeps the weight it has (see ``executed_weights``).
     Proportional costs (commission, transfer, stamp duty on sales, slippage) are
     charged on turnover. This is a weight-based estimate: board lots, partial fills
     and idle cash from rounding are outside it.
@@ -54,6 +56,7 @@ def portfolio_returns(market: DataFrame, weights: DataFrame, costs: Costs | None
     by = list(by)
     sessions = session_list(market)
     schedule = effective_schedule(weights, sessions, by)
+    weights = settle(executed_weights(weights, market, schedule, by))  # read for the weights in force, those leaving, and turnover
     previous = F.lag("adj_close").over(W.partitionBy("symbol").orderBy("trade_date"))
     moves = market.select(
         "trade_date",
@@ -101,6 +104,58 @@ def portfolio_returns(market: DataFrame, weights: DataFrame, costs: Costs | None
     )
 
 
+def trade_blocks(market: DataFrame) -> DataFrame:
+    """``(trade_date, symbol, no_buy, no_sell)`` per bar: unusable data, suspensions and price limits."""
+    columns = market.columns
+    if "open" in columns:
+        issue = data_issue(columns).isNotNull()
+    else:
+        issue = F.coalesce(finite("adj_open") <= 0, F.lit(True))
+    state = lambda name: flag(name) if name in columns else F.lit(False)
+    stopped = issue | state("is_suspended")
+    return market.select("trade_date", "symbol", (stopped | state("is_limit_up")).alias("no_buy"), (stopped | state("is_limit_down")).alias("no_sell"))
+
+
+def executed_weights(weights: DataFrame, market: DataFrame, schedule: DataFrame, by=()) -> DataFrame:
+    """The weights that stand after each execution, by its signal date.
+
+    A name without a bar on the session, with an unusable or suspended one, or at the price
+    limit of its side does not trade: its old weight stays, and the next execution tries
+    again with that execution's target. Only names that are blocked at a wanted change are
+    followed through all executions (a fold over their run's execution dates); all others
+    stand at their targets. A blocked sale can leave the total above the targets' total.
+    """
+    by = list(by)
+    steps = schedule.where("is_execution").select(*by, F.col("trade_date").alias("exec_date"), "signal_date", "prior_signal")
+    held = weights.select(*by, F.col("trade_date").alias("signal_date"), "symbol", F.col("target_weight").alias("w"))
+    key = [*by, "signal_date"]
+    targets = steps.join(held, key).select(*key, "exec_date", "symbol", "w")
+    before = steps.where("prior_signal IS NOT NULL").select(*key, "exec_date", F.col("prior_signal").alias("_prior")).join(
+        held.withColumnRenamed("signal_date", "_prior"), [*by, "_prior"]
+    ).select(*key, "exec_date", "symbol", F.col("w").alias("_was"))
+    bars = trade_blocks(market).withColumnRenamed("trade_date", "exec_date").withColumn("_bar", F.lit(True))
+    no_buy, no_sell = (F.col("_bar").isNull() | flag(c) for c in ("no_buy", "no_sell"))
+    zero = F.lit(0.0)
+    change = targets.join(before, [*key, "exec_date", "symbol"], "full").withColumn("_move", F.coalesce("w", zero) - F.coalesce("_was", zero))
+    blocked = change.where("_move <> 0").join(bars, ["exec_date", "symbol"], "left").where(((F.col("_move") > 0) & no_buy) | ((F.col("_move") < 0) & no_sell))
+    stuck = settle(blocked.select(*by, "symbol").distinct())
+    free = targets.join(stuck, [*by, "symbol"], "left_anti").select(*key, "symbol", "w")
+
+    each = steps.join(stuck, by) if by else steps.join(stuck, F.lit(True))  # executions x blocked names
+    path = each.join(held, [*key, "symbol"], "left").join(bars, ["exec_date", "symbol"], "left")
+    step = F.struct("exec_date", "signal_date", F.coalesce("w", zero).alias("goal"), no_buy.alias("no_buy"), no_sell.alias("no_sell"))
+    path = path.groupBy(*by, "symbol").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    start = F.struct(zero.alias("w"), F.array().cast("array<struct<signal_date:date,w:double>>").alias("log"))
+
+    def trade(state: Column, step: Column) -> Column:
+        stays = ((step["goal"] > state["w"]) & step["no_buy"]) | ((step["goal"] < state["w"]) & step["no_sell"])
+        w = F.when(stays, state["w"]).otherwise(step["goal"])
+        return F.struct(w.alias("w"), F.concat(state["log"], F.array(F.struct(step["signal_date"].alias("signal_date"), w.alias("w")))).alias("log"))
+
+    followed = path.select(*by, "symbol", F.inline(F.aggregate("_steps", start, trade, lambda s: s["log"]))).where("w <> 0")
+    return free.unionByName(followed.select(*key, "symbol", "w")).select(*by, F.col("signal_date").alias("trade_date"), "symbol", F.col("w").alias("target_weight"))
+
+
 def turnover(weights: DataFrame, schedule: DataFrame, by=()) -> DataFrame:
     """Weight bought and sold at each execution session."""
     by = list(by)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.numeric import finite, let
+from lattica.functions.numeric import finite, flag, let
 from lattica.functions.symbols import board_allowed
 from lattica.functions.trading import (
     Costs,
@@ -69,8 +69,12 @@ def top_n_weights(
     next_session=None,
     by=(),
 ) -> DataFrame:
-    """N highest scores per rebalance date, weight min(1/n, cap), rest in cash."""
+    """N highest scores per rebalance date, weight min(1/n, cap), rest in cash.
+
+    A score that is no number (NaN, infinite) is a missing one.
+    """
     require_columns(signals, ["trade_date", "symbol", signal])
+    signals = signals.withColumn(signal, finite(signal))
     if top_n <= 0 or not 0 < max_weight <= 1:
         raise ValueError("top_n is positive and max_weight is in (0, 1]")
     work = _at_rebalance(signals, frequency, next_session, by).where(F.col(signal).isNotNull())
@@ -96,9 +100,11 @@ def buffered_top_n(
 
     Membership on a date depends on the date before, so each strategy is folded over
     its rebalance dates. A strategy's state is (dates x exit_rank) symbols: bounded
-    by the calendar and the rule, never by the number of stocks.
+    by the calendar and the rule, never by the number of stocks. A score that is no
+    number (NaN, infinite) is a missing one.
     """
     require_columns(signals, ["trade_date", "symbol", signal])
+    signals = signals.withColumn(signal, finite(signal))
     if exit_rank < top_n or top_n <= 0:
         raise ValueError("exit_rank >= top_n > 0 is required")
     work = _at_rebalance(signals, frequency, next_session, by).where(F.col(signal).isNotNull())
@@ -399,20 +405,29 @@ def estimate_orders(
     ``targets`` is ``(account_id, symbol, target_weight, factor_rank)``, ``holdings``
     ``(account_id, symbol, shares)``. Accounts missing a price for a target or a
     holding get a single PRICE_MISSING row; accounts with nothing to do get NO_TRADE.
+    No orders are made, but one row with the reason, for an account that is not in
+    ``accounts`` (ACCOUNT_UNKNOWN), whose weights are missing, negative, no numbers, above
+    100 % together or given twice for a symbol (WEIGHTS_INVALID), or that needs a symbol
+    with two different prices (PRICE_AMBIGUOUS). Holdings of a symbol add up.
     Everything but the buy fold runs in windows of one exchange on the account;
     ``layout`` (bound: the number of listed symbols) cuts an account into ranges when
     its holdings could outgrow a task.
     """
     date = trade_date if isinstance(trade_date, Column) else F.lit(trade_date).cast("date")
-    owned = holdings.where("shares > 0").select("account_id", "symbol", F.col("shares").cast("long").alias("current_shares"))
-    wanted = targets.select("account_id", "symbol", "target_weight", F.col("factor_rank").cast("int").alias("factor_rank"))
-    lines = owned.join(wanted, ["account_id", "symbol"], "full").join(
-        prices.select("symbol", finite("close").alias("reference_close")), "symbol", "left"
+    key = ["account_id", "symbol"]
+    owned = holdings.where("shares > 0").groupBy(*key).agg(F.sum("shares").cast("long").alias("current_shares"))
+    sound = finite("target_weight") >= 0
+    wanted = targets.groupBy(*key).agg(
+        F.max(finite("target_weight")).alias("target_weight"),
+        F.min(F.col("factor_rank").cast("int")).alias("factor_rank"),
+        ((F.count("*") > 1) | ~F.every(F.coalesce(sound, F.lit(False)))).alias("_unsound"),
     )
+    known = prices.groupBy("symbol").agg(F.min(finite("close")).alias("reference_close"), F.max(finite("close")).alias("_other"))
+    lines = owned.join(wanted, key, "full").join(known, "symbol", "left")
     priced = F.col("symbol").isNull() | F.coalesce(F.col("reference_close") > 0, F.lit(False))
     work = (
-        accounts.select("account_id", F.col("cash").cast("double").alias("cash"))
-        .join(lines, "account_id", "left")
+        accounts.select("account_id", F.col("cash").cast("double").alias("cash"), F.lit(True).alias("_known"))
+        .join(lines, "account_id", "full")
         .withColumns(
             {
                 "current_shares": F.coalesce("current_shares", F.lit(0)),
@@ -420,15 +435,28 @@ def estimate_orders(
             }
         )
     )
-    worth = F.sum(F.col("current_shares") * F.col("reference_close"))
-    work = add_stats(work, ["account_id"], {"_complete": F.min(priced), "_worth": worth}, layout)
+    stats = {
+        "_complete": F.min(priced),
+        "_ambiguous": F.max(F.coalesce(F.col("reference_close") != F.col("_other"), F.lit(False))),
+        "_refused": F.max(flag("_unsound")),
+        "_weights": F.sum("target_weight"),
+        "_worth": F.sum(F.col("current_shares") * F.col("reference_close")),
+    }
+    work = add_stats(work, ["account_id"], stats, layout)
+    problem = (
+        F.when(F.col("_known").isNull(), "ACCOUNT_UNKNOWN")
+        .when(F.col("_refused") | (F.col("_weights") > 1 + 1e-9), "WEIGHTS_INVALID")
+        .when(~F.col("_complete"), "PRICE_MISSING")
+        .when(F.col("_ambiguous"), "PRICE_AMBIGUOUS")
+    )
+    work = work.withColumn("_problem", problem)
     work = work.withColumn("_equity", F.col("cash") + F.coalesce("_worth", F.lit(0.0)))
     desired = F.col("_equity") * F.col("target_weight") / F.col("reference_close")
     work = work.withColumn("target_shares", round_order(desired, "symbol", costs.lot_size))
     move = F.when(F.col("target_shares") < F.col("current_shares"), "SELL").when(
         F.col("target_shares") > F.col("current_shares"), "BUY"
     )
-    work = work.withColumn("side", F.when(F.col("_complete") & F.col("symbol").isNotNull(), move))
+    work = work.withColumn("side", F.when(F.col("_problem").isNull() & F.col("symbol").isNotNull(), move))
     work = _sold_first(work, date, costs, layout).withColumn("conditional_on_sells", F.lit(False))
 
     columns = [c for c in ORDER_COLUMNS if c not in ("status", "unfilled_shares")]
@@ -443,8 +471,8 @@ def estimate_orders(
     ).select(*ORDER_COLUMNS)
     still = work.where("_moves = 0 AND _place = 1").select(
         "account_id",
-        F.when(F.col("_complete"), "NO_TRADE").otherwise("PRICE_MISSING").alias("status"),
-        F.when(F.col("_complete"), F.col("cash")).alias("estimated_cash_after"),
+        F.coalesce("_problem", F.lit("NO_TRADE")).alias("status"),
+        F.when(F.col("_problem").isNull(), F.col("cash")).alias("estimated_cash_after"),
     )
     return orders.unionByName(still, allowMissingColumns=True)
 

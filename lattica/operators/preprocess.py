@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.numeric import clip, positive, ratio
+from lattica.functions.numeric import clip, finite, positive, ratio
 from lattica.operators.sections import WHOLE, Layout, add_average_rank, add_median, add_stats
 
 # Fixed value: scales a MAD to a standard deviation under normality.
@@ -20,19 +20,24 @@ DATE = ("trade_date",)
 def winsorize_mad(
     df: DataFrame, value: str, out: str, n_mad: float = 5.0, keys=DATE, layout: Layout = WHOLE
 ) -> DataFrame:
-    """Clip to median +/- n x 1.4826 x MAD; a zero or unknown MAD leaves values alone."""
-    df = add_median(df, keys, value, "_mid", layout=layout)
-    df = df.withColumn("_gap", F.abs(F.col(value) - F.col("_mid")))
+    """Clip to median +/- n x 1.4826 x MAD; a zero or unknown MAD leaves values alone.
+
+    NaN and infinite values are missing: they move no statistic and have no outcome.
+    """
+    df = df.withColumn("_value", finite(value))
+    df = add_median(df, keys, "_value", "_mid", layout=layout)
+    df = df.withColumn("_gap", F.abs(F.col("_value") - F.col("_mid")))
     df = add_median(df, keys, "_gap", "_mad", layout=layout)
     width = F.col("_mad") * (n_mad * MAD_SCALE)
-    clipped = F.when(F.col("_mad") > 0, clip(F.col(value), F.col("_mid") - width, F.col("_mid") + width))
-    return df.withColumn(out, F.coalesce(clipped, F.col(value))).drop("_mid", "_gap", "_mad")
+    clipped = F.when(F.col("_mad") > 0, clip(F.col("_value"), F.col("_mid") - width, F.col("_mid") + width))
+    return df.withColumn(out, F.coalesce(clipped, F.col("_value"))).drop("_value", "_mid", "_gap", "_mad")
 
 
 def zscore(df: DataFrame, value: str, out: str, keys=DATE, layout: Layout = WHOLE) -> DataFrame:
-    """Population z-score; a constant section has no score."""
-    df = add_stats(df, keys, {"_mean": F.avg(value), "_std": F.stddev_pop(value)}, layout)
-    return df.withColumn(out, ratio(F.col(value) - F.col("_mean"), "_std")).drop("_mean", "_std")
+    """Population z-score; a constant section has no score, NaN and infinite values are missing."""
+    df = df.withColumn("_value", finite(value))
+    df = add_stats(df, keys, {"_mean": F.avg("_value"), "_std": F.stddev_pop("_value")}, layout)
+    return df.withColumn(out, ratio(F.col("_value") - F.col("_mean"), "_std")).drop("_value", "_mean", "_std")
 
 
 def neutralize(
@@ -52,7 +57,7 @@ def neutralize(
     size = size if size in df.columns else None
     industry = industry if industry in df.columns else None
     keys = list(keys)
-    df = df.withColumn("_x", F.ln(positive(size)) if size else F.lit(0.0))
+    df = df.withColumn("_x", F.ln(positive(finite(size))) if size else F.lit(0.0))
     if industry:
         df = add_stats(df, keys, {"_first": F.min(industry), "_all": F.collect_set(industry)}, layout)
         df = df.withColumn("_group", F.coalesce(industry, "_first"))
@@ -60,8 +65,8 @@ def neutralize(
         inner = [*keys, "_group"]
     else:
         dummies, inner = F.lit(0), keys
-    valid = F.col(value).isNotNull() & F.col("_x").isNotNull()
-    y, x = F.when(valid, F.col(value)), F.when(valid, F.col("_x"))
+    valid = finite(value).isNotNull() & F.col("_x").isNotNull()
+    y, x = F.when(valid, finite(value)), F.when(valid, F.col("_x"))
     df = df.withColumns({"_y": y, "_xv": x, "_columns": dummies + (2 if size else 1)})
     df = add_stats(df, inner, {"_ym": F.avg("_y"), "_xm": F.avg("_xv")}, layout)
     df = df.withColumns({"_yd": F.col("_y") - F.col("_ym"), "_xd": F.col("_xv") - F.col("_xm")})
