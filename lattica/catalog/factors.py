@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.catalog.base import query, with_daily
+from lattica.operators.calendars import session_list
 from lattica.operators.factors import compute_factors
 from lattica.plans.panel import daily_panel
+from lattica.plans.rolling import run_sessions
+from lattica.session import scratch_path, settle
 
 RETURNS = """, r AS (SELECT *, CASE WHEN lag(adj_close) OVER w <> 0 THEN adj_close / lag(adj_close) OVER w END - 1 AS ret,
     ln(amount) - lag(ln(amount)) OVER w AS dlog,
@@ -74,18 +77,41 @@ for _name, _formula in FORMULAS.items():
     _register(_name, _formula)
 
 
-IVOL_SQL = with_daily(
-    RETURNS
-    + f""", m AS (SELECT *, avg(ret) OVER (PARTITION BY trade_date) AS mkt FROM r),
+IVOL = f""", m AS (SELECT *, avg(ret) OVER (PARTITION BY trade_date) AS mkt FROM r),
     b AS (SELECT *, CASE WHEN count(ret) OVER {frame(60)} >= 40 THEN
         covar_samp(ret, mkt) OVER {frame(60)} END / nullif(CASE WHEN count(mkt) OVER {frame(60)} >= 40 THEN
         var_samp(mkt) OVER {frame(60)} END, 0) AS beta FROM m),
-    e AS (SELECT *, ret - beta * mkt AS res FROM b)
-    SELECT trade_date, symbol, round({std('res', 60, 40)}, 6) AS factor FROM e"""
-)
+    e AS (SELECT *, ret - beta * mkt AS res FROM b)"""
+IVOL_SQL = with_daily(RETURNS + IVOL + f" SELECT trade_date, symbol, round({std('res', 60, 40)}, 6) AS factor FROM e")
 
 
 @query("factor_ivol_60", IVOL_SQL)
 def ivol(spark, sf_dir):
     out = compute_factors(daily_panel(spark, sf_dir), ["ivol_60"])
     return out.select("trade_date", "symbol", F.round("ivol_60", 6).alias("factor"))
+
+
+EVERY = {**FORMULAS, "ivol_60": std("res", 60, 40)}
+
+
+@query(
+    "rolling_state",
+    with_daily(
+        RETURNS
+        + IVOL
+        + ", v AS (SELECT trade_date, symbol, "
+        + ", ".join(f"round(({formula}) * {SCALE.get(name, 1.0)}, 6) AS {name}" for name, formula in EVERY.items())
+        + " FROM e WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)), s AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date DESC) AS back FROM (SELECT DISTINCT trade_date FROM daily))"
+        + " SELECT v.* FROM v JOIN s USING (trade_date) WHERE back <= 12"
+    ),
+)
+def rolling_state(spark, sf_dir):
+    """All factors of the last twelve sessions, seven and then five of them added to a stored state."""
+    panel = settle(daily_panel(spark, sf_dir))
+    sessions = settle(session_list(panel))
+    total = sessions.agg(F.max("session_idx").alias("_total"))
+    dated = panel.join(F.broadcast(sessions.join(total, F.lit(True))), "trade_date").withColumn("_left", F.col("_total") - F.col("session_idx"))
+    path = scratch_path(spark, "state")
+    run_sessions(spark, path, dated.where("_left >= 12"), EVERY)
+    parts = [run_sessions(spark, path, dated.where(days), EVERY) for days in ("_left BETWEEN 5 AND 11", "_left < 5")]
+    return parts[0].unionByName(parts[1]).select("trade_date", "symbol", *[F.round(F.col(n) * SCALE.get(n, 1.0), 6).alias(n) for n in EVERY])

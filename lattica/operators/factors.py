@@ -28,6 +28,7 @@ RETURN = "_return"
 LOG_CHANGE = "_log_change"
 MARKET = "_market_return"
 RESIDUAL = "_residual"
+GAP = "_overnight_gap"
 STAGES = (PRICE, RETURN, LOG_CHANGE, MARKET, RESIDUAL)
 
 
@@ -84,7 +85,7 @@ def _downside(f: Frames) -> Column:
 
 
 def _overnight(f: Frames) -> Column:
-    return f.mean(F.col("_overnight_gap"), 5, 5)
+    return f.mean(F.col(GAP), 5, 5)
 
 
 def _intraday(f: Frames) -> Column:
@@ -117,7 +118,7 @@ BUILT_IN = [
     Factor("volatility_20", ("close",), 20, lambda f: f.std(F.col(RETURN), 20, 15), _R),
     Factor("volatility_60", ("close",), 60, lambda f: f.std(F.col(RETURN), 60, 40), _R),
     Factor("downside_volatility_20", ("close",), 20, _downside, _R),
-    Factor("overnight_reversal_5", ("adj_open", "adj_close"), 5, _overnight, (PRICE, "_overnight_gap")),
+    Factor("overnight_reversal_5", ("adj_open", "adj_close"), 5, _overnight, (PRICE, GAP)),
     Factor("intraday_momentum_20", ("open", "close"), 20, _intraday, ()),
     Factor("turnover_mean_20", ("turnover_rate",), 20, lambda f: f.mean(F.col("turnover_rate"), 20, 15), ()),
     Factor("amount_momentum_20", ("amount",), 20, _amount_momentum, ()),
@@ -188,39 +189,59 @@ def partition_of(df: DataFrame) -> list[str]:
     return ["symbol", "research_segment"] if "research_segment" in df.columns else ["symbol"]
 
 
-def _stage(df: DataFrame, frames: Frames, wanted: set[str]) -> DataFrame:
+def _stage(df: DataFrame, frames: Frames, wanted: set[str], resumed: bool = False) -> DataFrame:
+    """Add the columns that factor frames run over.
+
+    ``resumed`` says that only rows with ``_new`` are new; the others bring what was staged
+    for them as ``_kept_<stage>``, and only sessions of new rows enter the market mean.
+    """
+
+    def staged(name: str, value: Column) -> Column:
+        return F.when(F.col("_new"), value).otherwise(F.col(f"_kept{name}")) if resumed else value
+
     if PRICE in wanted:
         df = df.withColumn(PRICE, price_column(df.columns))
     first: dict[str, Column] = {}
     if RETURN in wanted:
-        first[RETURN] = ratio(PRICE, frames.lag(PRICE)) - 1
+        first[RETURN] = staged(RETURN, ratio(PRICE, frames.lag(PRICE)) - 1)
     if LOG_CHANGE in wanted:
         log_amount = F.when(F.col("amount") > 0, F.ln("amount"))
-        first[LOG_CHANGE] = log_amount - frames.lag(log_amount)
-    if "_overnight_gap" in wanted:
-        first["_overnight_gap"] = -(ratio("adj_open", positive(frames.lag("adj_close"))) - 1)
+        first[LOG_CHANGE] = staged(LOG_CHANGE, log_amount - frames.lag(log_amount))
+    if GAP in wanted:
+        first[GAP] = staged(GAP, -(ratio("adj_open", positive(frames.lag("adj_close"))) - 1))
     if first:
         df = df.withColumns(first)
     if MARKET in wanted:
         # one row per session, so the broadcast is bounded by the calendar
-        mean = df.groupBy("trade_date").agg(F.avg(RETURN).alias(MARKET))
-        df = df.join(F.broadcast(mean), "trade_date", "left")
+        mean = (df.where("_new") if resumed else df).groupBy("trade_date").agg(F.avg(RETURN).alias("_mean"))
+        df = df.join(F.broadcast(mean), "trade_date", "left").withColumn(MARKET, staged(MARKET, F.col("_mean"))).drop("_mean")
     if RESIDUAL in wanted:
         frame = frames.last(60)
         x, y = paired(F.col(RETURN), F.col(MARKET))
         covariance = at_least(x, frame, 40, F.covar_samp(x, y).over(frame))
         variance = at_least(F.col(MARKET), frame, 40, F.var_samp(MARKET).over(frame))
         df = df.withColumn("_beta", ratio(covariance, variance))
-        df = df.withColumn(RESIDUAL, F.col(RETURN) - F.col("_beta") * F.col(MARKET)).drop("_beta")
+        df = df.withColumn(RESIDUAL, staged(RESIDUAL, F.col(RETURN) - F.col("_beta") * F.col(MARKET))).drop("_beta")
     return df
 
 
+def staged_columns(names: Iterable[str]) -> list[str]:
+    """The staged columns that a set of factors needs, in the order they are built."""
+    wanted = {s for n in names for s in factor(n).stages}
+    return [s for s in (*STAGES[1:], GAP) if s in wanted]
+
+
 def compute_factors(panel: DataFrame, names: Iterable[str]) -> DataFrame:
     """Add one column per factor in a single pass; masked outside the universe.
 
     ``research_segment`` joins the window key, amounts flagged as outside the price
     range count as missing, and ``in_universe`` masks the result.
     """
+    return with_factors(panel, names).drop(*STAGES, GAP)
+
+
+def with_factors(panel: DataFrame, names: Iterable[str], resumed: bool = False) -> DataFrame:
+    """``compute_factors`` that leaves the staged columns in; ``resumed`` as in ``_stage``."""
     names = list(names)
     chosen = [factor(n) for n in names]
     require_columns(panel, required_inputs(names))
@@ -230,7 +251,7 @@ def compute_factors(panel: DataFrame, names: Iterable[str]) -> DataFrame:
     if "amount_outside_price_range" in panel.columns and "amount" in panel.columns:
         believed = F.when(~flag("amount_outside_price_range"), F.col("amount"))
         work = work.withColumns({"_amount": F.col("amount"), "amount": believed})
-    work = _stage(work, frames, wanted)
+    work = _stage(work, frames, wanted, resumed)
     # built first, cleaned in the next projection: a window expression is then
     # computed once however often its value is tested
     work = work.withColumns({f.name: f.build(frames) for f in chosen})
@@ -238,7 +259,7 @@ def compute_factors(panel: DataFrame, names: Iterable[str]) -> DataFrame:
     work = work.withColumns({n: F.when(inside, finite(n)) for n in names})
     if "_amount" in work.columns:
         work = work.withColumn("amount", F.col("_amount"))
-    return work.drop(*STAGES, "_overnight_gap", "_amount")
+    return work.drop("_amount")
 
 
 def compute_factor(panel: DataFrame, name: str) -> DataFrame:
