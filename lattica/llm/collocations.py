@@ -28,8 +28,8 @@ from lattica.llm.textkit import LOWER, blocks, byte_set, distinct_spans, mixed,
 _BREAKS = bytes([*b".,;:!?", *range(0x0A, 0x0E)])
 _BREAK, _WORD = byte_set(_BREAKS), ~byte_set(_BREAKS + b" \t")
 DEPTH = 3
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 6 << 20
 #: The list of leading pairs that are routed by three words has at most so many entries.
 HOT_BOUND = 1 << 20
 _ROUTE = np.uint64(0xC2B2AE3D27D4EB4F)
