@@ -20,8 +20,11 @@ from lattica.catalog.research import (
     signals,
     z_sql,
 )
+from lattica.catalog.factors import EVERY, IVOL, RETURNS, SCALE
+from lattica.operators import diagnostics, labels
 from lattica.operators.calendars import session_list
-from lattica.operators.sections import Layout
+from lattica.operators.factors import compute_factors
+from lattica.operators.moments import merge_moments, pairwise_correlations, section_moments
 from lattica.operators.universe import UniverseRule
 from lattica.plans import ridge, walkforward
 from lattica.plans.folds import fold_dates, year_folds
@@ -47,11 +50,6 @@ def sessions_of(df):
     return session_list(df)
 
 
-def fit_layout(spark, sf) -> Layout:
-    """A fit set holds at most every bar, which is at most every order line."""
-    return Layout.for_bound(table(spark, sf, "lineitem").count())
-
-
 def model_rows(spark, sf):
     """The model frame, materialised once: moments, medians and predictions all read it."""
     scores = signals(spark, sf).withColumn("in_universe", ~F.col("is_st"))
@@ -83,7 +81,7 @@ MODEL = SIGNALS + """, mf0 AS (SELECT trade_date, symbol, reversal_5 AS f1, mome
 def ridge_coefficients(spark, sf):
     rows = model_rows(spark, sf)
     dates = fold_dates(sessions_of(weekly_panel(spark, sf)), year_folds(sessions_of(weekly_panel(spark, sf)), 2, 1, 1), EMBARGO)
-    out = ridge.fit_ridge(rows, dates, FEATURES, ALPHAS, fit_layout(spark, sf))
+    out = ridge.fit_ridge(rows, dates, FEATURES, ALPHAS)
     pick = lambda c, i, n: F.round(F.col(c)[i], 6).alias(n)
     return out.select(
         "test_year", "fitted_on", "alpha", F.round("intercept", 6).alias("intercept"), pick("medians", 0, "median_1"),
@@ -112,7 +110,7 @@ def walk(spark, sf):
     rows = model_rows(spark, sf)
     sessions = settle(sessions_of(weekly_panel(spark, sf)))
     return walkforward.ridge_walk_forward(
-        rows, FEATURES, ALPHAS, sessions, 2, 1, 1, EMBARGO, section_layout(spark, sf), fit_layout(spark, sf)
+        rows, FEATURES, ALPHAS, sessions, 2, 1, 1, EMBARGO, section_layout(spark, sf)
     )
 
 
@@ -324,3 +322,103 @@ def suite_coverage(spark, sf):
 )
 def suite_latest(spark, sf):
     return rounded(suite(spark, sf).latest.select("symbol", "factor_processed", "factor_rank"), ["factor_processed"])
+
+
+# --- all built-in factors ---------------------------------------------------------------------
+
+ALL_NAMES = list(EVERY)
+ALL_ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
+ALL_VALUES = RETURNS.replace("FROM daily", "FROM weekly") + IVOL + ", av AS (SELECT trade_date, symbol, adj_open, is_st, " + ", ".join(
+    f"round(({formula}) * {SCALE.get(name, 1.0)}, 8) AS {name}" for name, formula in EVERY.items()
+) + f""" FROM e WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+  al AS (SELECT trade_date, symbol, unnest([{", ".join(f"'{n}'" for n in ALL_NAMES)}]) AS factor, unnest([{", ".join(ALL_NAMES)}]) AS value FROM av),
+  ap AS (SELECT a.factor AS factor_a, b.factor AS factor_b, a.trade_date, year(a.trade_date) AS year, a.value AS x, b.value AS y FROM al a JOIN al b ON a.trade_date = b.trade_date AND a.symbol = b.symbol
+    WHERE a.factor <= b.factor AND a.value IS NOT NULL AND b.value IS NOT NULL)"""
+
+
+def all_factors(spark, sf):
+    """The nineteen factors, at eight digits so that ties do not hang on the last bit of a running mean."""
+    panel = compute_factors(weekly_panel(spark, sf), ALL_NAMES)
+    return panel.withColumns({n: F.round(F.col(n) * SCALE.get(n, 1.0), 8) for n in ALL_NAMES})
+
+
+@query(
+    "factor_correlation_all",
+    with_weekly(ALL_VALUES + ic_sql("ic", "ap", "factor_a, factor_b, trade_date", "x", "y", 1) + " SELECT factor_a, factor_b, round(avg(ic), 6) AS correlation FROM ic GROUP BY 1, 2"),
+)
+def factor_correlation_all(spark, sf):
+    """Mean daily rank correlation of all pairs of the nineteen factors."""
+    out = diagnostics.factor_correlation(all_factors(spark, sf), ALL_NAMES, section_layout(spark, sf))
+    return rounded(out.where("factor_a <= factor_b"), ["correlation"])
+
+
+@query(
+    "factor_gram",
+    with_weekly(
+        ALL_VALUES
+        + """ SELECT year, factor_a, factor_b, count(*) AS pairs, round(CASE WHEN stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN corr(x, y) END, 5) AS correlation FROM ap GROUP BY 1, 2, 3"""
+    ),
+)
+def factor_gram(spark, sf):
+    """Pearson correlations of all pairs per year, from one Gram matrix per session."""
+    daily = section_moments(all_factors(spark, sf), ALL_NAMES, squares=True)
+    yearly = merge_moments(daily.withColumn("year", F.year("trade_date")), ["year"])
+    out = pairwise_correlations(yearly, ALL_NAMES, ["year"]).where("factor_a <= factor_b AND pairs > 0")
+    return out.withColumn("correlation", F.round("correlation", 5))
+
+
+ALL_MODEL = (
+    ALL_VALUES
+    + """, ay AS (SELECT trade_date, symbol, lead(adj_open, 6) OVER w / lead(adj_open, 1) OVER w - 1 AS y0 FROM av WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+  am AS (SELECT av.*, y0 FROM av JOIN ay USING (trade_date, symbol) WHERE NOT is_st AND num_known >= 1)""".replace("num_known", "(" + " + ".join(f"({n} IS NOT NULL)::INT" for n in ALL_NAMES) + ")")
+    + folds_sql()
+    + """, fsets AS (SELECT test_year, 'train' AS fitted_on, trade_date FROM folds WHERE part = 'train' UNION ALL SELECT test_year, 'train+validation', trade_date FROM folds WHERE part <> 'test')"""
+)
+
+
+def all_model(spark, sf):
+    scores = labels.add_execution_returns(all_factors(spark, sf), (5,)).withColumn("in_universe", ~F.col("is_st"))
+    rows = settle(walkforward.model_frame(scores, ALL_NAMES, "next_open_return_5d", 1, section_layout(spark, sf)))
+    sessions = settle(sessions_of(weekly_panel(spark, sf)))
+    return rows, fold_dates(sessions, year_folds(sessions, 2, 1, 1), EMBARGO)
+
+
+@query(
+    "fold_medians_all",
+    with_weekly(
+        ALL_MODEL
+        + """, ml AS (SELECT test_year, fitted_on, unnest(["""
+        + ", ".join(f"'{n}'" for n in ALL_NAMES)
+        + "]) AS feature, unnest(["
+        + ", ".join(ALL_NAMES)
+        + """]) AS value FROM am JOIN fsets USING (trade_date) WHERE y0 IS NOT NULL)
+  SELECT test_year, fitted_on, feature, round(coalesce(median(value), 0), 6) AS median FROM ml GROUP BY 1, 2, 3"""
+    ),
+)
+def fold_medians_all(spark, sf):
+    """Exact medians of all factors over overlapping fit sets; a row is not copied per fit set."""
+    rows, dates = all_model(spark, sf)
+    out = ridge.fold_medians(rows.where("label IS NOT NULL"), ridge._fit_sets(dates), ALL_NAMES)
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in ALL_NAMES]).alias("feature"), F.col("medians").alias("median"))
+    return out.select("test_year", "fitted_on", F.inline(named)).withColumn("median", F.round("median", 6))
+
+
+@query(
+    "ridge_all_factors",
+    with_weekly(
+        ALL_MODEL
+        + """ SELECT test_year, fitted_on, unnest([0.1, 1, 10, 100, 1000, 10000])::DOUBLE AS alpha, count(*) AS rows, 19 AS features, TRUE AS stationary FROM am JOIN fsets USING (trade_date) WHERE y0 IS NOT NULL GROUP BY 1, 2"""
+    ),
+)
+def ridge_all_factors(spark, sf):
+    """Ridge over nineteen factors and six penalties: at a solution the loss, taken from the rows, has no slope."""
+    rows, dates = all_model(spark, sf)
+    rows = rows.where("label IS NOT NULL")
+    fits = settle(ridge.fit_ridge(rows, dates, ALL_NAMES, ALL_ALPHAS))
+    used = rows.join(F.broadcast(ridge._fit_sets(dates)), "trade_date").join(F.broadcast(fits), ["test_year", "fitted_on"])
+    error = F.col("label") - ridge.ridge_value(ALL_NAMES)
+    used = used.withColumn("_e", error)
+    scaled = [((F.coalesce(n, F.col("medians")[i]) - F.col("means")[i]) / F.col("scales")[i]) for i, n in enumerate(ALL_NAMES)]
+    slopes = [F.abs(F.sum(x * F.col("_e")) - F.col("alpha") * F.first(F.col("coefficients")[i])) for i, x in enumerate(scaled)]
+    sums = used.groupBy("test_year", "fitted_on", "alpha").agg(F.count("*").alias("rows"), F.greatest(*slopes).alias("_slope"), F.first(F.size("coefficients")).alias("features"))
+    return sums.select("test_year", "fitted_on", "alpha", "rows", "features", (F.col("_slope") < 1e-6 * F.col("rows")).alias("stationary"))

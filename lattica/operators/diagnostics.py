@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.functions.numeric import finite, pearson, ratio
 from lattica.operators.calendars import rebalance_dates, trailing_sessions
 from lattica.operators.labels import add_forward_returns
+from lattica.operators.moments import mean_spearman
 from lattica.operators.sections import WHOLE, Layout, add_average_rank, add_positions, add_stats
 
 DATE = ("trade_date",)
@@ -290,10 +291,13 @@ def hac_mean(
 def factor_correlation(df: DataFrame, names, layout: Layout = WHOLE) -> DataFrame:
     """Spearman matrix per date on pairwise-complete rows, averaged over dates.
 
-    Pairs come from exploding each row (no join); ranks are taken after pairing. The
-    diagonal needs no ranking: it is 1 where some date has two distinct values.
+    A date that fits one task is solved there: its rows travel once, whatever the number of
+    pairs. Larger dates explode each row into its pairs and are ranked in ranges; the
+    diagonal then needs no ranking: it is 1 where some date has two distinct values.
     """
     names = list(names)
+    if layout.splits == 1:
+        return mean_spearman(df, names)
     pairs = [
         F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("x"), F.col(b).alias("y"))
         for a, b in combinations(names, 2)

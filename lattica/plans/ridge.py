@@ -1,8 +1,7 @@
 """Ridge regression from additive moments, every fold and penalty in one job.
 
-Rows are reduced to moments per date once. Imputation by the fold's median is
-applied to the moments (each pair of features is split by which side is missing),
-so no row is copied per fold. The k x k systems, one small row per fold, are solved
+Rows are reduced to a Gram matrix per date once. Imputation by the fold's median is
+applied to the merged matrix of a fold, so no row is copied per fold. The k x k systems, one small row per fold, are solved
 with numpy inside tasks.
 """
 
@@ -18,7 +17,9 @@ from pyspark.sql import functions as F
 
 from lattica.functions.numeric import finite
 from lattica.operators.diagnostics import information_coefficient
-from lattica.operators.sections import WHOLE, Layout, add_positions
+from lattica.operators.moments import imputed, merge_moments, section_moments
+from lattica.operators.sections import WHOLE, Layout
+from lattica.session import settle
 
 COEFFICIENTS = (
     "test_year int, fitted_on string, alpha double, intercept double, medians array<double>, "
@@ -26,29 +27,6 @@ COEFFICIENTS = (
 )
 
 
-def _moments(features: list[str]) -> list[Column]:
-    """Additive sums over rows with a label; suffixes name the present/missing side."""
-    y = F.col("label")
-    out = [F.count(y).cast("double").alias("n"), F.sum(y).alias("sy")]
-    have = {f: F.col(f).isNotNull() for f in features}
-    for i, a in enumerate(features):
-        out += [
-            F.sum(F.when(~have[a], 1.0).otherwise(0.0)).alias(f"m_{i}"),
-            F.sum(F.coalesce(a, F.lit(0.0))).alias(f"s_{i}"),
-            F.sum(F.coalesce(F.col(a) * y, F.lit(0.0))).alias(f"xy_{i}"),
-            F.sum(F.when(~have[a], y).otherwise(0.0)).alias(f"my_{i}"),
-        ]
-        for j in range(i, len(features)):
-            b = features[j]
-            out += [
-                F.sum(F.coalesce(F.col(a) * F.col(b), F.lit(0.0))).alias(f"pp_{i}_{j}"),
-                F.sum(F.when(have[a] & ~have[b], F.col(a)).otherwise(0.0)).alias(f"pm_{i}_{j}"),
-                F.sum(F.when(~have[a] & have[b], F.col(b)).otherwise(0.0)).alias(f"mp_{i}_{j}"),
-                F.sum(F.when(~have[a] & ~have[b], 1.0).otherwise(0.0)).alias(f"mm_{i}_{j}"),
-            ]
-    return out
-
-
 def _fit_sets(dates: DataFrame) -> DataFrame:
     """Training dates, and training plus validation dates, of each fold."""
     past = dates.where("part <> 'test'")
@@ -59,56 +37,51 @@ def _fit_sets(dates: DataFrame) -> DataFrame:
     )
 
 
-def fold_medians(rows: DataFrame, fit_sets: DataFrame, features: list[str], layout: Layout = WHOLE) -> DataFrame:
-    """Exact median of each feature over each fit set (0 where it has no value)."""
-    long = (
-        rows.unpivot(["trade_date", "symbol"], features, "feature", "value")
-        .where("value IS NOT NULL")
-        .join(F.broadcast(fit_sets), "trade_date")  # calendar x folds
-    )
+def fold_medians(rows: DataFrame, fit_sets: DataFrame, features: list[str]) -> DataFrame:
+    """Exact median of each feature over each fit set (0 where it has no value).
+
+    Values are dealt once into sorted ranges. Counts of a range by date, added up over each
+    fit set, say in which range its middle values lie and how far in; only those ranges are
+    read again, and only for the fit sets that ask for them. So fit sets may overlap freely
+    without a row being copied for each.
+    """
+    long = rows.unpivot(["trade_date", "symbol"], features, "feature", "value").where("value IS NOT NULL")
+    # the tie-break lets one value that fills many rows spread over ranges
+    ranged = long.repartitionByRange("feature", "value", F.xxhash64("symbol", "trade_date")).withColumn("_range", F.spark_partition_id())
+    ranged = settle(ranged.select("feature", "trade_date", "symbol", "value", "_range"))
     keys = ["test_year", "fitted_on", "feature"]
-    if layout.splits == 1:
-        medians = long.groupBy(*keys).agg(F.median("value").alias("median"))
-    else:
-        tied = long.withColumn("_tie", F.concat_ws("|", "symbol", "trade_date"))
-        placed = add_positions(tied, keys, "value", tie="_tie", position="_p", total="_n", layout=layout)
-        middle = F.col("_p").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
-        medians = placed.where(middle).groupBy(*keys).agg(F.avg("value").alias("median"))
+    counts = ranged.groupBy("feature", "_range", "trade_date").agg(F.count("*").alias("_n"))
+    counts = counts.join(F.broadcast(fit_sets), "trade_date").groupBy(*keys, "_range").agg(F.sum("_n").alias("_n"))
+    order = W.partitionBy(*keys).orderBy("_range")  # one row per range
+    counts = counts.withColumns({"_before": F.sum("_n").over(order) - F.col("_n"), "_total": F.sum("_n").over(W.partitionBy(*keys))})
+    middle = F.array_distinct(F.array(F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)))
+    asked = counts.withColumn("_place", F.explode(middle)).where((F.col("_place") > F.col("_before")) & (F.col("_place") <= F.col("_before") + F.col("_n")))
+    asked = asked.groupBy(*keys, "_range").agg(F.collect_set(F.col("_place") - F.col("_before")).alias("_wanted"))
+    asked = F.broadcast(asked)  # two rows at most per fit set and feature
+    inside = ranged.join(asked, ["feature", "_range"]).join(F.broadcast(fit_sets), ["test_year", "fitted_on", "trade_date"])
+    place = F.row_number().over(W.partitionBy(*keys, "_range").orderBy("value", F.xxhash64("symbol", "trade_date")))
+    found = inside.withColumn("_at", place).where(F.array_contains("_wanted", F.col("_at").cast("bigint")))
+    medians = found.groupBy(*keys).agg(F.avg("value").alias("median"))
     picks = [
         F.coalesce(F.max(F.when(F.col("feature") == f, F.col("median"))), F.lit(0.0)) for f in features
     ]
     return medians.groupBy("test_year", "fitted_on").agg(F.array(*picks).alias("medians"))
 
 
-def _solver(features: list[str], alphas: list[float]):
-    k = len(features)
-
+def _solver(alphas: list[float]):
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                n, med = row["n"], np.asarray(row["medians"], dtype=float)
-                total = np.array([row[f"s_{i}"] + row[f"m_{i}"] * med[i] for i in range(k)])
-                xy = np.array([row[f"xy_{i}"] + row[f"my_{i}"] * med[i] for i in range(k)])
-                square = np.empty((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        square[i, j] = square[j, i] = (
-                            row[f"pp_{i}_{j}"]
-                            + row[f"pm_{i}_{j}"] * med[j]
-                            + row[f"mp_{i}_{j}"] * med[i]
-                            + row[f"mm_{i}_{j}"] * med[i] * med[j]
-                        )
-                mean, center = total / n, row["sy"] / n
-                covariance = square - n * np.outer(mean, mean)
+                n, medians, means = row["n"], np.asarray(row["medians"], dtype=float), np.asarray(row["mean"], dtype=float)
+                mean, covariance, center, products = imputed(n, means, np.asarray(row["scatter"], dtype=float).reshape(len(means), -1), medians)
                 spread = np.sqrt(np.maximum(np.diag(covariance) / n, 0.0))
                 scale = np.where(spread > 0, spread, 1.0)
                 gram = covariance / np.outer(scale, scale)
-                target = (xy - n * mean * center) / scale
                 for alpha in alphas:
-                    beta = np.linalg.solve(gram + alpha * np.eye(k), target)
+                    beta = np.linalg.solve(gram + alpha * np.eye(len(scale)), products / scale)
                     out.append(
-                        (row["test_year"], row["fitted_on"], alpha, center, med.tolist(), mean.tolist(),
+                        (row["test_year"], row["fitted_on"], alpha, center, medians.tolist(), mean.tolist(),
                          scale.tolist(), beta.tolist())
                     )
             names = [c.strip().split(" ")[0] for c in COEFFICIENTS.split(", ")]
@@ -117,22 +90,17 @@ def _solver(features: list[str], alphas: list[float]):
     return solve
 
 
-def fit_ridge(
-    rows: DataFrame, dates: DataFrame, features: list[str], alphas: list[float], layout: Layout = WHOLE
-) -> DataFrame:
+def fit_ridge(rows: DataFrame, dates: DataFrame, features: list[str], alphas: list[float]) -> DataFrame:
     """Coefficients for every (fold, fit set, penalty). ``rows`` has ``label``."""
     if any(a < 0 for a in alphas):
         raise ValueError("penalties are not negative")
     clean = rows.select("trade_date", "symbol", finite("label").alias("label"), *[finite(f).alias(f) for f in features])
     clean = clean.where("label IS NOT NULL")
-    daily = clean.groupBy("trade_date").agg(*_moments(features))
     sets = _fit_sets(dates)
-    names = [c for c in daily.columns if c != "trade_date"]
-    sums = daily.join(F.broadcast(sets), "trade_date").groupBy("test_year", "fitted_on").agg(
-        *[F.sum(c).alias(c) for c in names]
-    )
-    medians = fold_medians(clean, sets, features, layout)
-    return sums.join(medians, ["test_year", "fitted_on"]).mapInPandas(_solver(features, alphas), COEFFICIENTS)
+    daily = section_moments(clean, features, ["label"])
+    fits = merge_moments(daily.join(F.broadcast(sets), "trade_date"), ["test_year", "fitted_on"])  # calendar x folds
+    medians = fold_medians(clean, sets, features)
+    return fits.join(medians, ["test_year", "fitted_on"]).mapInPandas(_solver(alphas), COEFFICIENTS)
 
 
 def ridge_value(features: list[str]) -> Column:

@@ -12,6 +12,7 @@ from lattica.operators.preprocess import DATE, rank_label, zscore
 from lattica.operators.sections import WHOLE, Layout
 from lattica.plans.folds import anniversary_folds, fold_dates, year_folds
 from lattica.plans.ridge import choose_alpha, fit_ridge, predict_ridge, prediction_ic
+from lattica.session import settle
 
 
 def fold_means(daily: DataFrame, dates: DataFrame, by=("factor",), value: str = "ic", fold: str = "test_year") -> DataFrame:
@@ -113,12 +114,12 @@ def model_frame(scores: DataFrame, features, label: str, minimum_valid: int, lay
 
 def ridge_walk_forward(
     rows: DataFrame, features, alphas, sessions: DataFrame, train: int, validation: int, test: int, embargo: int,
-    layout: Layout = WHOLE, fit_layout: Layout = WHOLE,
+    layout: Layout = WHOLE,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, fold table, coefficients of the refitted models)."""
     features = list(features)
     dates = fold_dates(sessions, year_folds(sessions, train, validation, test), embargo)
-    fitted = fit_ridge(rows, dates, features, [float(a) for a in alphas], fit_layout)
+    fitted = settle(fit_ridge(rows, dates, features, [float(a) for a in alphas]))  # folds x penalties, read three times
     best = choose_alpha(rows, dates, fitted, features, layout)
     refit = fitted.where("fitted_on = 'train+validation'").join(F.broadcast(best), ["test_year", "alpha"])
     scored = predict_ridge(rows, dates, refit, features, "test").select(
