@@ -13,6 +13,7 @@ from lattica.plans.panel import daily_bars, daily_panel, monthly_snapshots, symb
 from lattica.schema import BAR
 from lattica.session import scratch_path, settle
 from lattica.sources import readers, versions, writers
+from lattica.streaming import latest
 from lattica.streaming.ingest import ingest_bars
 
 DAILY_VIEW = "SELECT trade_date, symbol, round(close, 9) AS close, volume FROM daily"
@@ -350,6 +351,46 @@ def stream_ingest(spark, sf):
     )
 
 
+@query(
+    "stream_state",
+    f"""WITH {VENDOR_A}, {VENDOR_B}, u AS (SELECT trade_date, symbol, close, volume, 1 AS priority, 4 AS sequence FROM vendor_a UNION ALL SELECT trade_date, symbol, close, volume, 2, 1 FROM vendor_b
+      UNION ALL SELECT trade_date, symbol, close * 2, volume, 2, 3 FROM vendor_b WHERE volume % 3 = 0 UNION ALL SELECT trade_date, symbol, close * 3, volume, 2, 2 FROM vendor_b WHERE volume % 6 = 0)
+    SELECT trade_date, symbol, round(close, 9) AS close, volume, priority, sequence AS arrival FROM u QUALIFY row_number() OVER (PARTITION BY trade_date, symbol ORDER BY priority DESC, sequence DESC) = 1""",
+)
+def stream_state(spark, sf):
+    """Numbered files arrive out of order and again; state per symbol lets only changes through."""
+    root = scratch_path(spark, "stream")
+    names = [f.name for f in BAR]
+    b = vendor_bars(spark, sf, "B")
+    scaled = lambda every, times: b.where(F.col("volume") % every == 0).withColumn("close", F.col("close") * times)
+    writes = {4: (1, vendor_bars(spark, sf, "A")), 1: (2, b), 3: (2, scaled(3, 2)), 2: (2, scaled(6, 3))}
+    for number in (3, 4, 1, 2, 3):
+        priority, bars = writes[number]
+        rows = bars.withColumn("priority", F.lit(priority)).select(*names, F.lit(number).cast("long").alias("sequence"))
+        rows.coalesce(2).write.mode("append").parquet(f"{root}/inbox")
+    latest.keep_latest(latest.numbered_stream(spark, f"{root}/inbox", 2), f"{root}/table", f"{root}/late", f"{root}/progress", 40_000).awaitTermination()
+    return versions.read(spark, f"{root}/table").select("trade_date", "symbol", F.round("close", 9).alias("close"), "volume", "priority", F.col("arrival").cast("int").alias("arrival"))
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH {VENDOR_A}, {VENDOR_B}, newest AS (SELECT symbol, max(trade_date) AS last FROM vendor_a GROUP BY 1),
+      j AS (SELECT b.*, b.trade_date < last - 365 AS late FROM vendor_b b LEFT JOIN newest USING (symbol))
+    SELECT CASE WHEN late THEN 'late' ELSE 'kept' END AS outcome, count(*) AS rows FROM (SELECT late FROM j WHERE late
+      UNION ALL SELECT FALSE FROM (SELECT trade_date, symbol FROM vendor_a UNION SELECT trade_date, symbol FROM j WHERE NOT coalesce(late, FALSE))) GROUP BY 1""",
+)
+def stream_late_rows(spark, sf):
+    """The second vendor's rows over a year behind a symbol's newest session are set aside and counted."""
+    root = scratch_path(spark, "stream")
+    names = [f.name for f in BAR]
+    for number, vendor in enumerate("AB"):
+        rows = vendor_bars(spark, sf, vendor).withColumn("priority", F.lit(number)).select(*names, F.lit(number).cast("long").alias("sequence"))
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+        latest.keep_latest(latest.numbered_stream(spark, f"{root}/inbox"), f"{root}/table", f"{root}/late", f"{root}/progress", 365).awaitTermination()
+    count = lambda name, outcome: versions.read(spark, f"{root}/{name}").agg(F.count("*").alias("rows")).select(F.lit(outcome).alias("outcome"), "rows")
+    return count("table", "kept").unionByName(count("late", "late"))
+
+
 # --- user factors ---------------------------------------------------------------------------
 
 
