@@ -13,6 +13,7 @@ from lattica.plans.panel import daily_bars, daily_panel, monthly_snapshots, symb
 from lattica.schema import BAR
 from lattica.session import scratch_path, settle
 from lattica.sources import readers, versions, writers
+from lattica.sources.hashtree import hash_tree, tree_differences
 from lattica.streaming import latest
 from lattica.streaming.ingest import ingest_bars
 
@@ -309,6 +310,22 @@ def fingerprint(spark, sf):
     )
 
 
+@query(
+    "fingerprint_ranges",
+    with_daily(
+        """SELECT year(trade_date) AS year, substr(symbol, 1, 4) AS range, count(*) AS rows_a, count(*) FILTER (WHERE NOT (volume = 1 AND NOT is_st)) AS rows_b, TRUE AS same_after_repair
+      FROM daily GROUP BY 1, 2 HAVING bool_or(volume = 1) OR bool_or(volume = 2)"""
+    ),
+)
+def fingerprint_ranges(spark, sf):
+    """Rows of volume 1 lost or altered, those of volume 2 altered: the trees name their years and symbol ranges."""
+    bars = settle(daily_panel(spark, sf).select("trade_date", "symbol", "close", "volume", "is_st"))
+    damaged = bars.where("NOT (volume = 1 AND NOT is_st)").withColumn("close", F.when(F.col("volume") <= 2, F.col("close") + 1).otherwise(F.col("close")))
+    tree, other = settle(hash_tree(bars)), settle(hash_tree(damaged))
+    repaired = hash_tree(bars.repartition("volume")).exceptAll(tree).agg((F.count("*") == 0).alias("same_after_repair"))
+    return tree_differences(tree, other).join(repaired, F.lit(True))  # one row
+
+
 @query(
     "version_match",
     with_weekly("SELECT count(*) AS rows, 'MATCH' AS own, 'REFUSED' AS other FROM weekly"),
