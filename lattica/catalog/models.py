@@ -27,6 +27,7 @@ from lattica.operators.factors import compute_factors
 from lattica.operators.moments import merge_moments, pairwise_correlations, section_moments
 from lattica.operators.universe import UniverseRule
 from lattica.plans import ridge, walkforward
+from lattica.plans.boosting import BoostSettings, boost
 from lattica.plans.folds import fold_dates, year_folds
 from lattica.plans.panel import section_layout, table, weekly_panel
 from lattica.plans.suite import SuiteSettings, run_suite
@@ -422,3 +423,51 @@ def ridge_all_factors(spark, sf):
     slopes = [F.abs(F.sum(x * F.col("_e")) - F.col("alpha") * F.first(F.col("coefficients")[i])) for i, x in enumerate(scaled)]
     sums = used.groupBy("test_year", "fitted_on", "alpha").agg(F.count("*").alias("rows"), F.greatest(*slopes).alias("_slope"), F.first(F.size("coefficients")).alias("features"))
     return sums.select("test_year", "fitted_on", "alpha", "rows", "features", (F.col("_slope") < 1e-6 * F.col("rows")).alias("stationary"))
+
+
+# --- boosted trees ----------------------------------------------------------------------------
+
+EXPLAINED = [n for n in ALL_NAMES if "volatility" not in n and n not in ("ivol_60", "my_momentum_20", "reversal_20")]
+SMALL_BOOST = BoostSettings(max_trees=10, step=0.3, depth=3, patience=3)
+
+
+@query(
+    "histogram_boosting",
+    with_weekly(
+        ALL_VALUES
+        + folds_sql()
+        + f""", tr AS (SELECT test_year, count(*) AS test_rows FROM av JOIN folds USING (trade_date) WHERE part = 'test' AND NOT is_st AND ({" OR ".join(f"{n} IS NOT NULL" for n in EXPLAINED)}) GROUP BY 1)
+      SELECT test_year, test_rows, TRUE AS learned, TRUE AS kept, 1.0::DOUBLE AS importance FROM tr"""
+    ),
+)
+def histogram_boosting(spark, sf):
+    """The rank of volatility from the other factors, all folds at once: the validation error falls below the mean's."""
+    scores = all_factors(spark, sf).withColumn("in_universe", ~F.col("is_st"))
+    rows = settle(walkforward.model_frame(scores, EXPLAINED, "volatility_20", 1, section_layout(spark, sf)))
+    sessions = settle(sessions_of(weekly_panel(spark, sf)))
+    scored, report, gains = boost(rows, EXPLAINED, fold_dates(sessions, year_folds(sessions, 2, 1, 1), EMBARGO), SMALL_BOOST)
+    tests = scored.groupBy("test_year").agg(F.count("prediction").alias("test_rows"))
+    whole = gains.groupBy("test_year").agg(F.round(F.sum("importance"), 6).alias("importance"))
+    flags = report.select("test_year", (F.col("best_error") < F.col("mean_error")).alias("learned"), (F.col("trees_kept") > 0).alias("kept"))
+    return tests.join(flags, "test_year").join(whole, "test_year")
+
+
+@query(
+    "model_comparison",
+    with_weekly(
+        WALK
+        + ic_sql("tic", "tp", "test_year, trade_date", "prediction", "label", 5)
+        + ic_sql("eic", "tp", "test_year, trade_date", "equal_weight", "label", 5)
+        + """ SELECT r.test_year, round((SELECT avg(ic) FROM tic WHERE tic.test_year = r.test_year), 6) AS ridge_test_ic, round((SELECT avg(ic) FROM eic WHERE eic.test_year = r.test_year), 6) AS equal_weight_test_ic,
+      TRUE AS boosted_bounded, (SELECT count(*) FROM tp WHERE tp.test_year = r.test_year) AS test_rows, 4::BIGINT AS importances FROM refit r"""
+    ),
+)
+def model_comparison(spark, sf):
+    """Ridge, boosted and equal-weight predictions of the same rows; ``boosted_bounded``: its rank IC is known and in [-1, 1], or no tree was kept."""
+    sessions = settle(sessions_of(weekly_panel(spark, sf)))
+    both, folds, importance = walkforward.model_comparison(model_rows(spark, sf), FEATURES, ALPHAS, sessions, 2, 1, 1, EMBARGO, section_layout(spark, sf), SMALL_BOOST)
+    tests = both.where("boosted_prediction IS NOT NULL").groupBy("test_year").agg(F.count("*").alias("_rows"))
+    listed = importance.groupBy("test_year").agg(F.count("*").alias("importances"))
+    bounded = F.coalesce(F.abs("boosted_test_ic") <= 1, F.col("trees_kept") == 0)
+    out = folds.select("test_year", "ridge_test_ic", "equal_weight_test_ic", bounded.alias("boosted_bounded"))
+    return rounded(out.join(tests, "test_year").join(listed, "test_year").withColumnRenamed("_rows", "test_rows"), ["ridge_test_ic", "equal_weight_test_ic"])

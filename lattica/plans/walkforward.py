@@ -11,6 +11,7 @@ from lattica.operators.diagnostics import information_coefficient, melt_factors
 from lattica.operators.preprocess import DATE, rank_label, zscore
 from lattica.operators.sections import WHOLE, Layout
 from lattica.plans.folds import anniversary_folds, fold_dates, year_folds
+from lattica.plans.boosting import BoostSettings, boost
 from lattica.plans.ridge import choose_alpha, fit_ridge, predict_ridge, prediction_ic
 from lattica.session import settle
 
@@ -145,6 +146,24 @@ def ridge_walk_forward(
     return scored, folds, importance
 
 
+def model_comparison(
+    rows: DataFrame, features, alphas, sessions: DataFrame, train: int, validation: int, test: int, embargo: int,
+    layout: Layout = WHOLE, settings: BoostSettings | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ridge, boosted trees and the equal-weight score on the same folds: (predictions, fold table, importances)."""
+    features = list(features)
+    scored, folds, importance = ridge_walk_forward(rows, features, alphas, sessions, train, validation, test, embargo, layout)
+    dates = fold_dates(sessions, year_folds(sessions, train, validation, test), embargo)
+    boosted, report, gains = boost(rows, features, dates, settings)
+    keys = ["test_year", "trade_date", "symbol"]
+    boosted = settle(boosted.select(*keys, "label", F.col("prediction").alias("boosted_prediction")))
+    ic = prediction_ic(boosted, "boosted_prediction", by=("test_year", "trade_date"), layout=layout)
+    folds = folds.join(ic.groupBy("test_year").agg(F.avg("ic").alias("boosted_test_ic")), "test_year", "left")
+    folds = folds.join(report.select("test_year", "trees_kept"), "test_year", "left")
+    both = scored.join(boosted.drop("label"), keys)
+    return both, folds, importance.unionByName(gains)
+
+
 def importance_stability(importance: DataFrame) -> DataFrame:
     """Normalised importance per feature over folds: mean, spread, sign share."""
     total = F.sum(F.abs("importance")).over(W.partitionBy("test_year", "model"))  # one row per feature
