@@ -476,6 +476,31 @@ def cost_drag(spark, sf):
     return rounded(performance.cost_drag(net, gross).select("run_id", "annual_return", "cost_drag"), ["annual_return", "cost_drag"])
 
 
+@query(
+    "benchmark_excess",
+    sig_sql(
+        RETURNS
+        + f""", a AS (SELECT pow(1 + total, 52.0 / (n - 1)) - 1 AS net FROM {metrics_sql('equity')}), b AS (SELECT pow(1 + total, 52.0 / (n - 1)) - 1 AS gross FROM {metrics_sql('gross_equity')}),
+      s2 AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS idx FROM ses),
+      bb AS (SELECT c.trade_date, c.adj_close / lag(c.adj_close) OVER w - 1 AS x, lag(NOT k.is_st) OVER w AS was, idx - lag(idx) OVER w AS step
+        FROM calm c JOIN weekly k ON k.trade_date = c.trade_date AND k.symbol = c.symbol JOIN s2 ON s2.trade_date = c.trade_date WINDOW w AS (PARTITION BY c.symbol ORDER BY c.trade_date)),
+      bd AS (SELECT trade_date, avg(x) AS x FROM bb WHERE was AND step = 1 GROUP BY 1),
+      be AS (SELECT s2.trade_date, exp(sum(ln(1 + coalesce(x, 0))) OVER (ORDER BY s2.trade_date)) AS e FROM s2 LEFT JOIN bd ON bd.trade_date = s2.trade_date),
+      bm AS (SELECT pow(arg_max(e, trade_date) / arg_min(e, trade_date), 52.0 / (count(*) - 1)) - 1 AS bench FROM be)
+      SELECT 'top10' AS run_id, round(net, 6) AS annual_return, round(gross - net, 6) AS cost_drag, round(net - bench, 6) AS annual_excess_return FROM a, b, bm"""
+    ),
+)
+def benchmark_excess(spark, sf):
+    """The top-ten run against the equal-weight return of the names that were eligible the session before."""
+    returns = settle(run_returns(spark, sf).withColumn("run_id", F.lit("top10")))
+    by = ("run_id",)
+    net = performance.performance_metrics(performance.nav(returns, by=by), 52, by)
+    gross = performance.performance_metrics(performance.nav(returns, by=by, value="gross_return"), 52, by)
+    panel = weekly_panel(spark, sf).withColumns({"in_universe": ~F.col("is_st"), "adj_close": F.pow(F.col("adj_close"), F.lit(0.05))})
+    benchmark = performance.performance_metrics(performance.equal_weight_benchmark(panel, 1000.0), 52)
+    return rounded(performance.cost_drag(net, gross, benchmark), ["annual_return", "cost_drag", "annual_excess_return"])
+
+
 @query(
     "annual_returns",
     sig_sql(
