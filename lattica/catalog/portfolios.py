@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from lattica.catalog.base import query, symbol_sql, with_daily, with_weekly
 from lattica.catalog.research import (
+    DECAY_LABELS,
     SIGNED,
+    SUMMARY,
     composite,
     ic_sql,
     process_sql,
+    quantile_sql,
     rounded,
     sig_sql,
     signals,
@@ -790,3 +793,101 @@ def holdings_grid(spark, sf):
 def momentum_study(spark, sf):
     out = studies.momentum_study(weekly_panel(spark, sf), layout=section_layout(spark, sf))
     return rounded(out.ic, ["ic"])
+
+
+
+STUDY = """, m AS (SELECT *, NOT is_st AND NOT is_suspended AND row_number() OVER w >= 120 AS in_u, lag(adj_close, 5) OVER w / lag(adj_close, 60) OVER w - 1 AS mom,
+        lead(adj_close, 5) OVER w / adj_close - 1 AS fwd FROM weekly WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+      mu AS (SELECT * REPLACE (CASE WHEN in_u THEN mom END AS mom) FROM m)""" + process_sql("mu", "mom", "trade_date", True)
+
+
+def study(spark, sf):
+    return studies.momentum_study(settle(weekly_panel(spark, sf)), layout=section_layout(spark, sf))
+
+
+@query(
+    "momentum_study_summary",
+    with_weekly(
+        STUDY
+        + ic_sql("ic", "processed", "trade_date", "factor_processed", "fwd")
+        + f" SELECT round(mean_ic, 6) AS mean_ic, round(ic_std, 6) AS ic_std, round(mean_ic / ic_std * sqrt(252.0 / 5), 6) AS icir, round(win_rate, 6) AS win_rate, observations FROM (SELECT {SUMMARY} FROM ic)"
+    ),
+)
+def momentum_study_summary(spark, sf):
+    return rounded(study(spark, sf).summary, ["mean_ic", "ic_std", "icir", "win_rate"])
+
+
+@query(
+    "momentum_study_decay",
+    with_weekly(
+        STUDY
+        + f""", dl AS (SELECT trade_date, symbol, factor_processed, {DECAY_LABELS} FROM processed WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+      dlong AS (SELECT trade_date, factor_processed, unnest([1, 5, 10, 20]) AS horizon, unnest([h1, h5, h10, h20]) AS fut FROM dl)"""
+        + ic_sql("ic", "dlong", "horizon, trade_date", "factor_processed", "fut")
+        + f""" SELECT horizon, round(mean_ic, 6) AS mean_ic, round(ic_std, 6) AS ic_std, round(win_rate, 6) AS win_rate, observations,
+      round(mean_ic / ic_std * sqrt(252.0 / horizon), 6) AS icir FROM (SELECT horizon, {SUMMARY} FROM ic GROUP BY horizon)"""
+    ),
+)
+def momentum_study_decay(spark, sf):
+    return rounded(study(spark, sf).decay, ["mean_ic", "ic_std", "win_rate", "icir"])
+
+
+@query(
+    "momentum_study_quantiles",
+    with_weekly(
+        STUDY
+        + quantile_sql("processed", "trade_date", "factor_processed", "fwd")
+        + " SELECT trade_date, quantile, round(mean_return, 6) AS mean_return, assigned_count, observed_count, round(observed_count / assigned_count, 6) AS label_coverage FROM q"
+    ),
+)
+def momentum_study_quantiles(spark, sf):
+    return rounded(study(spark, sf).quantiles, ["mean_return", "label_coverage"])
+
+
+@query(
+    "momentum_study_persistence",
+    with_weekly(
+        STUDY
+        + """, a1 AS (SELECT trade_date, symbol, CASE WHEN factor_processed IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY factor_processed NULLS LAST)
+        + (count(factor_processed) OVER (PARTITION BY trade_date, factor_processed) - 1) / 2.0) / count(factor_processed) OVER (PARTITION BY trade_date) END AS rk FROM processed),
+      a2 AS (SELECT *, lag(rk) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM a1)
+      SELECT trade_date, round(CASE WHEN count(rk + before) >= 10 THEN corr(rk, before) END, 6) AS rank_autocorrelation FROM a2 GROUP BY trade_date"""
+    ),
+)
+def momentum_study_persistence(spark, sf):
+    return rounded(study(spark, sf).persistence, ["rank_autocorrelation"])
+
+
+@query(
+    "momentum_study_turnover",
+    with_weekly(
+        STUDY
+        + """, t1 AS (SELECT trade_date, symbol, row_number() OVER (PARTITION BY trade_date ORDER BY factor_processed DESC, symbol) AS pos, count(*) OVER (PARTITION BY trade_date) AS n FROM processed WHERE factor_processed IS NOT NULL),
+      t2 AS (SELECT trade_date, symbol, dense_rank() OVER (ORDER BY trade_date) AS step FROM t1 WHERE pos <= greatest(1, ceil(n * 0.2))),
+      sizes AS (SELECT step, count(*) AS n FROM t2 GROUP BY step)
+      SELECT c.trade_date, round(1 - count(p.symbol) / max(s.n)::DOUBLE, 6) AS top_group_turnover FROM t2 c JOIN sizes s ON s.step = c.step - 1
+        LEFT JOIN t2 p ON p.symbol = c.symbol AND p.step = c.step - 1 GROUP BY c.trade_date"""
+    ),
+)
+def momentum_study_turnover(spark, sf):
+    return rounded(study(spark, sf).turnover, ["top_group_turnover"])
+
+
+@query(
+    "momentum_study_weights",
+    with_weekly(
+        STUDY
+        + """, tw AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY factor_processed DESC, symbol) AS rk FROM processed WHERE factor_processed IS NOT NULL)
+      SELECT trade_date, symbol, round(least(1.0 / count(*) OVER (PARTITION BY trade_date), 0.05), 6) AS target_weight, round(factor_processed, 6) AS factor_processed FROM tw WHERE rk <= 20"""
+    ),
+)
+def momentum_study_weights(spark, sf):
+    return rounded(study(spark, sf).weights, ["target_weight", "factor_processed"])
+
+
+@query(
+    "momentum_study_size",
+    with_weekly(STUDY + ", n AS (SELECT count(*) FILTER (WHERE in_u) AS n FROM m GROUP BY trade_date) SELECT median(n) AS median_universe, CAST(least(20, floor(median(n))) AS INTEGER) AS effective_top_n FROM n"),
+)
+def momentum_study_size(spark, sf):
+    return study(spark, sf).size
