@@ -32,13 +32,15 @@ def test_stages_follow_their_contracts(spark):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
 def test_queries_run_over_whole_tables(spark):
-    n = {t: spark.read.parquet(f"{SMALL}/{t}.parquet").count() for t in ("documents", "pages")}
+    count = {t: spark.read.parquet(f"{SMALL}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, make in LLM_QUERIES.items():
         df = make(spark, SMALL)
-        got = df.select("page_id" if "page_id" in df.columns else "doc_id").distinct().count()
-        assert got == n["pages" if "page_id" in df.columns else "documents"], name
+        if df.columns[0] not in ("doc_id", "page_id"):
+            continue  # op11 and op13 return ranked lists; SQL over the whole tables holds them
+        got = df.select(df.columns[0]).distinct().count()
+        assert got == count["pages" if df.columns[0] == "page_id" else "documents"], name
