@@ -8,9 +8,11 @@ cost more than the longer prefix; a pair needs the smaller k of the two in commo
 
 Equal sets are one class with one representative. Candidates are first taken only between a
 shingle's documents and its leaders, verified and contracted to components; after that only
-shingles whose documents are still in different components are joined pair by pair, and only
-pairs that can still reach the similarity by what their prefixes show come out of that join.
-So a group of near copies costs its links to a few leaders, not the square of its size, while
+shingles whose documents are still in different components are joined pair by pair. A pair comes
+out of that join where no shingle just before is shared too, so about once however much the two
+have in common, and only if it can still reach the similarity by what their prefixes show.
+Parity sketches, which bound from below how many shingles only one of two sets holds, then rule
+out most pairs that just miss the similarity, so that few whole sets are sent. So a group of near copies costs its links to a few leaders, not the square of its size, while
 no link between different components is lost. Links are verified on whole shingle sets.
 """
 
@@ -30,7 +32,7 @@ from lattica.llm.textkit import LOWER, NOT_SPACE, blocks, mixed, packed, shingle
 
 SKETCH_BITS, SKETCH_SLICES = 19, 64
 MOST_MATCHES = 8
-MANY_HOLDERS = 64
+PREDECESSORS = 4
 FILTER_BITS = 23
 MARKS = ("mark_0", "mark_1", "mark_2", "mark_3")
 
@@ -117,12 +119,31 @@ def prefix_marks(prefix: np.ndarray) -> np.ndarray:
     return marks.view(np.int64)
 
 
+def parity_sketch(found: np.ndarray) -> bytes:
+    """Which of 2**b classes, at least twice as many as shingles, hold an odd number of the set's shingles.
+
+    Two sketches differ in at most as many bits as there are shingles that only one set holds.
+    """
+    bits = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    at = (found & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_apart(one: np.ndarray, two: np.ndarray) -> int:
+    """Bits in which two parity sketches differ, the longer folded onto the length of the shorter."""
+    if len(one) < len(two):
+        one, two = two, one
+    if len(one) > len(two):
+        one = np.bitwise_xor.reduce(one.reshape(-1, len(two)), axis=0)
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 #: The two halves of a set's 128-bit fingerprint.
 fingerprint = (lambda found: int(found.sum().astype(np.int64)), lambda found: int(mixed(found).sum().astype(np.int64)))
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2 (a 128-bit fingerprint of the set), need, prefix and its 256 marks; written to the shared folder."""
+    """doc_id, n, k1, k2 (a 128-bit fingerprint of the set), need, prefix and its 256 marks, parity sketch; written to the shared folder."""
     sketch = shingle_sketch(docs, width)
     load = np.median(sketch)
     extra = np.maximum(sketch.astype(float) - load - 4 * np.sqrt(load + 1), 0).astype(np.float32)
@@ -132,20 +153,20 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, extra = sent.value
         for batch in batches:
-            rows = {"n": [], "k1": [], "k2": [], "need": [], "prefix": [], "marks": []}
+            rows = {"n": [], "k1": [], "k2": [], "need": [], "prefix": [], "marks": [], "parity": []}
             for _, found in shingle_sets(batch.column("text"), width):
                 at = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 prefix, need = chosen_prefix(found, levels[at], extra[at], percent) if len(found) else (np.zeros(0, np.int64), 0)
-                values = (len(found), *(f(found) for f in fingerprint), need, prefix, prefix_marks(prefix))
+                values = (len(found), *(f(found) for f in fingerprint), need, prefix, prefix_marks(prefix), parity_sketch(found))
                 for name, value in zip(rows, values, strict=True):
                     rows[name].append(value)
             arrays = [pa.array(rows["n"], pa.int64()), pa.array(rows["k1"], pa.int64()), pa.array(rows["k2"], pa.int64()), pa.array(rows["need"], pa.int32())]
             marks = np.array(rows["marks"], np.int64).reshape(-1, len(MARKS))
-            arrays += [pa.array(rows["prefix"], pa.list_(pa.int64())), *(pa.array(marks[:, k]) for k in range(len(MARKS)))]
-            names = ["doc_id", "n", "k1", "k2", "need", "prefix", *MARKS]
+            arrays += [pa.array(rows["prefix"], pa.list_(pa.int64())), *(pa.array(marks[:, k]) for k in range(len(MARKS))), pa.array(rows["parity"], pa.binary())]
+            names = ["doc_id", "n", "k1", "k2", "need", "prefix", *MARKS, "parity"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names)
 
-    schema = "doc_id long, n long, k1 long, k2 long, need int, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS)
+    schema = "doc_id long, n long, k1 long, k2 long, need int, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS) + ", parity binary"
     return staged(docs.select("doc_id", "text").mapInArrow(sign, schema), "signatures")
 
 
@@ -180,14 +201,21 @@ def _marked_common(side: str, other: str, percent: int) -> Column:
     return n - _unseen(n, need, percent) - own
 
 
-def _can_reach(percent: int) -> Column:
-    """The same from whole prefixes, up to where the shorter one ends."""
-    p, q, n, m = F.col("prefix_a"), F.col("prefix_b"), F.col("n_a"), F.col("n_b")
-    end = F.least(F.element_at(p, -1), F.element_at(q, -1))
-    left_p = n - F.size(F.filter(p, lambda t: t <= end))
-    left_q = m - F.size(F.filter(q, lambda t: t <= end))
-    shared = F.size(F.array_intersect(p, q))
-    return (shared >= F.least("need_a", "need_b")) & (shared + F.least(left_p, left_q) >= _overlap_needed(n, m, percent))
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their parity sketches, a thirty-second of the sets' size, do not rule out."""
+    joined = pairs
+    for side in ("a", "b"):
+        joined = joined.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"s_{side}")), side)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c) for c in ("s_a", "s_b"))
+            apart = [least_apart(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(*sides, strict=True)]
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            common = (total - np.array(apart, np.int64)) // 2
+            yield batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * (total - common)))
+
+    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,6 +224,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     A class is read from the text of its document that has its fingerprint. Texts of candidates are found by a bit filter of fixed size and an exact join, so texts
     of other documents are not shuffled.
     """
+    pairs = staged(_alike(pairs, classes, percent), "alike")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = staged(classes.select("rep", "k1", "k2", "n", F.col("least").alias("id")).join(wanted, "rep", "left_semi"), "wanted")
     ids = wanted.select("id").distinct()
@@ -258,24 +287,23 @@ def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def _crossing_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share prefix shingles and can reach the similarity.
 
-    Shingles of few documents are joined by themselves and counted per pair, after marks of
-    the prefixes have ruled out most pairs. Those of many carry the prefixes into the join, which lets a pair out once and only if the
-    prefixes allow it. A pair with both kinds in common is judged by the second.
+    What two of them share is contested, so the least of it is in the contested part of both
+    prefixes and has no shared shingle before it: there the pair comes out. Each row carries its
+    last few contested shingles, and a pair that shares one of those came out before. At the
+    least shared shingle both sets must still have the whole overlap before them.
     """
-    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
-    many = contested.where(F.col("holders") > MANY_HOLDERS)
-    own = staged(many.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("hot")), "hot")  # part of a prefix each
-    held = contested.groupBy("rep").agg(F.count(F.lit(1)).alias("n_held"), F.count_if(F.col("holders") > MANY_HOLDERS).alias("n_hot"))
-    few = contested.where(F.col("holders") <= MANY_HOLDERS).join(held.join(classes.select("rep", *MARKS), "rep"), "rep")
-    a, b = _sides(few.select("token", "rep", "component", "n", "need", "n_hot", "n_held", *MARKS))
+    held = contested.groupBy("rep", "component", "n", "need").agg(F.sort_array(F.collect_list("token")).alias("held"))  # part of a prefix
+    held = held.join(classes.select("rep", *MARKS), "rep").withColumn("n_held", F.size("held"))
+    rows = held.select("rep", "component", "n", "need", "n_held", *MARKS, "held", F.posexplode("held").alias("at", "token"))
+    before = F.slice("held", F.greatest(F.col("at") - PREDECESSORS, F.lit(0)) + 1, F.least("at", F.lit(PREDECESSORS)))
+    a, b = _sides(rows.withColumn("before", before).drop("held"))
+    n, m = F.col("n_a"), F.col("n_b")
+    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(n, m, percent)
+    ahead = F.least(n - F.col("at_a"), m - F.col("at_b")) >= _overlap_needed(n, m, percent)
     # no pair has more in common than one of its sides holds, or than their marks allow
     possible = _enough(F.least("n_held_a", "n_held_b", _marked_common("a", "b", percent), _marked_common("b", "a", percent)), percent)
-    light = a.join(b, "token").where(apart & possible).groupBy("rep_a", "rep_b", "n_a", "n_b", "need_a", "need_b")
-    light = light.agg((F.count(F.lit(1)) + F.first(F.least("n_hot_a", "n_hot_b"))).alias("_common")).where(_enough(F.col("_common"), percent))
-    a, b = _sides(many.select("token", "rep", "component", "n", "need").join(own, "rep").join(classes.select("rep", "prefix"), "rep"))
-    once = F.array_min(F.array_intersect("hot_a", "hot_b")) == a["token"]
-    heavy = a.join(b, (a["token"] == b["token"]) & apart & once & _can_reach(percent))
-    return light.select("rep_a", "rep_b").unionByName(heavy.select("rep_a", "rep_b")).distinct().toDF("a", "b")
+    first = ~F.arrays_overlap("before_a", "before_b")
+    return a.join(b, "token").where(apart & ahead & possible & first).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def _named(classes: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,13 +335,13 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
     """(signatures, classes, components of class representatives that have links)."""
     signed = signatures(docs, width, percent)
     usable = signed.where("n > 0 and doc_id is not null")
-    grouped = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "need", "prefix", *MARKS)).alias("_first"))
-    parts = (f"_first.{c}" for c in ("need", "prefix", *MARKS))
+    grouped = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "need", "prefix", *MARKS, "parity")).alias("_first"))
+    parts = (f"_first.{c}" for c in ("need", "prefix", *MARKS, "parity"))
     classes = staged(grouped.select("k1", "k2", "n", F.col("_first.doc_id").alias("least"), *parts), "classes")
     classes, same = _named(classes, usable)
     tokens = classes.select("rep", "n", "need", F.explode("prefix").alias("token"))
     leaders = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("rep").alias("one"), F.max("rep").alias("two"))
-    shared = staged(tokens.join(leaders.where("holders > 1"), "token"), "shared")
+    shared = staged(tokens.join(leaders.where("holders > 1").drop("holders"), "token"), "shared")
 
     near = staged(_star_pairs(shared, classes, percent), "near")
     links = staged(_verified(near, classes, docs, width, percent), "links")
