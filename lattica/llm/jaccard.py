@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.tables import ranked, staged
+from lattica.llm.tables import last_stays, ranked, staged
 from lattica.llm.textkit import LOWER, NOT_SPACE, blocks, mixed, packed, shingle_hashes, span_hashes, spans
 
 SKETCH_BITS, SKETCH_SLICES = 19, 64
@@ -361,8 +361,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets;
     component_id is the smallest id reachable. Null or wordless texts have empty sets and link
     with nothing. Rows that share an id are one node. Rows with a null id link with nothing
-    and have a null component. Empty tables give empty results.
+    and have a null component. Empty tables give empty results. The result is a written table;
+    what was written on the way is deleted.
     """
+    with last_stays(docs.sparkSession):
+        return staged(_grouped(docs, width, percent), "groups")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed, classes, found = linked_classes(docs, width, percent)
     names = classes.select("k1", "k2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     names = names.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.session import scratch_path
 
+_PATHS: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, read many times."""
     path = scratch_path(df.sparkSession, name)
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def last_stays(spark: SparkSession) -> Iterator[None]:
+    """Of the tables staged inside by this thread, all but the last are deleted at the end.
+
+    For work whose last table is its whole result. The collection asked for then lets Spark
+    remove the shuffle files of the plans that are gone too.
+    """
+    paths: list[str] = []
+    token = _PATHS.set(paths)
+    try:
+        yield
+    finally:
+        _PATHS.reset(token)
+        context = spark.sparkContext
+        for name in paths[:-1]:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        context._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

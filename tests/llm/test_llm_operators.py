@@ -461,6 +461,18 @@ def test_groups_match_brute_force(spark, docs, nothing, monkeypatch, carried):
         assert {r.doc_id for r in kept.collect()} - {None} == groups
 
 
+def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
+    from lattica.llm.tables import last_stays, staged
+
+    monkeypatch.setattr("lattica.session.shared_dir", lambda spark: str(tmp_path))
+    with last_stays(spark):
+        once = staged(spark.range(5), "once")
+        result = staged(once.selectExpr("id + 1 as id"), "result")
+    outside = staged(spark.range(2), "outside")
+    assert [p.name.split("-")[0] for p in sorted(tmp_path.iterdir())] == ["outside", "result"]
+    assert result.count() == 5 and outside.count() == 2
+
+
 def test_parity_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(31)
     for n in (1, 2, 31, 32, 33, 500, 3000):
