@@ -4,7 +4,13 @@ A page is cut into blocks. The first pass judges each block by itself: link dens
 and stop-word density, and whether it stands in an element that never holds the article. It
 leaves short and wordy-but-untypical blocks undecided. The second pass gives each undecided
 block the label of its nearest decided neighbours in the same section of the page; a section
-without any decided block is the article if it is marked as one.
+without any decided block is the article if it is marked as one. A page without an article
+element whose words are hardly ever stop words is in a language without a list: there length and
+link density decide. East Asian characters count two to a word, as they stand without spaces.
+
+Names of classes and ids mark whole parts of a page. On a heading or paragraph inside an article
+only a name that is such a word by itself counts (``ad``, not ``share-price``), on a heading no id
+does, and names that tell of a layout (``with-sidebar``, ``menu-open``) count nowhere.
 
 Each page is judged alone in its task; nothing is shuffled.
 """
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_LINK_DENSITY = 0.5
-SHORT_WORDS, LONG_WORDS, STOP_DENSITY = 8, 25, 0.2
+SHORT_WORDS, LONG_WORDS, STOP_DENSITY, RARE_STOPS = 8, 25, 0.2, 0.05
 
 #: HTML element names, the words by which pages name their parts, common words.
 BLOCK_TAGS = frozenset(
@@ -28,7 +34,7 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title template noscript iframe svg math object noembed noframes".split())
+RAW_TAGS = frozenset("script style textarea title template noscript iframe noembed noframes desc metadata annotation annotation-xml".split())
 NEVER_TAGS = frozenset("nav footer aside form dialog menu button select head".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NEVER_NAMES = frozenset(
@@ -37,6 +43,8 @@ NEVER_NAMES = frozenset(
     "signup login paywall comment comments disqus replies respondents share sharing social related recommended widget widgets toolbar "
     "copyright pagination pager skip".split()
 )
+LAYOUT_STARTS = frozenset("no not with without has is".split())
+LAYOUT_ENDS = frozenset("open opened closed active enabled disabled visible hidden collapsed expanded".split())
 HEADER_NAMES = frozenset(["header", "topbar"])
 COMMENT_NAMES = frozenset(["comment", "comments", "disqus", "replies", "reply"])
 STOP_WORDS = frozenset(
@@ -56,6 +64,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
+_EAST_ASIAN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -78,11 +88,19 @@ class _Open:
     section: int
 
 
-def _names(attributes: str) -> tuple[set[str], set[str]]:
+def _names(attributes: str, whole: bool, ids: bool) -> tuple[set[str], set[str]]:
+    """The words of classes, ids and roles; with ``whole`` only names of one word, without ``ids`` no ids."""
     names, roles = set(), set()
     for kind, value in _NAMES.findall(attributes):
-        found = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-        (roles if kind.lower() == "role" else names).update(found)
+        kind = kind.lower()
+        if kind == "id" and not ids:
+            continue
+        for name in value.strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            if kind == "role":
+                roles.update(words)
+            elif words and not (len(words) > 1 and (whole or words[0] in LAYOUT_STARTS or words[-1] in LAYOUT_ENDS)):
+                names.update(words)
     return names, roles
 
 
@@ -147,7 +165,8 @@ def page_blocks(page: str) -> list[Block]:
         if not block and not attributes and tag not in NEVER_TAGS:
             continue
         top = stack[-1]
-        names, roles = _names(attributes) if attributes else (set(), set())
+        in_text = top.article and tag in _TEXT_TAGS
+        names, roles = _names(attributes, in_text, not (in_text and tag != "p")) if attributes else (set(), set())
         comment = top.comment or bool(names & COMMENT_NAMES)
         if tag in ("html", "body"):
             never, article = False, False
@@ -170,20 +189,40 @@ def page_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def judge(block: Block, text: str) -> bool | None:
+def _words(text: str) -> tuple[list[str], int]:
+    """The lower-case words of a block and its length in words."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    return words, len(words) if text.isascii() else len(words) + len(_EAST_ASIAN.findall(text)) // 2
+
+
+def judge(block: Block, text: str, listed_language: bool = True) -> bool | None:
     """First pass: article text, not article text, or undecided."""
     if block.never:
         return False
     letters = len("".join(text.split()))
-    words = [w.lower() for w in _WORD.findall(text)]
+    words, length = _words(text)
     if letters and block.linked / letters > MAX_LINK_DENSITY:
         return None if block.article and not block.listed else False
-    if block.heading or len(words) < SHORT_WORDS:
+    if block.heading or length < SHORT_WORDS:
         return None
-    density = sum(w in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_DENSITY or block.article and len(words) >= LONG_WORDS:
+    stops = sum(w in STOP_WORDS for w in words)
+    if stops >= STOP_DENSITY * length or length >= LONG_WORDS and (block.article or not listed_language):
         return True
-    return None if block.article or len(words) < LONG_WORDS else False
+    return None if block.article or length < LONG_WORDS else False
+
+
+def _in_listed_language(blocks: list[tuple[Block, str]]) -> bool:
+    """Does the page mark its article, or are its words stop words often enough for the lists to judge it?"""
+    stops = total = 0
+    for block, text in blocks:
+        if block.never:
+            continue
+        if block.article:
+            return True
+        words, length = _words(text)
+        stops += sum(w in STOP_WORDS for w in words)
+        total += length
+    return stops >= RARE_STOPS * total
 
 
 def main_text(page: str | None) -> str:
@@ -191,7 +230,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = [(b, t) for b in page_blocks(page) if (t := " ".join("".join(b.text).split()))]
-    labels = [judge(b, t) for b, t in blocks]
+    listed = _in_listed_language(blocks)
+    labels = [judge(b, t, listed) for b, t in blocks]
     return "\n".join(t for (_, t), keep in zip(blocks, _settled([b for b, _ in blocks], labels), strict=True) if keep)
 
 

@@ -529,6 +529,33 @@ def test_article_is_kept_and_the_rest_goes(spark):
     assert htmltext.extract_pages(pages.limit(0)).count() == 0
 
 
+RUSSIAN = "Вчера вечером жители города собрались на площади, чтобы послушать музыку и посмотреть на новый фонтан, который строили почти два года и наконец открыли для всех желающих гостей."
+CHINESE = "昨天晚上城里的居民聚集在广场上听音乐并观看花了将近两年时间才建成的新喷泉终于向所有的游客开放大家都觉得非常高兴孩子们在水边玩耍到很晚才回家"
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE])
+def test_languages_without_stop_words_go_by_length_and_links(text):
+    links = "<ul>" + f"<li><a href=x>{text}</a></li>" * 3 + "</ul>"
+    page = f"<body>{links}<div class='content'><p>{text}</p><p>{text[:12]}</p><p>{text}</p></div><div class='sidebar'><p>{text}</p></div>"
+    assert htmltext.main_text(page) == f"{text}\n{text[:12]}\n{text}"
+    assert htmltext.main_text(f"<nav>{text}</nav><article><p>{text}</p></article>") == text
+
+
+def test_names_inside_an_article_and_of_layouts():
+    body = "<h2 id='related-work'>Related work</h2><p class='share-price'>The share price of it was up.</p><p class='ad'>Buy this now.</p><div class='share-bar'><p>Share it</p></div>"
+    assert htmltext.main_text(f"<article>{body}</article>") == "Related work\nThe share price of it was up."
+    good = "<p>The cat sat on the mat and it was happy to be there with the dog and with the fish for a long time in the house.</p>"
+    for name in ("content with-sidebar", "no-sidebar", "menu-open", "has-cookie-notice"):
+        assert htmltext.main_text(f"<body><div class='{name}'>{good}</div>").startswith("The cat")
+    for name in ("sidebar", "site-footer", "cookie-notice with-sidebar", "adSlot"):
+        assert htmltext.main_text(f"<body><div class='{name}'>{good}</div>") == ""
+
+
+def test_formulas_and_drawings_in_an_article_are_text():
+    page = "<article><p>Let <math><mi>x</mi><annotation>x</annotation></math> be <object data=o>some</object> number.<svg><title>Icon</title><text>Axis</text></svg></p></article>"
+    assert htmltext.main_text(page) == "Let x be some number.Axis"
+
+
 def test_blocks_without_an_article_are_judged_by_words():
     good = "<p>The cat sat on the mat and it was happy to be there with the dog and with the fish for a long time in the house.</p>"
     links = "<div>" + "<a href=x>one two</a> " * 9 + "</div>"
