@@ -179,13 +179,22 @@ def audit_panel(
     if dual_prices and not dual_missing:
         counts.append(F.max(((F.col("adj_open") <= 0) | (F.col("adj_close") <= 0)).cast("int")).alias("bad_adjusted"))
     wide = work.agg(*counts)
-    wide = wide.join(
-        duplicate_keys(df, KEYS).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicates")), F.lit(True)
+    # Everything counted per key or per date comes from one grouping of the panel.
+    keyed = df.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.sum(member.cast("long")).alias("members"))
+    named = (F.col("members") > 0) & F.col("symbol").isNotNull()
+    daily = keyed.groupBy("trade_date").agg(
+        F.sum(F.col("rows") - 1).alias("repeated"),
+        F.sum("members").alias("n"),
+        F.count_if(named).alias("symbols"),
     )
-    latest_date = df.agg(F.max("trade_date").alias("trade_date"))
-    latest = df.join(latest_date, "trade_date", "left_semi")
     wide = wide.join(
-        latest.where(member).agg(F.countDistinct("symbol").alias("latest_symbols")), F.lit(True)
+        daily.agg(
+            F.coalesce(F.sum("repeated"), F.lit(0)).alias("duplicates"),
+            F.coalesce(F.max_by("symbols", "trade_date"), F.lit(0)).alias("latest_symbols"),
+            F.median(F.when(F.col("n") > 0, F.col("n"))).alias("member_median"),
+            F.count_if(F.col("n") == 0).alias("empty_dates"),
+        ),
+        F.lit(True),
     )
 
     issues: list[tuple[str, str, Column]] = [
@@ -210,18 +219,13 @@ def audit_panel(
         short = F.when(cover < required_coverage, F.floor((1 - cover) * F.col("rows"))).otherwise(F.lit(0))
         issues.append(("ERROR", f"LOW_{name.upper()}", short))
     if "in_index" in have:
-        members = df.groupBy("trade_date").agg(F.sum(member.cast("long")).alias("n"))
-        health = members.agg(
-            F.median(F.when(F.col("n") > 0, F.col("n"))).alias("member_median"),
-            F.count_if(F.col("n") == 0).alias("empty_dates"),
-        )
-        wide = wide.join(health, F.lit(True))
         thin = F.coalesce(F.col("member_median") < MINIMUM_INDEX_MEDIAN, F.lit(True))
         issues.append(("ERROR", "INDEX_MEMBERSHIP_EMPTY", F.when(thin, F.col("empty_dates")).otherwise(F.lit(0))))
     if sessions is not None:
-        absent = sessions.select("trade_date").join(df.select("trade_date").distinct(), "trade_date", "left_anti")
+        absent = sessions.select("trade_date").join(daily.select("trade_date"), "trade_date", "left_anti")
         wide = wide.join(absent.agg(F.count("*").alias("absent_dates")), F.lit(True))
         issues.append(("ERROR", "MISSING_TRADE_DATES", F.col("absent_dates")))
+        latest = df.join(df.agg(F.max("trade_date").alias("trade_date")), "trade_date", "left_semi")
         recent = recent_gaps(df, sessions, latest.where(member).select("symbol").distinct())
         wide = wide.join(recent.agg(F.coalesce(F.sum("gaps"), F.lit(0)).alias("recent_gaps")), F.lit(True))
         issues.append(("ERROR", "RECENT_SYMBOL_DATE_GAPS", F.col("recent_gaps")))

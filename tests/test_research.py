@@ -153,3 +153,17 @@ def test_empty_split_is_refused(spark):
         require_parts(chronological_split(df, "2020-01-02", "2020-01-31"))
     with pytest.raises(ValueError):
         chronological_split(df, "2020-02-01", "2020-01-01")
+
+
+def test_audit_counts_keys_and_dates_with_nulls_and_repeats(spark):
+    schema = "trade_date date, symbol string, open double, high double, low double, close double, volume double, amount double, in_index boolean"
+    days = [dt.date(2024, 1, 2), dt.date(2024, 1, 3), dt.date(2024, 1, 4)]
+    values = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
+    keys = [(days[0], "a", True), (days[0], "a", True), (days[0], "b", True), (None, "b", True), (None, "b", False), (days[1], "a", False), (days[2], "a", True), (days[2], "a", False), (days[2], "b", False), (days[2], None, True)]
+    panel = spark.createDataFrame([(d, s, *values, m) for d, s, m in keys], schema)
+    counted = lambda df: {r.code: r["count"] for r in quality.audit_panel(df, expected_latest_symbols=3).collect()}
+    got = counted(panel)
+    assert got["DUPLICATE_KEYS"] == 3 and got["INVALID_DATES"] == 2
+    assert got["INDEX_MEMBERSHIP_EMPTY"] == 1  # the second day
+    assert got["INCOMPLETE_LATEST_CROSS_SECTION"] == 2  # of the last day's members one has a symbol
+    assert counted(panel.limit(0))["INCOMPLETE_LATEST_CROSS_SECTION"] == 3
