@@ -82,7 +82,7 @@ def load_for_factors(
 
 
 def load_version_for_factors(
-    spark: SparkSession, path: str, names: Iterable[str], start, end, symbols: Iterable[str] | None = None, allow_short: bool = False
+    spark: SparkSession, path: str, names: Iterable[str], start, end, symbols: Iterable[str] | DataFrame | None = None, allow_short: bool = False
 ) -> DataFrame:
     """The warm-up scan of a versioned table: only files that can hold rows of it are opened."""
     names = list(names)
