@@ -416,12 +416,8 @@ def ridge_all_factors(spark, sf):
     rows, dates = all_model(spark, sf)
     rows = rows.where("label IS NOT NULL")
     fits = settle(ridge.fit_ridge(rows, dates, ALL_NAMES, ALL_ALPHAS))
-    used = rows.join(F.broadcast(ridge._fit_sets(dates)), "trade_date").join(F.broadcast(fits), ["test_year", "fitted_on"])
-    error = F.col("label") - ridge.ridge_value(ALL_NAMES)
-    used = used.withColumn("_e", error)
-    scaled = [((F.coalesce(n, F.col("medians")[i]) - F.col("means")[i]) / F.col("scales")[i]) for i, n in enumerate(ALL_NAMES)]
-    slopes = [F.abs(F.sum(x * F.col("_e")) - F.col("alpha") * F.first(F.col("coefficients")[i])) for i, x in enumerate(scaled)]
-    sums = used.groupBy("test_year", "fitted_on", "alpha").agg(F.count("*").alias("rows"), F.greatest(*slopes).alias("_slope"), F.first(F.size("coefficients")).alias("features"))
+    slopes = ridge.loss_slopes(rows, dates, ALL_NAMES, fits)
+    sums = slopes.groupBy("test_year", "fitted_on", "alpha").agg(F.max("rows").alias("rows"), F.max(F.abs("slope")).alias("_slope"), F.count("*").cast("int").alias("features"))
     return sums.select("test_year", "fitted_on", "alpha", "rows", "features", (F.col("_slope") < 1e-6 * F.col("rows")).alias("stationary"))
 
 
