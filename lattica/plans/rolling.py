@@ -14,10 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.operators.factors import partition_of, required_inputs, staged_columns, warmup_rows, with_factors
+from lattica.operators.factors import given, last_rows, new_factors, partition_of, required_inputs, staged, staged_columns, warmup_rows, with_factors  # noqa: F401
 from lattica.session import settle
 from lattica.sources import versions
 
@@ -32,15 +31,15 @@ def _inputs(panel: DataFrame, names: Iterable[str]) -> list[str]:
 
 def _tails(rows: DataFrame, names: list[str], inputs: list[str]) -> DataFrame:
     """The last rows of every frame, with what was staged for them."""
-    order = W.partitionBy(*partition_of(rows)).orderBy(F.desc("trade_date"))
-    last = rows.withColumn("_back", F.row_number().over(order)).where(F.col("_back") <= max(1, warmup_rows(names)))
+    last = last_rows(given(rows), max(1, warmup_rows(names)))
     return last.select(*inputs, *[F.col(c).alias(f"_kept{c}") for c in staged_columns(names)])
 
 
 def rolling_state(panel: DataFrame, names: Iterable[str]) -> DataFrame:
-    """The state after a whole history."""
+    """The state after a whole history: its last rows are staged, no factor is computed."""
     names = list(names)
-    return _tails(with_factors(panel.select(*_inputs(panel, names)), names), names, _inputs(panel, names))
+    inputs = _inputs(panel, names)
+    return _tails(staged(panel.select(*inputs), names, tail=max(1, warmup_rows(names))), names, inputs)
 
 
 def extend_factors(state: DataFrame, rows: DataFrame, names: Iterable[str]) -> tuple[DataFrame, DataFrame]:
@@ -57,21 +56,20 @@ def extend_factors(state: DataFrame, rows: DataFrame, names: Iterable[str]) -> t
     checked = rows.select(*inputs).join(F.broadcast(last), F.lit(True))  # one row
     fresh = checked.withColumn("trade_date", F.when(F.col("trade_date") <= F.col("_last"), late.cast("date")).otherwise(F.col("trade_date"))).drop("_last")
     both = state.select(*inputs, *kept).withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
-    both = settle(with_factors(both, names, resumed=True))  # read for the values and for the state
-    return both.where("_new").select("trade_date", "symbol", *names), _tails(both, names, inputs)
+    both = settle(staged(both, names, resumed=True))  # read for the values and for the state
+    return new_factors(both, names).select("trade_date", "symbol", *names), _tails(both, names, inputs)
 
 
 def run_sessions(spark: SparkSession, path: str, rows: DataFrame, names: Iterable[str]) -> DataFrame:
     """Factors of new sessions by the state stored at ``path``, which moves on in one commit.
 
     Started over whole history where there is no state yet (all its rows are returned).
+    Values are computed when they are read, the state at once.
     """
     names = list(names)
     if versions.latest(spark, path).number == 0:
-        panel = rows.select(*_inputs(rows, names))
-        both = settle(with_factors(panel, names))
-        versions.overwrite(_tails(both, names, panel.columns), path)
-        return both.select("trade_date", "symbol", *names)
+        versions.overwrite(settle(rolling_state(rows, names)), path)  # a write by ranges reads its input twice
+        return with_factors(rows.select(*_inputs(rows, names)), names).select("trade_date", "symbol", *names)
     values, state = extend_factors(versions.read(spark, path), rows, names)
     versions.overwrite(state, path)
     return values
