@@ -25,6 +25,7 @@ from lattica.operators.portfolio import account_violations, weight_violations
 from lattica.operators.universe import UniverseRule, apply_universe
 from lattica.plans.folds import chronological_split, fold_dates, year_folds
 from lattica.plans.panel import daily_panel, symbol_of, table, weekly_panel
+from lattica.session import settle
 from lattica.sources import vendors
 
 
@@ -270,7 +271,9 @@ def vendor_b_normalize(spark, sf):
     ),
 )
 def vendor_c_normalize(spark, sf):
-    bars = daily_panel(spark, sf).withColumnRenamed("symbol", "ts_code")
+    built = daily_panel(spark, sf).withColumnRenamed("symbol", "ts_code")
+    # five tables come from it: the bars are built once
+    bars = settle(built.select("trade_date", "ts_code", *BAR[:4], "volume", "amount", "adj_factor", "turnover_rate", "market_cap"))
     v = F.col("volume")
     daily = bars.where(v % 20 != 3).select("trade_date", "ts_code", *BAR[:4], v.alias("vol"), "amount")
     keys = ["trade_date", "ts_code"]
