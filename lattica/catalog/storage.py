@@ -189,6 +189,7 @@ UPSERT = f"""WITH {VENDOR_A}, {VENDOR_B}, u AS (SELECT trade_date, symbol, close
 def arrivals(spark, sf):
     """A first load, one of a better source, two corrections of it, and a late row of the lesser source."""
     a, b = (vendor_bars(spark, sf, v).select("trade_date", "symbol", "close", "volume") for v in ("A", "B"))
+    b = settle(b)  # four of the loads come from it
     scaled = lambda every, times: b.where(F.col("volume") % every == 0).withColumn("close", F.col("close") * times)
     loads = [(1, a), (7, b.where("trade_date >= '2000-01-01'")), (7, scaled(3, 2)), (7, scaled(6, 3)), (1, scaled(5, 4))]
     return [df.withColumn("priority", F.lit(priority)) for priority, df in loads]
