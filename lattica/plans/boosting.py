@@ -52,20 +52,27 @@ class Tree:
     def nodes(self, codes: np.ndarray) -> np.ndarray:
         """The node each row has come to; code -1 is a missing value."""
         at = np.ones(len(codes), np.int64)
-        for node in sorted(self.splits):
-            feature, last, missing_left = self.splits[node]
-            here = np.flatnonzero(at == node)
-            code = codes[here, feature]
-            left = np.where(code < 0, missing_left, code <= last)
-            at[here] = 2 * node + ~left
+        if not self.splits:
+            return at
+        feature, last, missing_left = (np.zeros(max(self.splits) + 1, kind) for kind in (np.int64, np.int64, bool))
+        inner = np.zeros(2 * len(feature), bool)
+        for node, split in self.splits.items():
+            feature[node], last[node], missing_left[node] = split
+            inner[node] = True
+        row = np.arange(len(codes))
+        for _ in range(max(self.splits).bit_length()):
+            open_ = inner[at]
+            node = np.where(open_, at, 0)
+            code = codes[row, feature[node]]
+            left = np.where(code < 0, missing_left[node], code <= last[node])
+            at = np.where(open_, 2 * at + ~left, at)
         return at
 
     def margins(self, codes: np.ndarray) -> np.ndarray:
-        at = self.nodes(codes)
-        out = np.zeros(len(codes))
+        worth = np.zeros(2 * max([0, *self.splits]) + 2)
         for node, value in self.values.items():
-            out[at == node] = value
-        return out
+            worth[node] = value
+        return worth[self.nodes(codes)]
 
 
 @dataclass
@@ -109,72 +116,98 @@ def _binned(rows: DataFrame, features: list[str], edges: list[np.ndarray]) -> Da
             for i, f in enumerate(features):
                 value = batch.column(f).to_numpy(zero_copy_only=False).astype(float)
                 codes[:, i] = np.where(np.isnan(value), -1, np.searchsorted(edges[i], value, "left"))
-            packed = pa.array([row.tobytes() for row in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("trade_date", "symbol", "label")], packed], ["trade_date", "symbol", "label", "codes"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("trade_date", "symbol", "label")], _packed(codes)], ["trade_date", "symbol", "label", "codes"])
 
     return settle(rows.mapInArrow(cut, "trade_date date, symbol string, label double, codes binary"))
 
 
+def _packed(table: np.ndarray) -> pa.Array:
+    """The rows of a table as binary values."""
+    ends = np.arange(len(table) + 1, dtype=np.int32) * (table.shape[1] * table.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _unpacked(packed: pa.Array, kind: type) -> np.ndarray:
+    """The table that ``_packed`` made into binary values, read where it lies."""
+    _, ends, data = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(packed), -1)
+
+
 class _Rows:
     """A batch as arrays: codes, label, part per fold (-1: none), margin per fold."""
 
     def __init__(self, batch: pa.RecordBatch, features: int, parts: tuple[np.ndarray, np.ndarray], bases: list[float]):
-        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int16).reshape(batch.num_rows, features)
+        self.codes = _unpacked(batch.column("codes"), np.int16)
         self.label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
         days, table = parts
         day = batch.column("trade_date").cast(pa.int32()).to_numpy()
         at = np.searchsorted(days, day).clip(0, len(days) - 1)
         self.part = np.where((days[at] == day)[:, None], table[at], -1)
         if "margins" in batch.schema.names:
-            self.margin = np.frombuffer(b"".join(batch.column("margins").to_pylist()), np.float64).reshape(batch.num_rows, -1).copy()
+            self.margin = _unpacked(batch.column("margins"), np.float64).copy()
         else:
             self.margin = np.tile(np.array(bases), (batch.num_rows, 1))
 
-    def apply(self, folds: list[list[Tree]]) -> None:
+    def apply(self, folds: list[list[Tree]], upto: int = 2) -> None:
+        """Add the trees of each fold to the margins of its rows, of parts up to ``upto``."""
         for k, trees in enumerate(folds):
+            mine = np.flatnonzero((self.part[:, k] >= 0) & (self.part[:, k] <= upto)) if trees else []
+            codes = self.codes[mine]
             for tree in trees:
-                self.margin[:, k] += tree.margins(self.codes)
+                self.margin[mine, k] += tree.margins(codes)
 
 
 _SUMS = "fold int, node long, feature int, bin int, grad long, n long"
 
 
-def _level(features: int, parts, bases: list[float], new: list[list[Tree]], growing: list[Tree | None]):
+def _level(features: int, bins: int, parts, bases: list[float], new: list[list[Tree]], growing: list[Tree | None]):
     """Sums by fold, open node, feature and bin; with node 0 the validation errors."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, np.ndarray] = {}
+        nodes = [[] if t is None else sorted(n for n in _leaves(t) if n not in t.values) for t in growing]
+        sums = [np.zeros((2, len(own), features, bins), np.int64) for own in nodes]
+        errors = np.zeros((len(growing), 2), np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             rows = _Rows(batch, features, parts, bases)
-            rows.apply(new)
+            rows.apply(new, 1)  # rows of a test part enter no sum
             known = ~np.isnan(rows.label)
             for k, tree in enumerate(growing):
                 if tree is None:
                     continue
-                residual = rows.label - rows.margin[:, k]
                 if not tree.splits:
-                    check = known & (rows.part[:, k] == 1)
-                    error = np.rint(residual[check] ** 2 * _POINT).astype(np.int64).sum()
-                    total[k, 0, 0, 0] = total.get((k, 0, 0, 0), 0) + np.array([error, check.sum()])
+                    check = np.flatnonzero(known & (rows.part[:, k] == 1))
+                    residual = rows.label[check] - rows.margin[check, k]
+                    errors[k] += [np.rint(residual**2 * _POINT).astype(np.int64).sum(), len(check)]
                 use = np.flatnonzero(known & (rows.part[:, k] == 0))
-                grad = np.rint(residual[use] * _POINT).astype(np.int64)
-                at = tree.nodes(rows.codes[use])
-                for node in np.unique(at).tolist():
-                    if node in tree.values:
-                        continue
-                    mine = at == node
-                    for f in range(features):
-                        code, where = np.unique(rows.codes[use[mine], f], return_inverse=True)
-                        sums = np.zeros(len(code), np.int64)
-                        np.add.at(sums, where, grad[mine])
-                        for c, g, n in zip(code.tolist(), sums.tolist(), np.bincount(where, minlength=len(code)).tolist(), strict=True):
-                            total[k, node, f, c] = total.get((k, node, f, c), 0) + np.array([g, n])
-        keys = list(total)
-        columns = [[key[i] for key in keys] for i in range(4)] + [[int(total[key][i]) for key in keys] for i in range(2)]
+                codes = rows.codes[use]
+                at = tree.nodes(codes)
+                place = np.full(max(nodes[k]) + 1, -1)
+                place[nodes[k]] = np.arange(len(nodes[k]))
+                slot = np.where(at < len(place), place[np.minimum(at, len(place) - 1)], -1)
+                grad = np.rint((rows.label[use] - rows.margin[use, k]) * _POINT).astype(np.int64)
+                codes, slot, grad = codes[slot >= 0], slot[slot >= 0], grad[slot >= 0]
+                cell = ((slot[:, None] * features + np.arange(features)) * bins + codes + 1).ravel()
+                size = sums[k][0].size
+                each = np.repeat(grad, features)
+                if np.abs(grad).sum(dtype=float) < 2**52:  # whole numbers that doubles add up exactly
+                    added = np.bincount(cell, each, size).astype(np.int64)
+                else:
+                    added = np.zeros(size, np.int64)
+                    np.add.at(added, cell, each)
+                sums[k][0] += added.reshape(sums[k][0].shape)
+                sums[k][1] += np.bincount(cell, minlength=size).reshape(sums[k][1].shape)
+        found = [(np.array([[k, 0, 0, 0]]), errors[k, :1], errors[k, 1:]) for k, t in enumerate(growing) if t is not None and not t.splits]
+        for k, own in enumerate(nodes):
+            if own:
+                slot, feature, code = np.nonzero(sums[k][1])
+                key = np.stack([np.full(len(slot), k), np.array(own)[slot], feature, code - 1], 1)
+                found.append((key, sums[k][0][slot, feature, code], sums[k][1][slot, feature, code]))
+        keys, grad, n = (np.concatenate([f[i] for f in found]) for i in range(3))
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["fold", "node", "feature", "bin", "grad", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys.T, grad, n], types, strict=True)], ["fold", "node", "feature", "bin", "grad", "n"])
 
     return add
 
@@ -204,6 +237,17 @@ def best_split(sums: dict[tuple[int, int], tuple[int, int]], features: int, sett
     return best
 
 
+def _sides(sums: dict[tuple[int, int], tuple[int, int]], feature: int, last: int, missing_left: bool) -> list[tuple[int, int]]:
+    """(sum, rows) left and right of a split of a node."""
+    out = [[0, 0], [0, 0]]
+    for (f, code), (grad, n) in sums.items():
+        if f == feature:
+            side = out[not (missing_left if code < 0 else code <= last)]
+            side[0] += grad
+            side[1] += n
+    return [tuple(side) for side in out]
+
+
 def _grow(tree: Tree, fold: Fold, sums: dict[int, dict], level: int, features: int, settings: BoostSettings) -> None:
     """Split the open nodes of a level, or close them."""
     for node, mine in sorted(sums.items()):
@@ -214,6 +258,10 @@ def _grow(tree: Tree, fold: Fold, sums: dict[int, dict], level: int, features: i
         else:
             tree.splits[node] = found[1:]
             fold.gains[found[1]] = fold.gains.get(found[1], 0.0) + found[0]
+            if level == settings.depth - 1:  # the leaves below hold what this level has summed
+                for child, (grad, n) in zip((2 * node, 2 * node + 1), _sides(mine, *found[1:]), strict=True):
+                    if n:
+                        tree.values[child] = settings.step * grad / _POINT / (n + settings.penalty)
 
 
 def boost(rows: DataFrame, features, dates: DataFrame, settings: BoostSettings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -235,7 +283,8 @@ def boost(rows: DataFrame, features, dates: DataFrame, settings: BoostSettings |
     parts = (days, table)
     training = dates.where("part = 'train'").select("test_year", "trade_date")
     fitted = clean.where("label is not null").join(F.broadcast(training.select("trade_date").distinct()), "trade_date", "left_semi")
-    binned = _binned(clean, features, bin_edges(fitted, features, settings.bins))
+    edges = bin_edges(fitted, features, settings.bins)
+    binned = _binned(clean, features, edges)
     means = {r[0]: r[1] for r in clean.join(F.broadcast(training), "trade_date").groupBy("test_year").agg(F.round(F.avg("label"), 9)).collect()}
     folds = [Fold(means.get(y) or 0.0) for y in years]
     bases = [f.base for f in folds]
@@ -243,7 +292,7 @@ def boost(rows: DataFrame, features, dates: DataFrame, settings: BoostSettings |
 
     def pass_over(growing: list[Tree | None]) -> dict:
         new = [f.trees[a:] for f, a in zip(folds, applied, strict=True)]
-        found = binned.mapInArrow(_level(len(features), parts, bases, new, growing), _SUMS).groupBy("fold", "node", "feature", "bin").agg(F.sum("grad").alias("grad"), F.sum("n").alias("n"))
+        found = binned.drop("symbol").mapInArrow(_level(len(features), max(map(len, edges), default=0) + 2, parts, bases, new, growing), _SUMS).groupBy("fold", "node", "feature", "bin").agg(F.sum("grad").alias("grad"), F.sum("n").alias("n"))
         out: dict = {}
         for r in found.collect():  # folds x nodes x features x bins
             out.setdefault((r["fold"], r["node"]), {})[r["feature"], r["bin"]] = (r["grad"], r["n"])
@@ -299,7 +348,7 @@ def _with_margins(binned: DataFrame, features: int, parts, bases, new: list[list
             rows = _Rows(batch, features, parts, bases)
             rows.apply(new)
             names = ["trade_date", "symbol", "label", "codes"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([m.tobytes() for m in rows.margin], pa.binary())], [*names, "margins"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], _packed(rows.margin)], [*names, "margins"])
 
     return settle(binned.mapInArrow(write, "trade_date date, symbol string, label double, codes binary, margins binary"))
 
