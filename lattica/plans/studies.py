@@ -30,6 +30,7 @@ from lattica.operators.merging import merge_sources, raw_with_adjusted
 from lattica.operators.performance import (
     equal_weight_benchmark,
     nav,
+    TRADED,
     performance_metrics,
     portfolio_returns,
 )
@@ -160,6 +161,7 @@ def momentum_grid(panel: DataFrame, variants, top_n: int, costs: Costs | None =
     weight and return steps.
     """
     market = apply_universe(panel, UniverseRule(min_listed_days=1))
+    market = settle(market.select(*[c for c in market.columns if c in {*TRADED, *partition_of(market), "close", "adj_factor"}]))  # read by the signals and the returns
     frames = Frames(partition_of(market))
     pairs = sorted({(lb, sk) for lb, sk, _ in variants})
     signals = market.withColumn(PRICE, price_column(market.columns)).withColumns(
@@ -169,6 +171,7 @@ def momentum_grid(panel: DataFrame, variants, top_n: int, costs: Costs | None =
     names = [f"m_{lb}_{sk}" for lb, sk in pairs]
     long = signals.unpivot(["trade_date", "symbol", "forward_return_5d"], names, "pair", "value")
     long = preprocess(long, "value", 5.0, False, False, ("pair", "trade_date"), layout)
+    long = settle(long.select("pair", "trade_date", "symbol", "forward_return_5d", "factor_processed"))  # read by the IC and by every frequency
     ic = information_coefficient(long, "factor_processed", "forward_return_5d", ("pair", "trade_date"), layout=layout)
     by_pair = ic.groupBy("pair").agg(
         F.avg("ic").alias("mean_rank_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_win_rate")
