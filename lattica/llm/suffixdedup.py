@@ -39,6 +39,8 @@ LENGTH, GRAM = 50, 16
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 SEGMENT = 4 << 20
 HOT = 10_000
+#: A level of the family begins with so many strings at least, unless they are the last.
+FEWEST = 1 << 12
 _PLACE = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -287,6 +289,62 @@ class LevelFamily:
         return found
 
 
+def distinct_strings(batches: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings of a bucket, laid end to end in the order in which they first come; their lengths; the number of each batch's strings, one batch after the other."""
+    length = np.frombuffer(b"".join(r["length"] for r in batches), np.uint8).astype(np.int64)
+    place = np.concatenate([[0], np.cumsum(length)])
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(place), pa.py_buffer(b"".join(r["data"] for r in batches))])
+    coded = strings.dictionary_encode()
+    number = coded.indices.to_numpy()
+    _, first = np.unique(number, return_index=True)
+    return np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.uint8), length[first], number
+
+
+def answered(batches: list[dict]) -> Iterator[tuple[int, list[bytes]]]:
+    """For each batch of a bucket that has any: the runs of suffixes that a smaller document has (entry, first, stop, document).
+
+    What copies have in common comes as the same strings in many batches; a batch adds to the
+    family the strings that no batch before it had, each with the least document of all batches.
+    Small batches are added together.
+    """
+    data, length, number = distinct_strings(batches)
+    least = np.full(len(length), _LAST)
+    np.minimum.at(least, number, np.frombuffer(b"".join(r["least"] for r in batches), np.int64))
+    count = length - LENGTH + 1
+    begin = np.concatenate([[0], np.cumsum(length)])
+    ends = np.cumsum([len(r["length"]) for r in batches])
+    known = np.maximum.accumulate(number)[ends - 1] + 1 if len(number) else ends  # distinct strings up to each batch
+    family, parts, low = LevelFamily(), [], 0
+    for high in known.tolist():
+        if high > low and (high - low >= FEWEST or high == known[-1]):
+            rows = suffixes(data[begin[low] : begin[high]], length[low:high])
+            parts.append((low, high, family.add(rows, np.repeat(least[low:high], count[low:high]))))
+            low = high
+    family.compact()
+    owner, place, size, smallest = [], [], [], []
+    for low, high, order in parts:
+        held = family.scan(suffixes(data[begin[low] : begin[high]], length[low:high]), order)
+        entry, at = np.repeat(np.arange(low, high), count[low:high]), ragged(count[low:high])
+        head = np.flatnonzero((at == 0) | np.concatenate([[True], held[1:] != held[:-1]]))
+        owner.append(entry[head])
+        place.append(at[head])
+        size.append(np.diff(head, append=len(held)))
+        smallest.append(held[head])
+    if not parts:
+        return
+    owner, place, size, smallest = (np.concatenate(x) for x in (owner, place, size, smallest))
+    runs = np.bincount(owner, minlength=len(length))
+    start = np.cumsum(runs) - runs
+    for k, (row, high) in enumerate(zip(batches, ends.tolist(), strict=True)):
+        mine = number[high - len(row["length"]) : high]
+        each = runs[mine]
+        run = np.repeat(start[mine], each) + ragged(each)
+        useful = smallest[run] < np.repeat(np.frombuffer(row["most"], np.int64), each)
+        run, entry = run[useful], np.repeat(np.arange(len(mine)), each)[useful]
+        if len(run):
+            yield k, [entry.astype(np.uint32).tobytes(), place[run].astype(np.uint8).tobytes(), (place[run] + size[run]).astype(np.uint8).tobytes(), smallest[run].tobytes()]
+
+
 _ANCHORS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("codes", pa.binary())])
 _STRINGS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in ("data", "length", "least", "most"))])
 _ANSWERS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("answer", pa.bool_()), *((c, pa.binary()) for c in ("codes", "entry", "first", "stop", "docs"))])
@@ -375,28 +433,9 @@ def _rounds(docs: DataFrame, hot: int, chunk_bytes: int, bucket_bytes: int) -> t
     strings = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_strings, _ddl(_STRINGS))
 
     def answer(table: pa.Table) -> pa.Table:
-        family = LevelFamily()
-        batches = table.to_pylist()
-        orders = []
-        for row in batches:
-            length = np.frombuffer(row["length"], np.uint8).astype(np.int64)
-            orders.append(family.add(suffixes(np.frombuffer(row["data"], np.uint8), length), np.repeat(np.frombuffer(row["least"], np.int64), length - LENGTH + 1)))
-        family.compact()
-        rows = []
-        for row, order in zip(batches, orders, strict=True):
-            length = np.frombuffer(row["length"], np.uint8).astype(np.int64)
-            count = length - LENGTH + 1
-            least = family.scan(suffixes(np.frombuffer(row["data"], np.uint8), length), order)
-            entry, place = np.repeat(np.arange(len(count)), count), ragged(count)
-            useful = least < np.repeat(np.frombuffer(row["most"], np.int64), count)
-            fresh = useful.copy()
-            fresh[1:] &= ~useful[:-1] | (entry[1:] != entry[:-1]) | (least[1:] != least[:-1])
-            head = np.flatnonzero(fresh)
-            if len(head) == 0:
-                continue
-            size = np.add.reduceat(useful.astype(np.int64), head)  # the useless after a run add nothing
-            rows.append([row["chunk"], row["bucket"], True, None, entry[head].astype(np.uint32).tobytes(), place[head].astype(np.uint8).tobytes(), (place[head] + size).astype(np.uint8).tobytes(), least[head].tobytes()])
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWERS)], schema=_ANSWERS)
+        found = answered(table.select(["data", "length", "least", "most"]).to_pylist())
+        sent = [[table.column(c)[k].as_py() for c in ("chunk", "bucket")] + [True, None, *answer] for k, answer in found]
+        return pa.table([pa.array([r[i] for r in sent], f.type) for i, f in enumerate(_ANSWERS)], schema=_ANSWERS)
 
     answers = strings.groupBy("bucket").applyInArrow(answer, _ddl(_ANSWERS))
     return dealt, shared.unionByName(answers), buckets
