@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,6 +219,27 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
+def _spot(number: Column) -> Column:
+    return F.pmod(F.xxhash64(number.cast("long")), F.lit(1 << FILTER_BITS))
+
+
+def id_filter(ids: DataFrame) -> Broadcast:
+    """The spots of the numbers in ``id`` as 2**23 bits, at any number of them, sent to all tasks."""
+    spot = ids.select((_spot(F.col("id")) + 1).alias("s"))  # bitmaps count from 1
+    bits = spot.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in bits.collect():  # 256 rows of 4 KB
+        at = (r["bucket"] - 1) * 4096
+        part = np.frombuffer(r["bits"], np.uint8)[: max(0, len(table) - at)]
+        table[at : at + len(part)] = part
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def passes(table: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Which spots have their bit in the table of an ``id_filter``."""
+    return (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the similarity.
 
@@ -228,24 +250,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = staged(classes.select("rep", "k1", "k2", "n", F.col("least").alias("id")).join(wanted, "rep", "left_semi"), "wanted")
     ids = wanted.select("id").distinct()
-    spot = ids.select((F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1).alias("s"))  # bitmaps count from 1
-    bits = spot.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in bits.collect():  # 256 rows of 4 KB
-        at = (r["bucket"] - 1) * 4096
-        part = np.frombuffer(r["bits"], np.uint8)[: max(0, len(table) - at)]
-        table[at : at + len(part)] = part
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = id_filter(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spot = batch.column("_spot").to_numpy()
-            mine = batch.filter(pa.array((sent.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
+            mine = batch.filter(pa.array(passes(sent.value, spot)))
             found = [s for _, s in shingle_sets(mine.column("text"), width)]
             marks = [pa.array([f(s) for s in found], pa.int64()) for f in (len, *fingerprint)]
             yield pa.RecordBatch.from_arrays([mine.column("doc_id"), *marks, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "n", "k1", "k2", "shingles"])
 
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("_spot"))
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _spot(F.col("doc_id")).alias("_spot"))
     texts = keyed.mapInArrow(sets, "id long, n long, k1 long, k2 long, shingles binary")
     texts = texts.join(wanted, ["id", "n", "k1", "k2"]).select("rep", "shingles")
     texts = staged(texts.dropDuplicates(["rep"]), "sets")  # equal sets
@@ -380,7 +395,16 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the document of the smallest id of each near-duplicate group; all columns as they were.
 
-    Rows with a null id are kept; of rows that repeat an id, those of the kept id stay.
+    Rows with a null id are kept; of rows that repeat an id, those of the kept id stay. Texts are
+    not shuffled but for rows that a bit filter of fixed size cannot tell from those that go.
     """
     groups = near_duplicates(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["_gone"], "left_anti")
+    sent = id_filter(groups.select(F.col("_gone").alias("id")))
+
+    @F.arrow_udf("boolean")
+    def perhaps(spot: pa.Array) -> pa.Array:
+        return pa.array(passes(sent.value, spot.to_numpy()))
+
+    doubtful = perhaps(_spot(docs["doc_id"]))
+    exact = docs.where(doubtful).join(groups, docs["doc_id"] == groups["_gone"], "left_anti")
+    return docs.where(~doubtful).unionByName(exact)
