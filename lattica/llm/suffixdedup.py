@@ -290,14 +290,19 @@ class LevelFamily:
 
 
 def distinct_strings(batches: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct strings of a bucket, laid end to end in the order in which they first come; their lengths; the number of each batch's strings, one batch after the other."""
-    length = np.frombuffer(b"".join(r["length"] for r in batches), np.uint8).astype(np.int64)
-    place = np.concatenate([[0], np.cumsum(length)])
-    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(place), pa.py_buffer(b"".join(r["data"] for r in batches))])
-    coded = strings.dictionary_encode()
-    number = coded.indices.to_numpy()
-    _, first = np.unique(number, return_index=True)
-    return np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.uint8), length[first], number
+    """The distinct strings of a bucket, laid end to end in the order in which they first come; their lengths; the number of each batch's strings, one batch after the other. Told apart by 64-bit hashes, as in a batch."""
+    data = [np.frombuffer(r["data"], np.uint8) for r in batches]
+    length = [np.frombuffer(r["length"], np.uint8).astype(np.int64) for r in batches]
+    hashes = [span_hashes(d, np.cumsum(n) - n, np.cumsum(n)) for d, n in zip(data, length, strict=True)]
+    _, head, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    order = np.argsort(head)
+    rank = np.empty(len(head), np.int64)
+    rank[order] = np.arange(len(head))
+    kept = np.zeros(len(number), bool)
+    kept[head] = True
+    ends = np.cumsum([len(n) for n in length])
+    first = [kept[b - len(n) : b] for n, b in zip(length, ends, strict=True)]
+    return np.concatenate([d[np.repeat(k, n)] for d, n, k in zip(data, length, first, strict=True)]), np.concatenate(length)[head[order]], rank[number]
 
 
 def answered(batches: list[dict]) -> Iterator[tuple[int, list[bytes]]]:
