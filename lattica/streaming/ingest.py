@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lattica.operators.merging import by_priority
-from lattica.schema import BAR, KEYS
+from lattica.schema import BAR
 from lattica.sources.versions import upsert_version
 
 
@@ -21,11 +20,12 @@ def ingest_bars(spark: SparkSession, inbox: str, target: str, checkpoint: str) -
     A row's ``arrival`` is the time its file was written, kept with the row. Among rows of
     one priority the later file wins, in a batch and across batches, so files that are
     replayed or retried after a failure write the same table. A batch is one commit that
-    carries its number: one that was logged before a failure is not merged again.
+    carries its number: one that was logged before a failure is not merged again. A batch of
+    nothing but replays makes no commit.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_version(by_priority(batch, KEYS, order=("arrival",)), target, writer=(checkpoint, batch_id))
+        upsert_version(batch, target, writer=(checkpoint, batch_id), stored_once=False)
 
     return (
         bar_stream(spark, inbox)
