@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.catalog.base import query, with_daily
 from lattica.operators.calendars import session_list
 from lattica.operators.factors import compute_factors
-from lattica.plans.panel import daily_panel
+from lattica.plans.panel import PLAIN, daily_panel, derived
 from lattica.plans.rolling import run_sessions
 from lattica.session import scratch_path, settle
 
@@ -107,7 +107,7 @@ EVERY = {**FORMULAS, "ivol_60": std("res", 60, 40)}
 )
 def rolling_state(spark, sf_dir):
     """All factors of the last twelve sessions, seven and then five of them added to a stored state."""
-    panel = settle(daily_panel(spark, sf_dir))
+    panel = settle(daily_panel(spark, sf_dir).select(*PLAIN)).withColumns(derived())
     sessions = settle(session_list(panel))
     total = sessions.agg(F.max("session_idx").alias("_total"))
     dated = panel.join(F.broadcast(sessions.join(total, F.lit(True))), "trade_date").withColumn("_left", F.col("_total") - F.col("session_idx"))

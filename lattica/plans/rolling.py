@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.factors import given, last_rows, new_factors, partition_of, required_inputs, staged, staged_columns, warmup_rows, with_factors  # noqa: F401
-from lattica.session import settle
 from lattica.sources import versions
 
 #: Columns a panel may have besides the declared inputs that change what a factor is.
@@ -36,7 +35,11 @@ def _tails(rows: DataFrame, names: list[str], inputs: list[str]) -> DataFrame:
 
 
 def rolling_state(panel: DataFrame, names: Iterable[str]) -> DataFrame:
-    """The state after a whole history: its last rows are staged, no factor is computed."""
+    """The state after a whole history: its last rows are staged, no factor is computed.
+
+    Market means need every row, the state only the last ones of a frame, so that the other
+    columns of older rows do not travel.
+    """
     names = list(names)
     inputs = _inputs(panel, names)
     return _tails(staged(panel.select(*inputs), names, tail=max(1, warmup_rows(names))), names, inputs)
@@ -47,6 +50,8 @@ def extend_factors(state: DataFrame, rows: DataFrame, names: Iterable[str]) -> t
 
     ``rows`` hold whole sessions after every session of the state; a row at or before the
     state's last session stops the job, as it would have changed values already given out.
+    Values and state are computed each for itself: what is staged is cheaper to build again
+    from the state than to store.
     """
     names = list(names)
     inputs = _inputs(rows, names)
@@ -56,7 +61,7 @@ def extend_factors(state: DataFrame, rows: DataFrame, names: Iterable[str]) -> t
     checked = rows.select(*inputs).join(F.broadcast(last), F.lit(True))  # one row
     fresh = checked.withColumn("trade_date", F.when(F.col("trade_date") <= F.col("_last"), late.cast("date")).otherwise(F.col("trade_date"))).drop("_last")
     both = state.select(*inputs, *kept).withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
-    both = settle(staged(both, names, resumed=True))  # read for the values and for the state
+    both = staged(both, names, resumed=True)
     return new_factors(both, names).select("trade_date", "symbol", *names), _tails(both, names, inputs)
 
 
@@ -68,8 +73,8 @@ def run_sessions(spark: SparkSession, path: str, rows: DataFrame, names: Iterabl
     """
     names = list(names)
     if versions.latest(spark, path).number == 0:
-        versions.overwrite(settle(rolling_state(rows, names)), path)  # a write by ranges reads its input twice
+        versions.overwrite(rolling_state(rows, names), path, dealt=True)
         return with_factors(rows.select(*_inputs(rows, names)), names).select("trade_date", "symbol", *names)
     values, state = extend_factors(versions.read(spark, path), rows, names)
-    versions.overwrite(state, path)
+    versions.overwrite(state, path, dealt=True)
     return values
